@@ -267,15 +267,18 @@ def tempo(envelope: DataFrame, sr: int = SAMPLE_RATE, hop: int = HOP) -> DataFra
 
 def analyse(pcm: DataFrame, sr: int = SAMPLE_RATE, frame: int = FRAME, hop: int = HOP) -> tuple[DataFrame, DataFrame]:
     """The frame table of decoded songs and their tempo, inputs of ``song_features``."""
-    raw = frames_of(pcm, frame, hop).withColumn("_power", power_spectrum(F.col("samples"), frame))
-    edges = contrast_edges(sr, frame)
+    raw = (
+        frames_of(pcm, frame, hop).withColumn("_power", power_spectrum(F.col("samples"), frame))
+        .withColumn("_mel", basis_project(F.col("_power"), mel_basis(sr, frame)))
+        .withColumn("_pitch", basis_project(F.col("_power"), chroma_basis(sr, frame)))
+    )
     bands = durable(raw.select(
         "song_id", "frame_idx",
         rms(F.col("samples")).alias("rms"),
         zero_crossing_rate(F.col("samples")).alias("zcr"),
-        decibels(basis_project(F.col("_power"), mel_basis(sr, frame))).alias("bands"),
-        normalise_to_peak(basis_project(F.col("_power"), chroma_basis(sr, frame))).alias("chroma"),
-        spectral_contrast(F.col("_power"), edges).alias("contrast"),
+        decibels(F.col("_mel")).alias("bands"),
+        normalise_to_peak(F.col("_pitch")).alias("chroma"),
+        spectral_contrast(F.col("_power"), contrast_edges(sr, frame)).alias("contrast"),
     ))
     peaks = bands.groupBy("song_id").agg(F.max(F.array_max("bands")).alias("_peak"))
     floor = F.col("_peak") - RANGE_DB

@@ -1 +1,91 @@
-"""."""
+"""Streams run over the whole events table once, compared with the batch meaning.
+
+Each run writes to its own new folder below the shared checkpoint folder.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from cadenza.operators import learner
+from cadenza.plans.registry import query
+from cadenza.plans.standins import VIEWS, table, view
+from cadenza.session import shared_folder
+from cadenza.streaming import behavior as streams
+
+
+def _folder(spark):
+    return f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def _events(spark, folder):
+    """The behaviour view over the events table read as a stream."""
+    schema = table(spark, folder, "events").schema
+    raw = streams.read_events(spark, folder, schema, pathGlobFilter="events.parquet")
+    return spark.sql(VIEWS["behavior"], events=raw)
+
+
+def _run(spark, stream, schema):
+    out = _folder(spark)
+    streams.start_append(stream, f"{out}/rows", f"{out}/checkpoint", available_now=True).awaitTermination()
+    return spark.read.schema(schema).parquet(f"{out}/rows")
+
+
+@query("select min(id) id, listener, song_id, event_type, epoch_us(ts) us from behavior group by listener, song_id, event_type, ts")
+def stream_ingest(spark, folder):
+    """Every event sent twice, stored once."""
+    events = _events(spark, folder)
+    stored = streams.ingest(events.unionByName(events))
+    rows = _run(spark, stored, stored.schema)
+    return rows.select("id", "listener", "song_id", "event_type", F.unix_micros("ts").alias("us"))
+
+
+@query("""
+    select listener, count(*) events, round(avg(energy), 6) avg_energy, epoch_us(min(b.ts)) started_us, epoch_us(max(b.ts)) ended_us
+    from session_events b join features f on f.song_id = b.song_id
+    group by listener, session_no
+    having max(b.ts) + interval 6 hour <= date_trunc('millisecond', (select max(ts) from behavior)) - interval 10 minute""")
+def stream_sessions(spark, folder):
+    """Closed sessions only: the watermark is ten minutes behind the last event."""
+    energies = view(spark, folder, "features").select("song_id", "energy")
+    closed = streams.sessions(_events(spark, folder).join(energies, "song_id"), "6 hours")
+    rows = _run(spark, closed, closed.schema)
+    return rows.select(
+        "listener", "events", F.round("avg_energy", 6).alias("avg_energy"),
+        F.unix_micros("started_at").alias("started_us"), F.unix_micros("ended_at").alias("ended_us"),
+    )
+
+
+@query("""
+    select listener, id, epoch_us(ts) us from shifts
+    where ts <= date_trunc('millisecond', (select max(ts) from behavior)) - interval 10 minute""")
+def stream_mood_shifts(spark, folder):
+    found = streams.mood_shifts(_events(spark, folder), seconds=86400)
+    rows = _run(spark, found, found.schema)
+    return rows.select("listener", "id", F.unix_micros("ts").alias("us"))
+
+
+@query("""
+    with training as (
+        select label, list_concat(cast(full_vector as double[]), [
+                   cast(hour(ts) < 12 as int)::double, cast(hour(ts) between 12 and 16 as int)::double,
+                   cast(hour(ts) >= 17 as int)::double, energy, 1.0::double]) x
+        from labelled l join features f on f.song_id = l.song_id),
+    cells as (select label, unnest(x) x, generate_subscripts(x, 1) - 1 place from training)
+    select cast(place as int) "position", round(0.5 * avg((label - 0.5) * x), 6) weight from cells group by place""")
+def stream_learning(spark, folder):
+    """Weights after the one micro-batch that holds all events."""
+    from cadenza.operators.behavior import label_events
+
+    features = view(spark, folder, "features")
+    width = features.select(F.size("full_vector")).first()[0] + learner.EXTRA_INPUTS
+    labelled = label_events(_events(spark, folder)).join(
+        features.select("song_id", F.col("energy").alias("session_energy")), "song_id"
+    )
+    out = _folder(spark)
+    rows = learner.training_rows(labelled, features)
+    streams.start_learning(rows, f"{out}/weights", f"{out}/checkpoint", width, available_now=True).awaitTermination()
+    weights = spark.read.parquet(f"{out}/weights/batch-0")
+    return weights.select("position", F.round("weight", 6).alias("weight"))

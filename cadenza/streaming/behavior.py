@@ -92,7 +92,8 @@ def mood_shifts(
             state.update(([w[0] for w in waiting], [w[1] for w in waiting], [w[2] for w in waiting], run))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(shifts, columns=["listener", "id", "ts"])
+        if shifts:
+            yield pd.DataFrame(shifts, columns=["listener", "id", "ts"])
 
     return timed.groupBy("listener").applyInPandasWithState(
         follow, "listener string, id bigint, ts timestamp",
