@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # How the scalar features are scaled into the unified vector.
@@ -9,6 +11,15 @@ TEMPO_SCALE = 200.0
 SCALAR_SCALE = 10.0
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` worked out once.
+
+    Inside the lambda of ``transform`` a plain expression is evaluated again for
+    every element, which makes dividing a vector by its norm quadratic.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -20,8 +31,7 @@ def norm(v: Column) -> Column:
 def unit(v: Column) -> Column:
     """The vector at length one; a zero vector is left as it is."""
     doubles = v.cast("array<double>")
-    length = norm(doubles)
-    return F.when(length > 0, F.transform(doubles, lambda x: x / length)).otherwise(doubles)
+    return bind(norm(doubles), lambda n: F.transform(doubles, lambda x: F.when(n > 0, x / n).otherwise(x)))
 
 
 def average(v: Column) -> Column:

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cadenza.operators.pieces import PIECE, number_rows, running_total, span, time_span, with_halo
+from cadenza.session import durable
 
 # Fixed values of the behaviour rules.
 PLAYED_PCT = 80
@@ -133,7 +134,8 @@ def mood_shifts(
         return runs.filter("completes_run").drop("completes_run")
     piece = time_span(F.col("ts"), piece_seconds)
     numbered = number_rows(runs, [key], IN_ORDER, piece, "_ordinal")
-    hits = numbered.filter("completes_run").drop("completes_run")
+    # Few events complete a run; written once, they are linked without reading all events again.
+    hits = durable(numbered.filter("completes_run").drop("completes_run"))
     fired = _spaced(hits.select(key, "_ordinal"), key, skips)
     return hits.join(fired, [key, "_ordinal"], "left_semi").drop("_ordinal")
 

@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cadenza.functions.vectors import average
+from cadenza.functions.vectors import average, bind
 from cadenza.operators.pieces import PIECE, running_total, span, with_halo
 from cadenza.session import durable
 
@@ -176,8 +176,9 @@ def decibels(values: Column) -> Column:
 
 def normalise_to_peak(values: Column) -> Column:
     """Each array divided by its largest entry; silence stays silence."""
-    peak = F.array_max(values)
-    return F.when(peak > 0, F.transform(values, lambda x: x / peak)).otherwise(values)
+    return bind(
+        F.array_max(values), lambda peak: F.transform(values, lambda x: F.when(peak > 0, x / peak).otherwise(x))
+    )
 
 
 def contrast_edges(

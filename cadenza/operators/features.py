@@ -12,21 +12,30 @@ from cadenza.operators.catalog import patch
 MFCC, CHROMA, CONTRAST = 20, 12, 7
 
 
-def pool(frames: DataFrame, vector: str, keys: tuple[str, ...] = ("song_id",)) -> DataFrame:
-    """Per coefficient the mean and population standard deviation over all frames.
+def pool(frames: DataFrame, vector: str, width: int | None = None) -> DataFrame:
+    """``song_id, means, stds``: mean and population deviation per coefficient over all frames.
 
-    Returns the keys with arrays ``means`` and ``stds``. Frames are reduced to one
-    partial state per (song, coefficient) before the shuffle.
+    With a known ``width`` every coefficient is an aggregate of its own and no row
+    is multiplied; else the coefficients become rows, reduced to one partial state
+    per (song, coefficient) before the shuffle.
     """
+    if width is not None:
+        cells = [F.element_at(vector, i + 1) for i in range(width)]
+        pooled = frames.groupBy("song_id").agg(
+            *[F.avg(c).alias(f"_mean{i}") for i, c in enumerate(cells)],
+            *[F.stddev_pop(c).alias(f"_std{i}") for i, c in enumerate(cells)],
+        )
+        listed = lambda name: F.array(*[F.col(f"{name}{i}") for i in range(width)])
+        return pooled.select("song_id", listed("_mean").alias("means"), listed("_std").alias("stds"))
     by_place = (
-        frames.select(*keys, F.posexplode(vector).alias("_place", "_x"))
-        .groupBy(*keys, "_place")
+        frames.select("song_id", F.posexplode(vector).alias("_place", "_x"))
+        .groupBy("song_id", "_place")
         .agg(F.avg("_x").alias("_mean"), F.stddev_pop("_x").alias("_std"))
     )
-    lists = by_place.groupBy(*keys).agg(
+    lists = by_place.groupBy("song_id").agg(
         F.array_sort(F.collect_list(F.struct("_place", "_mean", "_std"))).alias("_cells")
     )
-    return lists.select(*keys, F.col("_cells._mean").alias("means"), F.col("_cells._std").alias("stds"))
+    return lists.select("song_id", F.col("_cells._mean").alias("means"), F.col("_cells._std").alias("stds"))
 
 
 def pooled_vector(frames: DataFrame, vector: str, name: str) -> DataFrame:
@@ -45,7 +54,7 @@ def song_features(frames: DataFrame, tempo: DataFrame, as_of=None) -> DataFrame:
     frames are read and shuffled once.
     """
     joined = frames.withColumn("_all", F.concat("mfcc", "chroma", "contrast", F.array("rms", "zcr")))
-    pooled = pool(joined, "_all")
+    pooled = pool(joined, "_all", MFCC + CHROMA + CONTRAST + 2)
 
     def block(start, width):
         return F.concat(F.slice("means", start + 1, width), F.slice("stds", start + 1, width))

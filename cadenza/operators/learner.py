@@ -41,9 +41,10 @@ def gradient(rows: DataFrame, weights: list[float]) -> DataFrame:
 
     Each task sends one partial sum per position, whatever it read.
     """
-    miss = F.col("label") - score(F.col("x"), weights)
+    # The miss is a column before the rows are multiplied, so it is worked out once per row.
+    missed = rows.withColumn("_miss", F.col("label") - score(F.col("x"), weights))
     return (
-        rows.select(miss.alias("_miss"), F.posexplode("x").alias("position", "_x"))
+        missed.select("_miss", F.posexplode("x").alias("position", "_x"))
         .groupBy("position").agg(F.avg(F.col("_miss") * F.col("_x")).alias("gradient"))
     )
 

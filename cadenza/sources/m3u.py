@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # What counts as white space around a line, the byte order mark included.
 WHITE_SPACE = (
-    r"\x09-\x0D\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+    "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
 _ABSOLUTE = r"^(/|[a-zA-Z]:\\|content://)"
 
@@ -31,7 +32,7 @@ def decode_text(content: Column) -> Column:
 
 
 def trim_line(line: Column) -> Column:
-    return F.regexp_replace(line, f"^[{WHITE_SPACE}]+|[{WHITE_SPACE}]+$", "")
+    return F.trim(line, F.lit(WHITE_SPACE))
 
 
 def parent_folder(path: Column) -> Column:
