@@ -83,10 +83,10 @@ def sessionize(events: DataFrame, gap_seconds: float, piece_seconds: float = PIE
     opened = (
         cut.join(borders, ["listener", PIECE])
         .withColumn("_opens", F.coalesce(gap > int(gap_seconds * 1_000_000), F.lit(True)).cast("int"))
-        .drop(PIECE, "_carried")
+        .drop("_carried")
     )
-    piece = time_span(F.col("ts"), piece_seconds)
-    return running_total(opened, ["listener"], IN_ORDER, piece, F.col("_opens"), "session_no").drop("_opens")
+    # Same pieces as above, so the rows are shuffled once.
+    return running_total(opened, ["listener"], IN_ORDER, [F.col(PIECE)], F.col("_opens"), "session_no").drop("_opens", PIECE)
 
 
 def session_summary(events: DataFrame, features: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -110,6 +110,10 @@ def skip_runs(
     piece_seconds: float = PIECE_SECONDS, key: str = "listener",
 ) -> DataFrame:
     """Add ``completes_run``: this skip ends ``skips`` in a row within ``seconds``."""
+    return _runs_in_pieces(events, skips, seconds, piece_seconds, key).drop(PIECE)
+
+
+def _runs_in_pieces(events, skips, seconds, piece_seconds, key):
     width = max(piece_seconds, seconds) * 1_000_000
     cut = with_halo(events, F.unix_micros("ts"), seconds * 1_000_000, width)
     inside = Window.partitionBy(key, PIECE).orderBy(*IN_ORDER)
@@ -117,7 +121,7 @@ def skip_runs(
     run = reduce(lambda total, i: total + F.lag(is_skip, i).over(inside), range(1, skips), is_skip)
     took = F.unix_micros("ts") - F.unix_micros(F.lag("ts", skips - 1).over(inside))
     hit = F.coalesce((run == skips) & (took <= int(seconds * 1_000_000)), F.lit(False))
-    return cut.withColumn("completes_run", hit).filter(~F.col("_halo")).drop(PIECE, "_halo")
+    return cut.withColumn("completes_run", hit).filter(~F.col("_halo")).drop("_halo")
 
 
 def mood_shifts(
@@ -129,11 +133,10 @@ def mood_shifts(
     With ``reset`` a shift uses up its skips: the next one needs as many new ones.
     Without, every further skip of a longer run counts again.
     """
-    runs = skip_runs(events, skips, seconds, piece_seconds, key)
+    runs = _runs_in_pieces(events, skips, seconds, piece_seconds, key)
     if not reset:
-        return runs.filter("completes_run").drop("completes_run")
-    piece = time_span(F.col("ts"), piece_seconds)
-    numbered = number_rows(runs, [key], IN_ORDER, piece, "_ordinal")
+        return runs.filter("completes_run").drop("completes_run", PIECE)
+    numbered = number_rows(runs, [key], IN_ORDER, [F.col(PIECE)], "_ordinal").drop(PIECE)
     # Few events complete a run; written once, they are linked without reading all events again.
     hits = durable(numbered.filter("completes_run").drop("completes_run"))
     fired = _spaced(hits.select(key, "_ordinal"), key, skips)
@@ -210,7 +213,7 @@ def mood_targets(
     """
     heard = (F.col("event_type") != "skip").cast("int")
     counted = running_total(
-        events, ["listener"], IN_ORDER, time_span(F.col("ts"), piece_seconds), heard, "_count"
+        events, ["listener"], IN_ORDER, [time_span(F.col("ts"), piece_seconds)], heard, "_count"
     )
     songs = counted.filter(F.col("event_type") != "skip").select("listener", "_count", "song_id")
     wanted = F.sequence(F.greatest(F.col("_count") - (last - 1), F.lit(1)), F.col("_count"))

@@ -43,7 +43,7 @@ def stretches(pcm: DataFrame, step: int, width: int, lead: int) -> DataFrame:
     """
     sized = pcm.select("song_id", "chunk_idx", "samples", F.size("samples").cast("long").alias("_n"))
     placed = running_total(
-        sized, ["song_id"], ["chunk_idx"], span(F.col("chunk_idx"), 4096), F.col("_n"), "_end"
+        sized, ["song_id"], ["chunk_idx"], [span(F.col("chunk_idx"), 4096)], F.col("_n"), "_end"
     ).withColumn("_start", F.col("_end") - F.col("_n"))
     totals = pcm.groupBy("song_id").agg(F.sum(F.size("samples")).cast("long").alias("total"))
     placed = placed.filter("_n > 0").join(totals, "song_id")

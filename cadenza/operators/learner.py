@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cadenza.functions.scalars import day_part
 from cadenza.functions.vectors import dot
+from cadenza.session import durable
 
 RATE = 0.5
 EXTRA_INPUTS = 5  # three day parts, session energy, constant
@@ -59,6 +60,8 @@ def update(rows: DataFrame, weights: list[float], rate: float = RATE) -> list[fl
 
 def train(rows: DataFrame, width: int, steps: int, rate: float = RATE) -> list[float]:
     """``steps`` full passes from zero weights; ``width`` is the length of ``x``."""
+    if steps > 1:
+        rows = durable(rows)
     weights = [0.0] * width
     for _ in range(steps):
         weights = update(rows, weights, rate)

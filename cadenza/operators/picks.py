@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cadenza.functions.scalars import EVENING, NOON, mood_tag, uniform
 from cadenza.functions.vectors import unit
-from cadenza.operators.pieces import number_rows, span, top_rows
+from cadenza.operators.pieces import number_rows, score_order, score_pieces, span, top_rows
 from cadenza.operators.queues import shuffle
 from cadenza.operators.similarity import nearest
+from cadenza.session import durable
 
 # Fixed values of the daily and weekend rules.
 REST_DAYS = 3
@@ -26,7 +27,7 @@ RECENT_TILES = 4
 
 NEUTRAL = 0.5  # preference of a song nothing is known about
 ENERGY_TARGETS = {"morning": 0.5, "afternoon": 0.7, "evening": 0.4}
-_FIT_PIECES = 4096
+_RING_PIECES = 4096
 
 
 def _micros(moment: datetime) -> Column:
@@ -51,8 +52,9 @@ def daily_picks(
     and liked above 0.4. Songs a listener never heard score 0.5 * fit for everyone,
     so they are ranked once; a listener's best ones are the first ranks missing
     among the songs heard, found without pairing listeners with the library.
+    Equal scores come in hash order.
     """
-    order = [F.desc("score"), "song_id"]
+    by = (F.col("score"), F.col("song_id"))
     fit = energy_fit(features, as_of)
     heard = events.filter(F.col("ts") < _micros(as_of)).groupBy("listener", "song_id").agg(
         F.max("ts").alias("_last")
@@ -68,11 +70,11 @@ def daily_picks(
     )
 
     fresh = fit.withColumn("score", F.round(NEUTRAL * F.col("fit"), 6)).select("song_id", "score")
-    piece = F.floor((1 - F.col("score")) * _FIT_PIECES)
-    ranked = number_rows(fresh, [], order, piece, "_place").withColumn("_place", F.col("_place") + 1)
+    ranked = number_rows(fresh, [], score_order(*by), score_pieces(*by, 0, 1), "_place")
+    ranked = ranked.withColumn("_place", F.col("_place") + 1)
     unheard = _first_missing(heard.join(ranked.select("song_id", "_place"), "song_id", "left"), n)
     never = unheard.join(ranked, "_place").select("listener", "song_id", "score")
-    return top_rows(again.unionByName(never), ["listener"], order, n)
+    return top_rows(again.unionByName(never), ["listener"], score_order(*by), n)
 
 
 def _first_missing(heard: DataFrame, n: int) -> DataFrame:
@@ -83,7 +85,7 @@ def _first_missing(heard: DataFrame, n: int) -> DataFrame:
     """
     placed = number_rows(
         heard.filter(F.col("_place").isNotNull()).select("listener", "_place"),
-        ["listener"], ["_place"], span(F.col("_place"), 65536), "_k",
+        ["listener"], ["_place"], [span(F.col("_place"), 65536)], "_k",
     )
     missing_before = F.col("_place") - 1 - F.col("_k")
     found = placed.groupBy("listener").agg(
@@ -148,7 +150,7 @@ def weekend_playlist(
         (F.col("ts") >= _micros(as_of - timedelta(days=WEEK_DAYS))) & (F.col("ts") < _micros(as_of))
     ).select("listener", "song_id").distinct()
     vectors = features.select("song_id", unit(F.col("full_vector")).alias("full_vector"))
-    played = vectors.join(recent.select("song_id").distinct(), "song_id", "left_semi")
+    played = durable(vectors.join(recent.select("song_id").distinct(), "song_id", "left_semi"))
     clusters = pick_clusters(played, steps=steps)
 
     # The k-th smallest of -ln(u) / w is a draw without replacement by weight w.
@@ -229,7 +231,7 @@ def random_queue(requests: DataFrame, songs: DataFrame, seed: str, n: int) -> Da
     """
     ring = number_rows(
         songs.select(F.col("id").alias("song_id"), uniform(seed, F.col("id")).alias("_at")),
-        [], ["_at", "song_id"], F.floor(F.col("_at") * _FIT_PIECES), "_place",
+        [], ["_at", "song_id"], [F.floor(F.col("_at") * _RING_PIECES)], "_place",
     )
     size = songs.select(F.count(F.lit(1))).scalar()
     start = F.floor(uniform(seed, F.col("request_id")) * F.col("_size"))

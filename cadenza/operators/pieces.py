@@ -5,7 +5,7 @@ or playlist that holds a third of the table would then hold one task for hours.
 The functions here cut every group into pieces along its own order (a span of
 positions, of time, of hash values), do the ordered work piece by piece, and
 carry what crosses a border: a total per piece, or copies of the rows near it.
-Keys must not be null.
+Keys and pieces must not be null.
 """
 
 from __future__ import annotations
@@ -25,39 +25,46 @@ def time_span(ts: Column, seconds: float) -> Column:
     return F.floor(F.unix_micros(ts) / F.lit(int(seconds * 1_000_000)))
 
 
+def hash_span(value: Column, digits: int = 2) -> Column:
+    """Piece of a value ordered by its md5: one per leading hex digits."""
+    return F.substring(F.md5(value), 1, digits)
+
+
 def running_total(
-    df: DataFrame, keys: list[str], order: list, piece: Column, value: Column, name: str
+    df: DataFrame, keys: list[str], order: list, pieces: list[Column], value: Column, name: str
 ) -> DataFrame:
     """Sum of ``value`` from the start of each group up to and with each row.
 
-    ``piece`` must not decrease along ``order``. Only one row per (group, piece)
-    is summed across pieces, after a map-side sum.
+    ``pieces`` cut the groups from coarse to fine and follow ``order``: sorting by
+    ``order`` also sorts by them. Sums of pieces are totalled the same way, one
+    level up, so what one task sorts is one finest piece or the pieces of a coarser.
     """
-    cut = df.withColumn(PIECE, piece)
-    by = [*keys, PIECE]
-    earlier = (
-        Window.partitionBy(*(keys or [F.lit(0)])).orderBy(PIECE)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    starts = (
-        cut.groupBy(*by).agg(F.sum(value).alias("_sum"))
-        .select(*by, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
-    )
+    names = [f"{PIECE}{level}" for level in range(len(pieces))]
+    return _total(df, keys, order, dict(zip(names, pieces)), value, name).drop(*names)
+
+
+def _total(df, keys, order, pieces, value, name):
+    cut = df.withColumns(pieces) if pieces else df
+    by = [*keys, *pieces]
     inside = (
-        Window.partitionBy(*by).orderBy(*order)
+        Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    if not pieces:
+        return cut.withColumn(name, F.sum(value).over(inside))
+    *coarser, finest = pieces
+    sums = cut.groupBy(*by).agg(F.sum(value).alias("_sum"))
+    upto = _total(sums, keys, [finest], {p: F.col(p) for p in coarser}, F.col("_sum"), "_upto")
+    starts = upto.select(*by, (F.col("_upto") - F.col("_sum")).alias("_start"))
     return (
-        cut.withColumn("_inside", F.sum(value).over(inside))
-        .join(starts, by)
-        .withColumn(name, F.col("_start") + F.col("_inside"))
-        .drop(PIECE, "_start", "_inside")
+        cut.withColumn("_inside", F.sum(value).over(inside)).join(starts, by)
+        .withColumn(name, F.col("_start") + F.col("_inside")).drop("_start", "_inside")
     )
 
 
-def number_rows(df: DataFrame, keys: list[str], order: list, piece: Column, name: str) -> DataFrame:
+def number_rows(df: DataFrame, keys: list[str], order: list, pieces: list[Column], name: str) -> DataFrame:
     """Positions 0, 1, 2, … of each group's rows, without gaps."""
-    counted = running_total(df, keys, order, piece, F.lit(1), name)
+    counted = running_total(df, keys, order, pieces, F.lit(1), name)
     return counted.withColumn(name, F.col(name) - 1)
 
 
@@ -87,3 +94,14 @@ def top_rows(df: DataFrame, keys: list[str], order: list, n: int, rank: str = "r
     """
     place = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(place)).filter(F.col(rank) <= n)
+
+
+def score_pieces(score: Column, key: Column, lowest: float, highest: float) -> list[Column]:
+    """Pieces for ``score_order``: score ranges, single scores, hashes of the key."""
+    share = (F.lit(highest) - score) / F.lit(highest - lowest)
+    return [F.floor(share * 4096), -score, hash_span(key)]
+
+
+def score_order(score: Column, key: Column) -> list[Column]:
+    """Best first; equal scores in hash order, so a score many rows share can be cut."""
+    return [-score, F.md5(key), key]

@@ -23,7 +23,7 @@ def resolve(entries: DataFrame, songs: DataFrame, order: tuple[str, ...] = ("lin
 
 def _numbered(known: DataFrame, order) -> DataFrame:
     piece = span(F.col(order[0]), LINES_PER_PIECE)
-    numbered = number_rows(known, ["playlist_id"], list(order), piece, "position")
+    numbered = number_rows(known, ["playlist_id"], list(order), [piece], "position")
     return numbered.withColumn("position", F.col("position").cast("int"))
 
 

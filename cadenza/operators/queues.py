@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from cadenza.operators.pieces import number_rows, span
+from cadenza.operators.pieces import hash_span, number_rows, span
 
 POSITIONS_PER_PIECE = 65536
 
@@ -30,7 +30,7 @@ def append(queues: DataFrame, additions: DataFrame) -> DataFrame:
     """Put ``additions`` (``queue_id, seq, song_id``) at the end, in ``seq`` order."""
     ends = queues.groupBy("queue_id").agg((F.max("position") + 1).alias("_end"))
     piece = span(F.col("seq"), POSITIONS_PER_PIECE)
-    numbered = number_rows(additions, ["queue_id"], ["seq"], piece, "_offset")
+    numbered = number_rows(additions, ["queue_id"], ["seq"], [piece], "_offset")
     tail = numbered.join(ends, "queue_id", "left").select(
         "queue_id", (F.coalesce("_end", F.lit(0)) + F.col("_offset")).cast("long").alias("position"), "song_id"
     )
@@ -46,7 +46,7 @@ def play_next(queues: DataFrame, state: DataFrame, inserts: DataFrame) -> DataFr
     playing = state.filter("current_index <> -1").select("queue_id", "current_index")
     piece = span(F.col("seq"), POSITIONS_PER_PIECE)
     allowed = inserts.join(playing, "queue_id")
-    numbered = number_rows(allowed, ["queue_id"], ["seq"], piece, "_offset")
+    numbered = number_rows(allowed, ["queue_id"], ["seq"], [piece], "_offset")
     counts = allowed.groupBy("queue_id", "current_index").agg(F.count(F.lit(1)).alias("_inserted"))
     moved = queues.join(counts, "queue_id", "left").select(
         "queue_id",
@@ -76,10 +76,9 @@ def shuffle(queues: DataFrame, seed: str, enabled: bool = True, hash_digits: int
     """
     if not enabled:
         return queues.withColumn("play_order", F.col("position").cast("long"))
-    hashed = queues.withColumn("_hash", F.md5(F.concat_ws("|", F.lit(seed), "queue_id", "position", "song_id")))
-    piece = F.conv(F.substring("_hash", 1, hash_digits), 16, 10).cast("long")
-    order = ["_hash", "position"]
-    return number_rows(hashed, ["queue_id"], order, piece, "play_order").drop("_hash")
+    key = F.concat_ws("|", F.lit(seed), "queue_id", "position", "song_id")
+    order = [F.md5(key), "position"]
+    return number_rows(queues, ["queue_id"], order, [hash_span(key, hash_digits)], "play_order")
 
 
 def next_index(queues: DataFrame, state: DataFrame, mode: str) -> DataFrame:

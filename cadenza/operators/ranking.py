@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-from cadenza.operators.pieces import number_rows, top_rows
+from cadenza.operators.pieces import number_rows, score_order, score_pieces, top_rows
 from cadenza.operators.similarity import nearest
 
 # Fixed values of the ranking rules.
@@ -63,15 +63,13 @@ def context_queue(
     )
     base = features.select("song_id", F.col("genre").alias("scope"), F.col("full_vector").alias("vector"))
     found = nearest(queries, base, pool + 1, scoped=True, **options)
-    key = F.to_json(F.struct("current_song_id", "genre_context"))
-    pairs = (
-        requests.withColumn("query_id", key).join(found, "query_id")
-        .filter(F.col("song_id") != F.col("current_song_id"))
+    others = found.join(queries.select("query_id", "current_song_id", "genre_context"), "query_id").filter(
+        F.col("song_id") != F.col("current_song_id")
+    )
+    kept = top_rows(others.drop("rank"), ["current_song_id", "genre_context"], [F.desc("similarity"), "song_id"], pool)
+    candidates = requests.join(kept, ["current_song_id", "genre_context"]).select(
+        "request_id", "listener", "song_id", "similarity"
     )
-    candidates = top_rows(
-        pairs.select("request_id", "listener", "song_id", "similarity"),
-        ["request_id"], [F.desc("similarity"), "song_id"], pool,
-    ).drop("rank")
     return final_rank(candidates, weights, n, on=("listener", "song_id"))
 
 
@@ -79,7 +77,8 @@ def rerank_for_mood(queue: DataFrame, targets: DataFrame, energies: DataFrame) -
     """Reorder queues (``listener, song_id, score``) after a mood shift.
 
     Scores shrink with the distance of a song's energy from the target; listeners
-    without a target keep their order. Scores lie between -2 and 2.
+    without a target keep their order. Scores lie between -2 and 2; equal ones are
+    put in hash order, which also cuts a score many songs share into pieces.
     """
     wanted = targets.select("listener", "target_energy")
     distance = F.abs(F.col("energy") - F.col("target_energy"))
@@ -88,8 +87,8 @@ def rerank_for_mood(queue: DataFrame, targets: DataFrame, energies: DataFrame) -
         .withColumn("adjusted", F.round(F.col("score") * (1 - F.coalesce(distance, F.lit(0.0))), 6))
         .drop("energy", "target_energy")
     )
-    piece = F.floor((2 - F.col("adjusted")) * 64)
-    return number_rows(adjusted, ["listener"], [F.desc("adjusted"), "song_id"], piece, "position")
+    by = (F.col("adjusted"), F.col("song_id"))
+    return number_rows(adjusted, ["listener"], score_order(*by), score_pieces(*by, -2, 2), "position")
 
 
 def boosts(labelled: DataFrame, neighbours: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 Equal vectors are searched once, so a library where a third of all songs are
 copies costs no more than one without them. Songs are grouped into cells around
 pivot vectors, and each cell into blocks of bounded size. A query first looks at
-one block of its own cell, which gives a similarity it can reach; by the triangle
+a part of its own cell, which gives a similarity it can reach; by the triangle
 inequality on angles it then needs only the cells that could hold something as
 good. Each (query chunk, block) pair is one bounded matrix product that returns
 at most n rows per query, and the best of those is the exact answer.
@@ -25,9 +25,11 @@ from cadenza.session import durable
 NEIGHBOURS = 15  # fixed value: K of the neighbour search
 SIMILAR = 10  # fixed value: songs returned by default
 
-BLOCK_ROWS = 8192
+BLOCK_ROWS = 16384
 SONGS_PER_CELL = 65536
 MAX_PIVOTS = 4096  # pivots travel with the tasks: at most 4096 vectors
+SAMPLE_ROWS = 1000  # the largest per-group limit that is still applied before a shuffle
+BROADCAST_ROWS = 100_000
 _SLACK = 1e-7  # angle added to every bound, far above float error
 
 _HITS = "query_key string, scope string, base_key string, first_id string, similarity double"
@@ -56,18 +58,18 @@ def nearest(
     )
     unique_queries = asked.groupBy("scope", "query_key").agg(F.first("vector").alias("vector"))
 
-    hits = _search(unique_queries, unique_base, n + 1, digits, block_rows, pivots)
+    hits = _search(unique_queries, unique_base, n + 1, digits, block_rows, pivots, scoped)
     return _expand(hits, copies, asked, n)
 
 
-def _search(queries, base, n, digits, block_rows, pivots):
+def _search(queries, base, n, digits, block_rows, pivots, scoped):
     if pivots is None:
         base = durable(base)
         pivots = min(MAX_PIVOTS, max(1, base.count() // SONGS_PER_CELL))
     if pivots <= 1:
         cells = base.withColumn("cell", F.lit(0))
         asked = queries.withColumn("cell", F.lit(0))
-        return _best(_products(asked, cells, n, digits, block_rows), n)
+        return _best(_products(asked, cells, n, digits, block_rows, scoped), n)
 
     centres = _pick_pivots(base, pivots)
     base = durable(_place(base, centres))
@@ -76,10 +78,10 @@ def _search(queries, base, n, digits, block_rows, pivots):
     for row in base.groupBy("cell").agg(F.max("angle").alias("r")).collect():  # one row per pivot
         radii[row.cell] = row.r
 
-    reach = _reached(queries, base, n, digits, block_rows)
+    reach = _reached(queries, base, n, digits, block_rows, scoped)
     asked = durable(_needed_cells(queries.join(reach, ["scope", "query_key"], "left"), centres, radii, digits))
     asked = asked.withColumn("cell", F.explode("cells")).drop("cells")
-    return _best(_products(asked, base, n, digits, block_rows), n)
+    return _best(_products(asked, base, n, digits, block_rows, scoped), n)
 
 
 def _pick_pivots(base, pivots):
@@ -103,12 +105,12 @@ def _place(df, centres):
     return df.mapInPandas(assign, f"{fields}, cell int, angle double")
 
 
-def _reached(queries, base, n, digits, block_rows):
-    """What each query reaches in one block of its own cell: a bound, not an answer."""
+def _reached(queries, base, n, digits, block_rows, scoped):
+    """What each query reaches in a part of its own cell: a bound, not an answer."""
     sample = base.withColumn("_order", F.xxhash64("base_key"))
-    sample = top_rows(sample, ["scope", "cell"], ["_order", "base_key"], max(block_rows // 8, 8 * n), "_place")
+    sample = top_rows(sample, ["scope", "cell"], ["_order", "base_key"], SAMPLE_ROWS, "_place")
     hits = top_rows(
-        _products(queries, sample.drop("_order", "_place"), n, digits, block_rows),
+        _products(queries, sample.drop("_order", "_place"), n, digits, block_rows, scoped),
         ["scope", "query_key"], [F.desc("similarity"), "first_id"], n,
     )
     # Only a full list of n bounds the n-th best from below.
@@ -137,7 +139,7 @@ def _needed_cells(queries, centres, radii, digits):
     )
 
 
-def _products(asked, base, n, digits, block_rows):
+def _products(asked, base, n, digits, block_rows, scoped):
     """Bounded matrix products of query chunks and base blocks within each cell."""
     by = ["scope", "cell"]
 
@@ -145,6 +147,12 @@ def _products(asked, base, n, digits, block_rows):
         return df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).alias(name))
 
     sizes = parts(base, "blocks").join(parts(asked, "chunks"), by)
+    if not scoped:
+        sizes = F.broadcast(sizes)  # one row per pivot
+    else:
+        sizes = durable(sizes)
+        if sizes.count() <= BROADCAST_ROWS:
+            sizes = F.broadcast(sizes)
     every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
     left = (
         asked.select(*by, "query_key", "vector").join(sizes, by)

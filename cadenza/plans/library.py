@@ -399,7 +399,7 @@ _LISTS = """
 
 def _lists(spark, folder):
     return queues.number_rows(
-        view(spark, folder, "queue_additions"), ["queue_id"], [F.desc("seq")], queues.span(-F.col("seq"), 65536), "position"
+        view(spark, folder, "queue_additions"), ["queue_id"], [F.desc("seq")], [queues.span(-F.col("seq"), 65536)], "position"
     ).select("queue_id", "position", "song_id")
 
 

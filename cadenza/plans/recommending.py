@@ -130,7 +130,7 @@ def context_queues(spark, folder):
                round(q.score * (1 - coalesce(abs(f.energy - t.target_energy), 0)), 6) adjusted
         from queue q left join features f on f.song_id = q.song_id left join latest t on t.listener = q.listener)
     select listener, song_id, score, adjusted,
-           row_number() over (partition by listener order by adjusted desc, song_id) - 1 as "position"
+           row_number() over (partition by listener order by adjusted desc, md5(song_id), song_id) - 1 as "position"
     from adjusted""")
 def mood_reranked(spark, folder):
     events, features = view(spark, folder, "behavior"), view(spark, folder, "features")
@@ -185,7 +185,8 @@ def acceptance_rate(spark, folder):
         select e.listener, f.song_id, round(0.5 * fit, 6) from everyone e, fit f
         where not exists (select 1 from heard h where h.listener = e.listener and h.song_id = f.song_id))
     select listener, song_id, score, rank from (
-        select *, cast(row_number() over (partition by listener order by score desc, song_id) as int) rank from scored)
+        select *, cast(row_number() over (
+            partition by listener order by score desc, md5(song_id), song_id) as int) rank from scored)
     where rank <= 8""")
 def daily_picks(spark, folder):
     preferences = behavior.preference(view(spark, folder, "labelled"))

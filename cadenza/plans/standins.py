@@ -207,5 +207,5 @@ def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def _queues(orders: DataFrame) -> DataFrame:
     """The queues view with positions counted piece by piece, however long a queue is."""
     rows = orders.select(F.col("o_custkey").cast("string").alias("queue_id"), "o_orderkey")
-    numbered = number_rows(rows, ["queue_id"], ["o_orderkey"], span(F.col("o_orderkey"), 65536), "position")
+    numbered = number_rows(rows, ["queue_id"], ["o_orderkey"], [span(F.col("o_orderkey"), 65536)], "position")
     return numbered.select("queue_id", "position", F.col("o_orderkey").cast("string").alias("song_id"))
