@@ -7,18 +7,22 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cadenza.functions.scalars import now, random_id, stable_id
 from cadenza.operators.catalog import unique_paths
 from cadenza.operators.pieces import number_rows, span
+from cadenza.session import durable
 
 LINES_PER_PIECE = 65536
 
 
+def _known(entries: DataFrame, songs: DataFrame) -> DataFrame:
+    return entries.join(unique_paths(songs).withColumnRenamed("file_path", "path"), "path")
+
+
 def resolve(entries: DataFrame, songs: DataFrame, order: tuple[str, ...] = ("line_no",)) -> DataFrame:
     """Known entries with their song, numbered 0, 1, 2, … per playlist.
 
     ``entries``: ``playlist_id, path`` and the ``order`` columns, the first of
     which is a line number. Unknown paths are skipped and take no number.
     """
-    known = entries.join(unique_paths(songs).withColumnRenamed("file_path", "path"), "path")
-    return _numbered(known, order)
+    return _numbered(_known(entries, songs), order)
 
 
 def _numbered(known: DataFrame, order) -> DataFrame:
@@ -27,9 +31,13 @@ def _numbered(known: DataFrame, order) -> DataFrame:
     return numbered.withColumn("position", F.col("position").cast("int"))
 
 
-def rejected(resolved: DataFrame) -> DataFrame:
+def rejected(entries: DataFrame, songs: DataFrame) -> DataFrame:
     """Playlists whose import fails because one song is in them twice."""
-    repeated = resolved.groupBy("playlist_id", "song_id").agg(F.count(F.lit(1)).alias("times"))
+    return _repeating(_known(entries, songs))
+
+
+def _repeating(known: DataFrame) -> DataFrame:
+    repeated = known.groupBy("playlist_id", "song_id").agg(F.count(F.lit(1)).alias("times"))
     return (
         repeated.filter("times > 1").groupBy("playlist_id")
         .agg(F.count(F.lit(1)).alias("repeated_songs"))
@@ -42,17 +50,19 @@ def import_entries(
     """``playlist_id, song_id, position`` of every playlist that can be imported.
 
     ``on_duplicate="fail"`` drops a playlist that repeats a song as a whole (see
-    ``rejected``); ``"first"`` keeps the first place of each song.
+    ``rejected``); ``"first"`` keeps the first place of each song. The looked-up
+    entries are written once: counting, rejecting and numbering all read them.
     """
-    columns = ["playlist_id", "song_id", "position"]
+    known = _known(entries, songs).select("playlist_id", "song_id", *order)
     if on_duplicate == "fail":
-        resolved = resolve(entries, songs, order)
-        return resolved.join(rejected(resolved), "playlist_id", "left_anti").select(*columns)
-    if on_duplicate == "first":
-        known = entries.join(unique_paths(songs).withColumnRenamed("file_path", "path"), "path")
+        known = durable(known)
+        kept = known.join(_repeating(known), "playlist_id", "left_anti")
+    elif on_duplicate == "first":
         firsts = known.groupBy("playlist_id", "song_id").agg(F.min(F.struct(*order)).alias("_at"))
-        return _numbered(firsts.select("playlist_id", "song_id", "_at.*"), order).select(*columns)
-    raise ValueError("on_duplicate is 'fail' or 'first'")
+        kept = durable(firsts.select("playlist_id", "song_id", "_at.*"))
+    else:
+        raise ValueError("on_duplicate is 'fail' or 'first'")
+    return _numbered(kept, order).select("playlist_id", "song_id", "position")
 
 
 def headers(playlists: DataFrame, as_of=None, key: Column | None = None) -> DataFrame:

@@ -240,9 +240,7 @@ def playlist_import(spark, folder):
 
 @query(f"with {_RESOLVED} select * from bad")
 def playlist_rejected(spark, folder):
-    return playlists.rejected(playlists.resolve(
-        view(spark, folder, "m3u_entries"), view(spark, folder, "songs_in"), _LINES
-    ))
+    return playlists.rejected(view(spark, folder, "m3u_entries"), view(spark, folder, "songs_in"))
 
 
 @query(f"""with {_RESOLVED},

@@ -149,7 +149,7 @@ def test_duplicate_entry(rows, tuples):
     lists = entries(rows, ("p", 0, "a"), ("p", 1, "a"), ("p", 2, "b"), ("q", 0, "a"))
     songs = songs_at(rows, "a", "b")
     assert tuples(playlists.import_entries(lists, songs)) == [("q", "A", 0)]
-    assert tuples(playlists.rejected(playlists.resolve(lists, songs))) == [("p", 1)]
+    assert tuples(playlists.rejected(lists, songs)) == [("p", 1)]
     assert tuples(playlists.import_entries(lists, songs, on_duplicate="first")) == [
         ("p", "A", 0), ("p", "B", 1), ("q", "A", 0)
     ]
