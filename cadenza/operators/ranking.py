@@ -78,13 +78,15 @@ def rerank_for_mood(queue: DataFrame, targets: DataFrame, energies: DataFrame) -
 
     Scores shrink with the distance of a song's energy from the target; listeners
     without a target keep their order. Scores lie between -2 and 2; equal ones are
-    put in hash order, which also cuts a score many songs share into pieces.
+    put in hash order, which also cuts a score many songs share into pieces. The
+    first rounding takes off what the order of additions left in the last digits.
     """
     wanted = targets.select("listener", "target_energy")
     distance = F.abs(F.col("energy") - F.col("target_energy"))
+    shrunk = F.col("score") * (1 - F.coalesce(distance, F.lit(0.0)))
     adjusted = (
         queue.join(energies.select("song_id", "energy"), "song_id", "left").join(wanted, "listener", "left")
-        .withColumn("adjusted", F.round(F.col("score") * (1 - F.coalesce(distance, F.lit(0.0))), 6))
+        .withColumn("adjusted", F.round(F.round(shrunk, 12), 6))
         .drop("energy", "target_energy")
     )
     by = (F.col("adjusted"), F.col("song_id"))

@@ -127,7 +127,7 @@ def context_queues(spark, folder):
     queue as (select listener, song_id, round(preference, 6) score from listener_preference),
     adjusted as (
         select q.listener, q.song_id, q.score,
-               round(q.score * (1 - coalesce(abs(f.energy - t.target_energy), 0)), 6) adjusted
+               round(round(q.score * (1 - coalesce(abs(f.energy - t.target_energy), 0)), 12), 6) adjusted
         from queue q left join features f on f.song_id = q.song_id left join latest t on t.listener = q.listener)
     select listener, song_id, score, adjusted,
            row_number() over (partition by listener order by adjusted desc, md5(song_id), song_id) - 1 as "position"
