@@ -37,9 +37,9 @@ def _micros(moment: datetime) -> Column:
 def energy_fit(features: DataFrame, as_of: datetime) -> DataFrame:
     """``song_id, fit``: closeness of the min-max scaled energy to the hour's target."""
     part = "morning" if as_of.hour < NOON else "afternoon" if as_of.hour < EVENING else "evening"
-    low = features.select(F.min("energy")).scalar()
-    high = features.select(F.max("energy")).scalar()
-    scaled = F.when(high > low, (F.col("energy") - low) / (high - low)).otherwise(F.lit(0.0))
+    low, high = features.agg(F.min("energy"), F.max("energy")).first()
+    spread = high is not None and high > low
+    scaled = (F.col("energy") - low) / (high - low) if spread else F.lit(0.0)
     return features.select("song_id", F.round(1 - F.abs(scaled - ENERGY_TARGETS[part]), 6).alias("fit"))
 
 

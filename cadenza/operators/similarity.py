@@ -68,7 +68,7 @@ def _search(queries, base, n, digits, block_rows, pivots, scoped):
         pivots = min(MAX_PIVOTS, max(1, base.count() // SONGS_PER_CELL))
     if pivots <= 1:
         cells = base.withColumn("cell", F.lit(0))
-        asked = queries.withColumn("cell", F.lit(0))
+        asked = durable(queries).withColumn("cell", F.lit(0))
         return _best(_products(asked, cells, n, digits, block_rows, scoped), n)
 
     centres = _pick_pivots(base, pivots)
@@ -143,24 +143,15 @@ def _products(asked, base, n, digits, block_rows, scoped):
     """Bounded matrix products of query chunks and base blocks within each cell."""
     by = ["scope", "cell"]
 
-    def parts(df, name):
-        return df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).alias(name))
-
-    sizes = parts(base, "blocks").join(parts(asked, "chunks"), by)
-    if not scoped:
-        sizes = F.broadcast(sizes)  # one row per pivot
-    else:
-        sizes = durable(sizes)
-        if sizes.count() <= BROADCAST_ROWS:
-            sizes = F.broadcast(sizes)
+    base, asked = _with_sizes(asked, base, by, block_rows, scoped)
     every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
     left = (
-        asked.select(*by, "query_key", "vector").join(sizes, by)
+        asked.select(*by, "query_key", "vector", "blocks", "chunks")
         .withColumn("chunk", F.pmod(F.xxhash64("query_key"), F.col("chunks")))
         .withColumn("block", every("blocks")).drop("blocks", "chunks")
     )
     right = (
-        base.select(*by, "base_key", "first_id", "vector").join(sizes, by)
+        base.select(*by, "base_key", "first_id", "vector", "blocks", "chunks")
         .withColumn("block", F.pmod(F.xxhash64("base_key"), F.col("blocks")))
         .withColumn("chunk", every("chunks")).drop("blocks", "chunks")
     )
@@ -195,6 +186,31 @@ def _products(asked, base, n, digits, block_rows, scoped):
     return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(multiply, _HITS)
 
 
+def _with_sizes(asked, base, by, block_rows, scoped):
+    """Add to both sides how many blocks and chunks their cell is cut into."""
+
+    def parts(df, name):
+        return df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).alias(name))
+
+    if not scoped:
+        # At most one row per pivot.
+        blocks = {r.cell: r.blocks for r in parts(base, "blocks").collect()}
+        chunks = {r.cell: r.chunks for r in parts(asked, "chunks").collect()}
+        cells = [(cell, blocks[cell], chunks[cell]) for cell in blocks if cell in chunks]
+        if len(cells) == 1:
+            cell, block, chunk = cells[0]
+            here = lambda df: df.filter(F.col("cell") == cell).withColumns(
+                {"blocks": F.lit(block).cast("long"), "chunks": F.lit(chunk).cast("long")}
+            )
+            return here(base), here(asked)
+        sizes = F.broadcast(base.sparkSession.createDataFrame(cells, "cell int, blocks bigint, chunks bigint"))
+        return base.join(sizes, "cell"), asked.join(sizes, "cell")
+    sizes = durable(parts(base, "blocks").join(parts(asked, "chunks"), by))
+    if sizes.count() <= BROADCAST_ROWS:
+        sizes = F.broadcast(sizes)
+    return base.join(sizes, by), asked.join(sizes, by)
+
+
 def _best(hits, n):
     return top_rows(hits, ["scope", "query_key"], [F.desc("similarity"), "first_id"], n).drop("rank")
 

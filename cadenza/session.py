@@ -24,6 +24,8 @@ def build_session(master: str | None = None, app: str = "cadenza", **conf: str)
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
+        # Files of ``durable`` go when nothing refers to them any more.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     settings.update({name.replace("__", "."): value for name, value in conf.items()})
     for name, value in settings.items():
