@@ -48,8 +48,10 @@ def nearest(
     scope = F.col("scope") if scoped else F.lit("")
     asked = queries.select("query_id", scope.alias("scope"), unit(F.col("vector")).alias("vector"))
     songs = base.select("song_id", scope.alias("scope"), unit(F.col("vector")).alias("vector"))
-    asked = asked.withColumn("query_key", vector_key(F.col("vector")))
-    songs = songs.withColumn("base_key", vector_key(F.col("vector")))
+    # Keys are written with the vectors they were made of: computed again, a vector that
+    # is itself an average could differ in its last digit and no longer meet its key.
+    asked = durable(asked.withColumn("query_key", vector_key(F.col("vector"))))
+    songs = durable(songs.withColumn("base_key", vector_key(F.col("vector"))))
 
     # One row per different vector; of its copies only the n + 1 first ids can matter.
     copies = top_rows(songs.drop("vector"), ["scope", "base_key"], ["song_id"], n + 1, "copy")
@@ -64,11 +66,10 @@ def nearest(
 
 def _search(queries, base, n, digits, block_rows, pivots, scoped):
     if pivots is None:
-        base = durable(base)
         pivots = min(MAX_PIVOTS, max(1, base.count() // SONGS_PER_CELL))
     if pivots <= 1:
         cells = base.withColumn("cell", F.lit(0))
-        asked = durable(queries).withColumn("cell", F.lit(0))
+        asked = queries.withColumn("cell", F.lit(0))
         return _best(_products(asked, cells, n, digits, block_rows, scoped), n)
 
     centres = _pick_pivots(base, pivots)
