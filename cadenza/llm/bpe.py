@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import heapq
 import json
-import sys
 import unicodedata
 from functools import lru_cache
 from itertools import chain
@@ -25,8 +24,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from cadenza.llm.common import content
 
-#: Words remembered by a Python worker, in two halves; bounds its memory.
-REMEMBERED = 300_000
+#: Words, and pieces between white space, remembered by a Python worker; bounds its memory.
+REMEMBERED = 600_000
 
 
 def byte_letters() -> list[str]:
@@ -41,41 +40,67 @@ def byte_letters() -> list[str]:
     return letters
 
 
-def merge_word(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
-    """Merge the symbols of one word, lowest rank first and leftmost among equals."""
+def merge_word(symbols: list[int], ranks: dict[int, int], merged: list[int]) -> list[int]:
+    """Merge the symbols of one word, lowest rank first and leftmost among equals.
+
+    ``ranks`` has the rank of a pair (left << 20 | right), ``merged`` the symbol each rank makes.
+    """
     n = len(symbols)
     if n < 2:
         return symbols
-    symbols = list(symbols)
-    before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-    queue = [(rank, i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (rank := ranks.get((symbols[i], symbols[i + 1]))) is not None]
+    rank_of = ranks.get
+    queue = [
+        rank << 32 | i for i in range(n - 1) if (rank := rank_of(symbols[i] << 20 | symbols[i + 1])) is not None
+    ]
+    if not queue:
+        return symbols
     heapq.heapify(queue)
+    pop, push = heapq.heappop, heapq.heappush
+    before, after = list(range(-1, n - 1)), [*range(1, n), -1]
     while queue:
-        _, i, left, right = heapq.heappop(queue)
+        entry = pop(queue)
+        i, rank = entry & 0xFFFFFFFF, entry >> 32
         j = after[i]
-        if j < 0 or symbols[i] != left or symbols[j] != right:
+        if j < 0 or symbols[i] < 0 or rank_of(symbols[i] << 20 | symbols[j]) != rank:
             continue  # stale: one of the two has been merged since
-        symbols[i], symbols[j] = left + right, ""
-        after[i] = after[j]
-        if after[i] >= 0:
-            before[after[i]] = i
-            right = symbols[after[i]]
-            if (rank := ranks.get((symbols[i], right))) is not None:
-                heapq.heappush(queue, (rank, i, symbols[i], right))
-        if (k := before[i]) >= 0 and (rank := ranks.get((symbols[k], symbols[i]))) is not None:
-            heapq.heappush(queue, (rank, k, symbols[k], symbols[i]))
-    out, i = [], 0
-    while i >= 0:
-        out.append(symbols[i])
-        i = after[i]
-    return out
-
-
-def unassigned() -> str:
-    """A character class of the code points that this Python's Unicode tables do not know."""
-    known = [0xD800 <= i < 0xE000 or unicodedata.category(chr(i)) != "Cn" for i in range(sys.maxunicode + 1)]
-    edges = [i for i in range(len(known)) if i == 0 or known[i] != known[i - 1]] + [len(known)]
-    return "[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges, edges[1:]) if not known[a]) + "]"
+        symbols[i] = symbol = merged[rank]
+        symbols[j] = -1
+        after[i] = j = after[j]
+        if j >= 0:
+            before[j] = i
+            if (rank := rank_of(symbol << 20 | symbols[j])) is not None:
+                push(queue, rank << 32 | i)
+        if (k := before[i]) >= 0 and (rank := rank_of(symbols[k] << 20 | symbol)) is not None:
+            push(queue, rank << 32 | k)
+    return [s for s in symbols if s >= 0]
+
+
+class Remembered(dict):
+    """Results of ``make`` for keys that came up lately: at most ``REMEMBERED``, in two halves."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, key):
+        if (value := self.older.get(key)) is None:
+            value = self.make(key)
+        if len(self) >= REMEMBERED // 2:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+def known_letters(text: str) -> bool:
+    """Whether this Python's Unicode tables know all code points of the text."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+        return True
+    except UnicodeEncodeError:
+        return all(c < "\u0378" or unicodedata.category(c) != "Cn" for c in set(text))
 
 
 class WordBpe:
@@ -91,56 +116,48 @@ class WordBpe:
             raise ValueError(f"{path} is not a word-level BPE of the known form")
         self.vocab = model["vocab"]
         self.end = model["end_of_word_suffix"]
-        self.ranks = {tuple(m.split(" ") if isinstance(m, str) else m): i for i, m in enumerate(model["merges"])}
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        self.ranks = {self.vocab[left] << 20 | self.vocab[right]: i for i, (left, right) in enumerate(pairs)}
+        self.merged = [self.vocab[left + right] for left, right in pairs]
         self.special = {t["content"]: t["id"] for t in config["added_tokens"]}
         self.by_id = {i: token for token, i in (self.vocab | self.special).items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        # White space as Unicode has it; the separators U+001C to U+001F are not in it.
-        self.spaces = regex.compile(r"[\p{White_Space}]+")
-        self.words = regex.compile(split["pattern"]["Regex"].replace(r"[^\s", r"[^\p{White_Space}"))
-        # Libraries differ in the Unicode version they know; newer code points are left to the file's own.
-        self.newer = regex.compile(unassigned())
-        self.path, self.pattern = path, split["pattern"]["Regex"]
-        self.letters = byte_letters()
-        self.recent: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
-
-    def word(self, word: str) -> tuple[int, ...]:
-        """Ids of one word, from memory if it came up lately."""
-        if (ids := self.older.get(word)) is None:
-            symbols = [self.letters[b] for b in word.encode("utf-8", "surrogatepass")]
-            symbols[-1] += self.end
-            ids = tuple(self.vocab[s] for s in merge_word(symbols, self.ranks))
-        if len(self.recent) >= REMEMBERED // 2:
-            self.older, self.recent = self.recent, {}
-        self.recent[word] = ids
-        return ids
-
-    def normal(self, text: str) -> str:
-        """Composed form, single spaces, lower case letter by letter (so no final sigma)."""
-        text = self.spaces.sub(" ", text if text.isascii() else unicodedata.normalize("NFC", text))
-        return text.replace("Σ", "σ").lower()
-
-    def split(self, text: str) -> list[str]:
-        """The words of a text without special strings."""
-        if not text.isascii() and self.newer.search(text):
+        # The pattern never takes white space, so a text can be cut there first and pieces remembered.
+        self.pattern, self.path = split["pattern"]["Regex"], path
+        self.words = regex.compile(self.pattern.replace(r"[^\s", r"[^\p{White_Space}"))
+        self.odd = regex.compile(r"[\x1c-\x1f]")  # white space to str.split, not to the pattern
+        self.spaces = regex.compile(r"\p{White_Space}+")
+        self.inner = [self.vocab[letter] for letter in byte_letters()]
+        self.last = [self.vocab[letter + self.end] for letter in byte_letters()]
+        self.by_word, self.by_piece = Remembered(self._word), Remembered(self._piece)
+
+    def _word(self, word: str) -> tuple[int, ...]:
+        raw = word.encode("utf-8", "surrogatepass")
+        symbols = [self.inner[b] for b in raw]
+        symbols[-1] = self.last[raw[-1]]
+        return tuple(merge_word(symbols, self.ranks, self.merged))
+
+    def _piece(self, piece: str) -> tuple[int, ...]:
+        """Ids of a piece without white space, in composed form and lower case letter by letter (no final sigma)."""
+        if known_letters(piece):
+            composed = piece if piece.isascii() else unicodedata.normalize("NFC", piece)
+            words = self.words.findall(composed.replace("Σ", "σ").lower())
+        else:  # libraries differ in the Unicode version they know; newer code points are left to the file's own
             from tokenizers import Regex, Tokenizer, pre_tokenizers
 
-            text = Tokenizer.from_file(self.path).normalizer.normalize_str(text)
             cut = pre_tokenizers.Split(Regex(self.pattern), "removed", invert=True)
-            return [word for word, _ in cut.pre_tokenize_str(text)]
-        return self.words.findall(self.normal(text))
+            normal = Tokenizer.from_file(self.path).normalizer.normalize_str(piece)
+            words = [word for word, _ in cut.pre_tokenize_str(normal)]
+        return tuple(chain.from_iterable(map(self.by_word.__getitem__, words)))
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
-        parts = self.cut.split(text) if "<" in text else [text]
-        for part in parts:
+        for part in self.cut.split(text) if "<" in text else [text]:
             if part in self.special:
                 out.append(self.special[part])
             elif part:
-                words, recent = self.split(part), self.recent
-                got = [recent.get(w) or self.word(w) for w in words]
-                out.extend(chain.from_iterable(got))
+                pieces = part.split() if not self.odd.search(part) else filter(None, self.spaces.split(part))
+                out.extend(chain.from_iterable(map(self.by_piece.__getitem__, pieces)))
         return out
 
     def decode(self, ids) -> str:
