@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cadenza.llm import bpe, token_counts
+from cadenza.llm import bpe, simhash, token_counts
 from cadenza.llm.common import fresh_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +40,9 @@ def op9_word_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """SimHash of 3-word shingles, linked at 2 bits or fewer."""
+    return simhash.near_duplicates(table(spark, folder, "documents"), words=3, distance=2)
