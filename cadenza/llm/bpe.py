@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from cadenza.llm.common import content
 
 #: Words, and pieces between white space, remembered by a Python worker; bounds its memory.
-REMEMBERED = 600_000
+REMEMBERED = 500_000
 
 
 def byte_letters() -> list[str]:

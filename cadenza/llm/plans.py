@@ -7,9 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cadenza.llm import bpe, simhash, token_counts
+from cadenza.llm import bpe, mixing, secrets, simhash, token_counts, toxicity
 from cadenza.llm.common import fresh_folder, table
 
+#: Documents with this score or more count as toxic.
+TOXIC_FROM = 0.7
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -46,3 +49,45 @@ def op9_word_bpe(spark: SparkSession, folder: str) -> DataFrame:
 def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """SimHash of 3-word shingles, linked at 2 bits or fewer."""
     return simhash.near_duplicates(table(spark, folder, "documents"), words=3, distance=2)
+
+
+def toxicity_network(spark: SparkSession, docs: DataFrame, folder: str) -> toxicity.Network:
+    """Trained on labelled rows of ``docs`` outside the held-out third."""
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    labels = table(spark, folder, "labels").filter(fold != 1)
+    return toxicity.train(*toxicity.training_sample(docs, labels))
+
+
+@query
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Score of every document; rows whose crc32 leaves 1 are held out of training."""
+    docs = table(spark, folder, "documents")
+    scored = toxicity.score(docs.select("doc_id", "text"), toxicity_network(spark, docs, folder))
+    return scored.select(
+        "doc_id", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1).alias("held_out"), "score",
+        F.when(F.col("score") >= TOXIC_FROM, 1).otherwise(0).alias("predicted"),
+    )
+
+
+@query
+def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of the base rules and of the Markov models in every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    models = secrets.train(secrets.labelled_sample(docs))
+    found = secrets.find(docs, models)
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    text = lambda spans: F.array_join(F.transform(
+        spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+    return found.select(
+        "doc_id", *(of(kind) for kind in ("assign", "access", "hex")),
+        F.sha2(text(base).cast("binary"), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"),
+        of("random"),
+    )
+
+
+@query
+def op5_curriculum(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents mixed to 150 % of their words, sources weighing 5, 2, 1 in turn."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    return mixing.plan(docs, mixing.turns(docs)).select("doc_id", "size", "source_size", "target", "taken")
