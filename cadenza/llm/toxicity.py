@@ -26,11 +26,13 @@ WINDOW, STRIDE = 64, 32
 #: Rows of the embedding tables, width of an embedding, of a state, of the attention layer.
 BUCKETS, WIDTH, STATE, HEADS = 1 << 13, 8, 8, 8
 #: Lengths of the character n-grams.
-GRAMS = (3, 4)
+GRAMS = (3, 4, 6)
 #: Texts of each class that training may draw; bounds what comes to the driver.
 TOXIC_ROWS, CLEAN_ROWS = 1500, 2500
 #: Passes over the sample, more of them if it is so small that they are fewer steps than this.
 EPOCHS, STEPS, SEED = 7, 300, 7
+#: Other windows of clean texts that each pass learns from, at least, so that few toxic texts are not learned by heart.
+OTHERS = 1000
 #: Windows that go through the network at once, and characters of texts that are cut at once.
 AT_ONCE, CHARS = 1024, 2_000_000
 
@@ -85,7 +87,7 @@ class Network:
     def __init__(self, seed: int = SEED):
         draw = np.random.default_rng(seed)
         normal = lambda *shape: (draw.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
-        small = lambda *shape: (0.3 * draw.standard_normal(shape)).astype(np.float32)
+        small = lambda *shape: (0.05 * draw.standard_normal(shape)).astype(np.float32)
         self.p = {"chars": small(BUCKETS, WIDTH), "words": small(BUCKETS, WIDTH), "att": normal(2 * STATE, HEADS),
                   "query": normal(HEADS), "out": normal(2 * STATE), "bias": np.float32([-1.0])}
         for way in ("f", "b"):
@@ -225,19 +227,24 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     labels = np.asarray(labels, np.float32)
     if not len(labels) or labels.min() == labels.max():
         return network
+    for name, evidence in zip(("chars", "words"), _evidence(texts, labels)):
+        network.p[name][:, 0] = evidence
     words, rows, owners, starts, ends = cut(texts)
+    # To begin with, a toxic text is known by the window of its strongest word.
+    strength = network.features(words)[0][:, [0, WIDTH]].sum(axis=1) if words else np.empty(0)
+    first = np.array([strength[rows[a:min(a + WINDOW, b)]].max() for a, b in zip(starts, ends)])
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in network.p.items()}
     step = epoch = 0
     while epoch < epochs or step < STEPS:
         if epoch < 2:
-            logits = draw.random(len(starts))
+            logits = first
         elif epoch % 2 == 0:
             logits = window_logits(network, words, rows, starts, ends)
         order = np.lexsort((logits, owners))
         last = np.append(np.nonzero(np.diff(owners[order]))[0], len(order) - 1)
         chosen = order[last]
-        others = draw.permutation(len(starts))[: 2 * len(texts)]
-        chosen = draw.permutation(np.concatenate([chosen, others[labels[owners[others]] == 0][: len(texts) // 2]]))
+        clean = draw.permutation(np.nonzero(labels[owners] == 0)[0])[: max(OTHERS, len(texts) // 2)]
+        chosen = draw.permutation(np.unique(np.concatenate([chosen, clean])))
         for i in range(0, len(chosen), 128):
             batch = chosen[i:i + 128]
             windows, step = windows_at(rows, starts[batch], ends[batch]), step + 1
@@ -253,6 +260,25 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     return network
 
 
+def _evidence(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each n-gram and each word bucket, how surely it marks toxic (+) or clean (-) texts.
+
+    The signed root of the likelihood-ratio statistic of the numbers of texts that hold it.
+    """
+    held = np.zeros((2, 2, BUCKETS))
+    for text, label in zip(texts, labels):
+        if found := sorted(set(words_of(text))):
+            grams, _, whole = gram_buckets(found)
+            for kind, at in enumerate((grams, whole)):
+                held[kind, int(label), np.unique(at)] += 1
+    share = np.array([(labels == 0).mean(), (labels == 1).mean()])
+    both = held.sum(axis=1, keepdims=True)
+    expected = np.maximum(both * share[None, :, None], 1e-9)
+    g2 = 2 * np.where(held > 0, held * np.log(np.maximum(held, 1e-9) / expected), 0).sum(axis=1)
+    found = np.sign(held[:, 1] - expected[:, 1]) * np.sqrt(np.maximum(g2, 0)) / 4
+    return tuple(np.clip(found, -2, 2).astype(np.float32))
+
+
 def _update(network: Network, gradients: dict, moments: dict, step: int, rate: float = 0.01):
     """Adam; of the embedding tables, only the rows that were read."""
     for name, g in gradients.items():
