@@ -1,10 +1,70 @@
-"""The corpus pipeline over ``documents``; stages are added as their operators are."""
+"""From raw documents to token ids, in five stages over whole texts.
+
+Every stage takes (spark, docs, sf_dir) and is written as Parquet before the next one reads it.
+Texts that are null count as empty; an empty table passes through empty; rows that share an id are
+one document from the second stage on. All stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from cadenza.llm import bpe, mixing, secrets, simhash, toxicity
+from cadenza.llm.common import lookup, stored
+from cadenza.llm.plans import TOXIC_FROM, toxicity_network
+
+#: The stages end in neural scores, sampled models and tokenizer merges, which SQL cannot express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network scores below the threshold."""
+    scored = toxicity.score(docs, toxicity_network(spark, docs, sf_dir))
+    return scored.filter(F.col("score") < TOXIC_FROM).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least id, of each group of near copies."""
+    groups = simhash.near_duplicates(docs, words=3, distance=2)
+    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    found = docs.join(lookup(kept), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return found.dropDuplicates(["doc_id"])
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with a mark in place of each secret."""
+    models = secrets.train(secrets.labelled_sample(docs))
+    return secrets.redact(docs, models).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The curriculum: documents as often as their source's target asks, in training order."""
+    planned = mixing.plan(docs, mixing.turns(docs)).filter("copies > 0")
+    due = stored(planned.select(F.col("doc_id").alias("_id"), "positions"), "due")
+    copies = docs.join(due, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_position", F.explode("positions"))
+    return mixing.in_training_order(copies, "_position").select(*docs.columns)
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every copy, and the text they decode to."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    out = bpe.decode(bpe.encode(docs.select("doc_id", "source", "text"), path), path)
+    return out.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash near-dedup", drop_near_copies),
+    ("secret scans", redact_secrets),
+    ("mixing", mix_sources),
+    ("bpe", encode_tokens),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name.split()[0])
+    return docs
