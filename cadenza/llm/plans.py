@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cadenza.llm import bpe, mixing, secrets, simhash, token_counts, toxicity
+from cadenza.llm import bpe, mixing, pq, secrets, simhash, token_counts, toxicity
 from cadenza.llm.common import fresh_folder, table
 
 #: Documents with this score or more count as toxic.
@@ -91,3 +91,9 @@ def op5_curriculum(spark: SparkSession, folder: str) -> DataFrame:
     """All documents mixed to 150 % of their words, sources weighing 5, 2, 1 in turn."""
     docs = table(spark, folder, "documents").select("doc_id", "text", "source")
     return mixing.plan(docs, mixing.turns(docs)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op4_pq_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Embeddings linked at cosine 0.95, whatever their labels."""
+    return pq.link(table(spark, folder, "embeddings"), cosine=0.95)
