@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cadenza.llm import bpe, mixing, pq, secrets, simhash, token_counts, toxicity
+from cadenza.llm import bpe, mixing, pq, secrets, simhash, token_counts, tool_calls, toxicity
 from cadenza.llm.common import fresh_folder, table
 
 #: Documents with this score or more count as toxic.
@@ -97,3 +97,63 @@ def op5_curriculum(spark: SparkSession, folder: str) -> DataFrame:
 def op4_pq_links(spark: SparkSession, folder: str) -> DataFrame:
     """Embeddings linked at cosine 0.95, whatever their labels."""
     return pq.link(table(spark, folder, "embeddings"), cosine=0.95)
+
+
+#: Tools of the stand-in: every user turn asks one of them; ``count`` and ``fetch`` often get bad arguments.
+TOOLS = (
+    ("search", (("query", "string", True), ("limit", "integer", False))),
+    ("count", (("limit", "integer", True), ("unit", "string", True), ("query", "string", False))),
+)
+
+
+@query
+def op1_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
+    """Every user turn as a call, every assistant turn as the result of the user turn before it.
+
+    Call k of a conversation uses the result of call (k - 1) div 2, so calls form a tree.
+    """
+    turns = table(spark, folder, "conversations")
+    number = F.floor(F.col("turn") / 2)
+    size = F.length(F.coalesce("text", F.lit("")))
+    text = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("query")))  # {"query":"..."}
+    calls = turns.filter("role = 'user'").select(
+        "conv_id", number.alias("call_id"), "turn",
+        F.when(size % 3 == 0, "search").when(size % 3 == 1, "count").otherwise("fetch").alias("name"),
+        F.concat(F.lit("{ "), F.substr(text, F.lit(2), F.length(text) - 2), F.lit(', "limit" : '), size.cast("string"), F.lit("}"))
+        .alias("arguments"),
+        F.when(number > 0, F.array(F.floor((number - 1) / 2))).otherwise(F.array().cast("array<bigint>")).alias("after"),
+    )
+    results = turns.filter("role = 'assistant'").select(
+        "conv_id", F.floor((F.col("turn") - 1) / 2).alias("call_id"), "turn", F.col("text").alias("content"))
+    schemas = spark.createDataFrame(list(TOOLS), "name string, fields array<struct<name:string,kind:string,required:boolean>>")
+    out = tool_calls.link(calls, results, schemas)
+    return out.select(
+        "conv_id", "call_id", "turn", "name", "canonical", F.array_join("errors", ",").alias("errors"), "status",
+        "result_turn", F.length("content").cast("long").alias("result_chars"), F.col("level").cast("long").alias("level"),
+        F.col("position").cast("long").alias("position"),
+    )
+
+
+SQL["op1_tool_calls"] = """
+with calls as (
+  select conv_id, turn // 2 as call_id, turn, coalesce(text, '') as txt, length(coalesce(text, '')) as size
+  from conversations where role = 'user'
+), results as (
+  select conv_id, (turn - 1) // 2 as call_id, turn as result_turn, length(text) as result_chars
+  from conversations where role = 'assistant'
+), linked as (
+  select c.conv_id, c.call_id, c.turn,
+    case size % 3 when 0 then 'search' when 1 then 'count' else 'fetch' end as name,
+    '{"limit":' || size || ',"query":' || cast(to_json(txt) as varchar) || '}' as canonical,
+    case size % 3 when 0 then '' when 1 then 'missing unit' else 'tool' end as errors,
+    case when r.result_turn is null then 'pending' else 'linked' end as status, r.result_turn, r.result_chars,
+    length(bin(c.call_id + 1)) - 1 as level
+  from calls c left join results r using (conv_id, call_id)
+)
+select conv_id, call_id, turn, name, canonical, errors, status, result_turn, result_chars, level,
+  row_number() over (partition by conv_id order by level, turn) - 1 as position
+from linked
+union all
+select conv_id, call_id, null, null, null, null, 'orphan', result_turn, result_chars, null, null
+from results r where not exists (select 1 from calls c where c.conv_id = r.conv_id and c.call_id = r.call_id)
+"""
