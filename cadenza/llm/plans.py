@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cadenza.llm import bpe, mixing, pq, secrets, simhash, token_counts, tool_calls, toxicity
+from cadenza.llm import bpe, iblt, mixing, pq, secrets, simhash, token_counts, tool_calls, toxicity
 from cadenza.llm.common import fresh_folder, table
 
 #: Documents with this score or more count as toxic.
@@ -157,3 +157,9 @@ union all
 select conv_id, call_id, null, null, null, null, 'orphan', result_turn, result_chars, null, null
 from results r where not exists (select 1 from calls c where c.conv_id = r.conv_id and c.call_id = r.call_id)
 """
+
+
+@query
+def op2_iblt(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document against its edited text and the next document."""
+    return iblt.compare_edits(table(spark, folder, "documents"))
