@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cadenza.llm import bpe, iblt, mixing, pq, secrets, simhash, token_counts, tool_calls, toxicity
+from cadenza.llm import bpe, iblt, mixing, pq, secrets, simhash, suffixes, token_counts, tool_calls, toxicity
 from cadenza.llm.common import fresh_folder, table
 
 #: Documents with this score or more count as toxic.
@@ -163,3 +163,9 @@ from results r where not exists (select 1 from calls c where c.conv_id = r.conv_
 def op2_iblt(spark: SparkSession, folder: str) -> DataFrame:
     """Every document against its edited text and the next document."""
     return iblt.compare_edits(table(spark, folder, "documents"))
+
+
+@query
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes left of every document without strings of 400 bytes that start elsewhere too."""
+    return suffixes.remove_repeats(table(spark, folder, "documents"))
