@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cadenza.llm.common import content
+from cadenza.llm.common import content, stored
 
 ASSIGN = re.compile(  # fixed value
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE
@@ -118,8 +118,10 @@ def labelled_sample(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             out.append([{"word": w, "label": label} for w, label in found.items()])
         return pa.array(out, pa.list_(pa.struct([("word", pa.string()), ("label", pa.int32())])))
 
-    drawn = docs.select(key, content(text).alias("_text")).orderBy(F.xxhash64(key), key).limit(SAMPLE_TEXTS)
-    each = drawn.select(F.explode(words("_text")).alias("w")).select("w.*").distinct()
+    # Keys are drawn first, so that only the sample's texts leave the scan.
+    drawn = docs.select(F.col(key).alias("_drawn")).distinct().orderBy(F.xxhash64("_drawn"), "_drawn").limit(SAMPLE_TEXTS)
+    texts = docs.select(key, content(text).alias("_text")).join(F.broadcast(drawn), F.col(key).eqNullSafe(F.col("_drawn")))
+    each = stored(texts.select(F.explode(words("_text")).alias("w")).select("w.*").distinct(), "words")
     parts = [
         each.filter(F.col("label") == label).orderBy(F.xxhash64("word"), "word").limit(SAMPLE_WORDS) for label in (0, 1)
     ]
