@@ -35,6 +35,8 @@ EPOCHS, STEPS, SEED = 7, 300, 7
 OTHERS = 1000
 #: Windows that go through the network at once, and characters of texts that are cut at once.
 AT_ONCE, CHARS = 1024, 2_000_000
+#: Words whose n-grams are held at once.
+BLOCK = 10_000
 
 
 def words_of(text: str) -> list[str]:
@@ -100,6 +102,11 @@ class Network:
         chars = np.add.reduceat(self.p["chars"][grams], begins, axis=0) / counts[:, None].astype(np.float32)
         return np.concatenate([chars, self.p["words"][whole]], axis=1), (grams, counts, whole)
 
+    def project_words(self, words: list[str]) -> dict[str, np.ndarray]:
+        """The same for words, some at a time: their n-grams are many times the words themselves."""
+        parts = [self.project(self.features(words[i:i + BLOCK])[0]) for i in range(0, len(words), BLOCK)]
+        return {way: np.concatenate([p[way] for p in parts]) for way in ("f", "b")}
+
     def project(self, x: np.ndarray) -> dict[str, np.ndarray]:
         """What each word adds to the gates of either direction."""
         return {way: x @ self.p[f"{way}W"] + self.p[f"{way}c"] for way in ("f", "b")}
@@ -204,7 +211,7 @@ def windows_at(rows: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 
 def window_logits(network: Network, words, rows, starts, ends) -> np.ndarray:
-    projected = network.project(network.features(words)[0]) if words else None
+    projected = network.project_words(words) if words else None
     out = np.empty(len(starts), np.float32)
     for i in range(0, len(starts), AT_ONCE):
         part = slice(i, i + AT_ONCE)
@@ -225,13 +232,14 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     """Fit on whole texts: each epoch learns from every text's highest window, and one more of clean ones."""
     network, draw = Network(seed), np.random.default_rng(seed)
     labels = np.asarray(labels, np.float32)
-    if not len(labels) or labels.min() == labels.max():
+    if not len(labels) or labels.min() == labels.max() or not any(map(words_of, texts)):
         return network
     for name, evidence in zip(("chars", "words"), _evidence(texts, labels)):
         network.p[name][:, 0] = evidence
     words, rows, owners, starts, ends = cut(texts)
     # To begin with, a toxic text is known by the window of its strongest word.
-    strength = network.features(words)[0][:, [0, WIDTH]].sum(axis=1) if words else np.empty(0)
+    strength = np.concatenate([
+        network.features(words[i:i + BLOCK])[0][:, [0, WIDTH]].sum(axis=1) for i in range(0, len(words), BLOCK)])
     first = np.array([strength[rows[a:min(a + WINDOW, b)]].max() for a, b in zip(starts, ends)])
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in network.p.items()}
     step = epoch = 0
