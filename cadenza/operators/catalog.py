@@ -10,6 +10,7 @@ from cadenza.functions.scalars import (
     UNKNOWN_ALBUM, UNKNOWN_ARTIST, UNKNOWN_TITLE, ascii_fold, ascii_lower, base_name,
     contains_pattern, now, parse_time, stable_id,
 )
+from cadenza.operators.pieces import lookup
 from cadenza.session import durable
 
 
@@ -87,7 +88,7 @@ def unique_paths(songs: DataFrame) -> DataFrame:
 
 def lookup_paths(paths: DataFrame, songs: DataFrame) -> DataFrame:
     """Many point lookups by path at once; unknown paths get a null song."""
-    return paths.join(unique_paths(songs), "file_path", "left")
+    return paths.join(lookup(unique_paths(songs)), "file_path", "left")
 
 
 def lookup_ids(ids: DataFrame, features: DataFrame) -> DataFrame:
@@ -112,7 +113,7 @@ def insert_ignore(existing: DataFrame, incoming: DataFrame, order: str) -> DataF
     while True:
         by_id = rows.groupBy("id").agg(F.min(order).alias("_first_of_id"))
         by_path = rows.groupBy("file_path").agg(F.min(order).alias("_first_of_path"))
-        marked = rows.join(by_id, "id").join(by_path, "file_path").withColumn(
+        marked = rows.join(lookup(by_id), "id").join(lookup(by_path), "file_path").withColumn(
             "_first", (F.col("_first_of_id") == F.col(order)) & (F.col("_first_of_path") == F.col(order))
         )
         marked = durable(marked.select(*incoming.columns, "_first"))

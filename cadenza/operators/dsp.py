@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cadenza.functions.vectors import average, bind
-from cadenza.operators.pieces import PIECE, running_total, span, with_halo
+from cadenza.operators.pieces import PIECE, lookup, running_total, span, with_halo
 from cadenza.session import durable
 
 # Fixed values of the analysis.
@@ -283,7 +283,7 @@ def analyse(pcm: DataFrame, sr: int = SAMPLE_RATE, frame: int = FRAME, hop: int
     ))
     peaks = bands.groupBy("song_id").agg(F.max(F.array_max("bands")).alias("_peak"))
     floor = F.col("_peak") - RANGE_DB
-    limited = bands.join(peaks, "song_id").withColumn(
+    limited = bands.join(lookup(peaks), "song_id").withColumn(
         "bands", F.transform("bands", lambda x: F.greatest(x, floor))
     ).drop("_peak")
     onsets = durable(onset_strength(limited))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cadenza.operators.catalog import register_paths, upsert_features
 from cadenza.operators.features import stamp
+from cadenza.operators.pieces import lookup
 
 SECONDS_PER_SONG = 2  # fixed value: rate behind the remaining-time estimate
 
@@ -56,7 +57,9 @@ def index_files(
 
     result = F.col("_result")
     again = (result == EXTRACTED) & (F.col("seq") > F.col("_first")) & F.lit(not force)
-    outcomes = requested.join(paths.select("file_path", "song_id", "_first", "_result", "error"), "file_path").select(
+    outcomes = requested.join(
+        lookup(paths.select("file_path", "song_id", "_first", "_result", "error")), "file_path"
+    ).select(
         "seq",
         "file_path",
         F.when(result != MISSING, F.col("song_id")).alias("song_id"),

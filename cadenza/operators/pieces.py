@@ -5,7 +5,7 @@ or playlist that holds a third of the table would then hold one task for hours.
 The functions here cut every group into pieces along its own order (a span of
 positions, of time, of hash values), do the ordered work piece by piece, and
 carry what crosses a border: a total per piece, or copies of the rows near it.
-Keys and pieces must not be null.
+Rows with null keys or a null order form groups and pieces of their own.
 """
 
 from __future__ import annotations
@@ -13,6 +13,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 PIECE = "_piece"
+_BY = "_by"
+
+
+def lookup(df: DataFrame) -> DataFrame:
+    """A join side that is an aggregate or window on the join key, dealt anew.
+
+    AQE splits a hot key only where a shuffle lies right below either side of the join.
+    """
+    return df.hint("rebalance")
 
 
 def span(position: Column, width: int) -> Column:
@@ -46,19 +55,22 @@ def running_total(
 def _total(df, keys, order, pieces, value, name):
     cut = df.withColumns(pieces) if pieces else df
     by = [*keys, *pieces]
+    # Structs are equal where their nulls are in the same places, so one shuffle serves window and join.
+    group = F.struct(*by) if by else F.lit(0)
+    cut = cut.withColumn(_BY, group)
     inside = (
-        Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)
+        Window.partitionBy(_BY).orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     if not pieces:
-        return cut.withColumn(name, F.sum(value).over(inside))
+        return cut.withColumn(name, F.sum(value).over(inside)).drop(_BY)
     *coarser, finest = pieces
     sums = cut.groupBy(*by).agg(F.sum(value).alias("_sum"))
     upto = _total(sums, keys, [finest], {p: F.col(p) for p in coarser}, F.col("_sum"), "_upto")
-    starts = upto.select(*by, (F.col("_upto") - F.col("_sum")).alias("_start"))
+    starts = upto.select(group.alias(_BY), (F.col("_upto") - F.col("_sum")).alias("_start"))
     return (
-        cut.withColumn("_inside", F.sum(value).over(inside)).join(starts, by)
-        .withColumn(name, F.col("_start") + F.col("_inside")).drop("_start", "_inside")
+        cut.withColumn("_inside", F.sum(value).over(inside)).join(starts, _BY)
+        .withColumn(name, F.col("_start") + F.col("_inside")).drop("_start", "_inside", _BY)
     )
 
 

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cadenza.functions.scalars import now, random_id, stable_id
 from cadenza.operators.catalog import unique_paths
-from cadenza.operators.pieces import number_rows, span
+from cadenza.operators.pieces import lookup, number_rows, span
 from cadenza.session import durable
 
 LINES_PER_PIECE = 65536
 
 
 def _known(entries: DataFrame, songs: DataFrame) -> DataFrame:
-    return entries.join(unique_paths(songs).withColumnRenamed("file_path", "path"), "path")
+    return entries.join(lookup(unique_paths(songs).withColumnRenamed("file_path", "path")), "path")
 
 
 def resolve(entries: DataFrame, songs: DataFrame, order: tuple[str, ...] = ("line_no",)) -> DataFrame:
@@ -56,7 +56,7 @@ def import_entries(
     known = _known(entries, songs).select("playlist_id", "song_id", *order)
     if on_duplicate == "fail":
         known = durable(known)
-        kept = known.join(_repeating(known), "playlist_id", "left_anti")
+        kept = known.join(lookup(_repeating(known)), "playlist_id", "left_anti")
     elif on_duplicate == "first":
         firsts = known.groupBy("playlist_id", "song_id").agg(F.min(F.struct(*order)).alias("_at"))
         kept = durable(firsts.select("playlist_id", "song_id", "_at.*"))

@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from cadenza.operators.pieces import hash_span, number_rows, span
+from cadenza.operators.pieces import hash_span, lookup, number_rows, span
 
 POSITIONS_PER_PIECE = 65536
 
 
 def replace(queues: DataFrame, lists: DataFrame) -> DataFrame:
     """Queues named in ``lists`` take the new songs; the others stay."""
-    return queues.join(lists.select("queue_id").distinct(), "queue_id", "left_anti").unionByName(
+    return queues.join(lookup(lists.select("queue_id").distinct()), "queue_id", "left_anti").unionByName(
         lists.select("queue_id", "position", "song_id")
     )
 
@@ -31,7 +31,7 @@ def append(queues: DataFrame, additions: DataFrame) -> DataFrame:
     ends = queues.groupBy("queue_id").agg((F.max("position") + 1).alias("_end"))
     piece = span(F.col("seq"), POSITIONS_PER_PIECE)
     numbered = number_rows(additions, ["queue_id"], ["seq"], [piece], "_offset")
-    tail = numbered.join(ends, "queue_id", "left").select(
+    tail = numbered.join(lookup(ends), "queue_id", "left").select(
         "queue_id", (F.coalesce("_end", F.lit(0)) + F.col("_offset")).cast("long").alias("position"), "song_id"
     )
     return queues.select("queue_id", F.col("position").cast("long"), "song_id").unionByName(tail)
@@ -48,13 +48,13 @@ def play_next(queues: DataFrame, state: DataFrame, inserts: DataFrame) -> DataFr
     allowed = inserts.join(playing, "queue_id")
     numbered = number_rows(allowed, ["queue_id"], ["seq"], [piece], "_offset")
     counts = allowed.groupBy("queue_id", "current_index").agg(F.count(F.lit(1)).alias("_inserted"))
-    moved = queues.join(counts, "queue_id", "left").select(
+    moved = queues.join(lookup(counts), "queue_id", "left").select(
         "queue_id",
         F.when(F.col("position") > F.col("current_index"), F.col("position") + F.col("_inserted"))
         .otherwise(F.col("position")).cast("long").alias("position"),
         "song_id",
     )
-    new = numbered.join(counts.drop("current_index"), "queue_id").select(
+    new = numbered.join(lookup(counts.drop("current_index")), "queue_id").select(
         "queue_id",
         (F.col("current_index") + F.col("_inserted") - F.col("_offset")).cast("long").alias("position"),
         "song_id",

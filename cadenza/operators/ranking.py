@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-from cadenza.operators.pieces import number_rows, score_order, score_pieces, top_rows
+from cadenza.operators.pieces import lookup, number_rows, score_order, score_pieces, top_rows
 from cadenza.operators.similarity import nearest
 
 # Fixed values of the ranking rules.
@@ -67,7 +67,7 @@ def context_queue(
         F.col("song_id") != F.col("current_song_id")
     )
     kept = top_rows(others.drop("rank"), ["current_song_id", "genre_context"], [F.desc("similarity"), "song_id"], pool)
-    candidates = requests.join(kept, ["current_song_id", "genre_context"]).select(
+    candidates = requests.join(lookup(kept), ["current_song_id", "genre_context"]).select(
         "request_id", "listener", "song_id", "similarity"
     )
     return final_rank(candidates, weights, n, on=("listener", "song_id"))

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from cadenza.functions.vectors import unit, vector_key
-from cadenza.operators.pieces import top_rows
+from cadenza.operators.pieces import lookup, top_rows
 from cadenza.session import durable
 
 NEIGHBOURS = 15  # fixed value: K of the neighbour search
@@ -219,7 +219,7 @@ def _best(hits, n):
 def _expand(hits, copies, asked, n):
     """From vectors back to songs: copies get their own ids, queries drop themselves."""
     songs = top_rows(
-        hits.join(copies, ["scope", "base_key"]),
+        hits.join(lookup(copies), ["scope", "base_key"]),
         ["scope", "query_key"], [F.desc("similarity"), "song_id"], n + 1,
     )
     lists = songs.groupBy("scope", "query_key").agg(
@@ -227,7 +227,7 @@ def _expand(hits, copies, asked, n):
     )
     others = F.filter("found", lambda hit: hit.song_id != F.col("query_id"))
     return (
-        asked.select("scope", "query_key", "query_id").join(lists, ["scope", "query_key"])
+        asked.select("scope", "query_key", "query_id").join(lookup(lists), ["scope", "query_key"])
         .select("query_id", F.posexplode(F.slice(others, 1, n)).alias("_place", "hit"))
         .select("query_id", "hit.song_id", "hit.similarity", (F.col("_place") + 1).alias("rank"))
     )

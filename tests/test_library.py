@@ -279,3 +279,32 @@ def test_genre_words_and_chips(rows, tuples):
     tagged = picks.tag_genres(songs)
     assert tuples(tagged, "title", "genre_tag") == [("Hindi hit", "Hindi"), ("x", "Punjabi"), ("y", "Energetic")]
     assert picks.filter_genre(tagged, "All").count() == 3 and picks.filter_genre(tagged, "Hindi").count() == 1
+
+
+def test_rows_with_null_keys_and_order_are_numbered(rows, tuples):
+    table = rows("k string, at bigint", (None, 3), (None, 200), (None, None), ("a", 1), ("a", None))
+    numbered = number_rows(table, ["k"], ["at"], [span(F.col("at"), 100), span(F.col("at"), 10)], "n")
+    found = {(r.k, r.at): r.n for r in numbered.collect()}
+    assert found == {(None, None): 0, (None, 3): 1, (None, 200): 2, ("a", None): 0, ("a", 1): 1}
+
+
+def test_hot_paths_are_split(spark, rows):
+    limits = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+    }
+    before = {name: spark.conf.get(name, None) for name in limits}
+    for name, value in limits.items():
+        spark.conf.set(name, value)
+    try:
+        at = F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("p"), "id"))
+        paths = spark.range(0, 40000, 1, 8).select("id", at.alias("file_path"))
+        songs = paths.select(F.col("id").cast("string").alias("id"), "file_path")
+        found = catalog.lookup_paths(paths, songs)
+        assert len(found.collect()) == 40000
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
