@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from cadenza.operators.catalog import register_paths, upsert_features
 from cadenza.operators.features import stamp
 from cadenza.operators.pieces import lookup
+from cadenza.session import durable
 
 SECONDS_PER_SONG = 2  # fixed value: rate behind the remaining-time estimate
 
@@ -31,8 +33,10 @@ def index_files(
     per path: the feature columns, and ``error`` where it failed; a path it does
     not have failed without a message. A missing file makes no song row; a failed
     one keeps the row just registered and is tried again by the next run. With
-    ``force`` songs that have features are extracted again.
+    ``force`` songs that have features are extracted again. The result per path is
+    written once and all three tables are made from it, with one clock.
     """
+    as_of = datetime.now(timezone.utc) if as_of is None else as_of
     columns = [c for c in features.columns if c not in ("song_id", "extracted_at")]
     per_path = requested.groupBy("file_path").agg(F.min("seq").alias("_first"))
     per_path = per_path.join(
@@ -50,10 +54,10 @@ def index_files(
     )
     skip = F.col("_done").isNotNull() & F.lit(not force)
     failed = F.col("_analysed").isNull() | F.col("error").isNotNull()
-    paths = paths.withColumn(
+    paths = durable(paths.withColumn(
         "_result",
         F.when(F.col("_exists").isNull(), MISSING).when(skip, INDEXED).when(failed, FAILED).otherwise(EXTRACTED),
-    )
+    ))
 
     result = F.col("_result")
     again = (result == EXTRACTED) & (F.col("seq") > F.col("_first")) & F.lit(not force)
