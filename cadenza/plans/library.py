@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from cadenza.operators import catalog, picks, playlists, queues
 from cadenza.plans.registry import query
 from cadenza.plans.standins import AS_OF, table, view
 from cadenza.sources.m3u import decode_text, parse_m3u
+from cadenza.session import shared_folder
+from cadenza.sources import tables
 from cadenza.sources.tables import features_from_text, features_to_text
 
 NOW = datetime.fromisoformat(AS_OF)
@@ -264,6 +267,24 @@ def playlist_headers(spark, folder):
     return rows.select("id", "name", "type", F.unix_micros("created_at").alias("created_us"), "metadata")
 
 
+@query("""
+    select playlist_id, cast(l_partkey as string) song_id, cast(line_no as int) "position"
+    from m3u_entries where playlist_id not like '%3'""")
+def playlist_committed(spark, folder):
+    """One import that stops before its headers and is run again, and one that never writes them."""
+    target = f"{shared_folder(spark).rstrip('/')}/playlists-{uuid.uuid4().hex}"
+    entries = view(spark, folder, "m3u_entries").select(
+        "playlist_id", F.col("l_partkey").cast("string").alias("song_id"), F.col("line_no").cast("int").alias("position")
+    )
+    first, second = entries.filter("playlist_id not like '%3'"), entries.filter("playlist_id like '%3'")
+    tables.write_playlist_songs(first.filter("position < 3"), target, "first")
+    tables.write_playlist_songs(first, target, "first")
+    heads = playlists.headers(first.select("playlist_id").distinct().withColumn("name", F.col("playlist_id")), NOW, F.col("name"))
+    tables.write_playlists(heads.withColumn("id", F.col("name")), target, "first")
+    tables.write_playlist_songs(second, target, "second")
+    return tables.read_playlist_songs(spark, target)
+
+
 @query("""
     select playlist_id, genre, songs, round(songs / sum(songs) over (partition by playlist_id), 6) as share from (
         select e.playlist_id, s.album genre, count(*) songs

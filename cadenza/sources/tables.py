@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from urllib.parse import quote
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from cadenza import schemas
 from cadenza.functions.vectors import from_text, to_text
@@ -12,7 +17,8 @@ _VECTORS = ("mfcc_vector", "chroma_vector", "contrast_vector", "full_vector")
 
 
 def read_songs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.SONGS).parquet(path)
+    """All songs, of tables in one piece or written in batches."""
+    return spark.read.schema(schemas.SONGS).parquet(path).select(*schemas.SONGS.names)
 
 
 def read_features(spark: SparkSession, path: str, as_text: bool = False) -> DataFrame:
@@ -48,22 +54,40 @@ def list_audio_files(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def append_songs(songs: DataFrame, path: str) -> None:
-    """One batched insert."""
-    songs.write.mode("append").parquet(path)
+def _write_batch(rows: DataFrame, path: str, batch: str) -> None:
+    """Rows below a folder of their batch; the same batch written again replaces itself."""
+    rows.write.mode("overwrite").parquet(f"{path}/batch={quote(batch, safe='')}")
+
+
+def _read_batches(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """All batches, with the name of each in ``batch``."""
+    return spark.read.schema(StructType([*schema.fields, StructField("batch", StringType())])).parquet(path)
+
+
+def append_songs(songs: DataFrame, path: str, batch: str) -> None:
+    """One batched insert; run again under the same name, it is still one."""
+    _write_batch(songs, path, batch)
+
 
+def write_playlist_songs(entries: DataFrame, folder: str, batch: str) -> None:
+    """First half of an import: entries, not seen until ``write_playlists``."""
+    _write_batch(entries, f"{folder}/playlist_songs", batch)
 
-def write_playlists(headers: DataFrame, entries: DataFrame, folder: str) -> None:
-    """Entries first, headers last: a playlist exists from the moment its header does."""
-    entries.write.mode("append").parquet(f"{folder}/playlist_songs")
-    headers.write.mode("append").parquet(f"{folder}/playlists")
+
+def write_playlists(headers: DataFrame, folder: str, batch: str) -> None:
+    """Second half of an import: a playlist exists from the moment its header does.
+
+    The ids must be those of the entries, so random ones have to be stored before.
+    """
+    _write_batch(headers, f"{folder}/playlists", batch)
 
 
 def read_playlist_songs(spark: SparkSession, folder: str) -> DataFrame:
-    """Entries of committed playlists only; what a failed import left is not seen."""
-    entries = spark.read.schema(schemas.PLAYLIST_SONGS).parquet(f"{folder}/playlist_songs")
-    headers = spark.read.schema(schemas.PLAYLISTS).parquet(f"{folder}/playlists")
-    return entries.join(headers.select(F.col("id").alias("playlist_id")), "playlist_id", "left_semi")
+    """Entries whose playlist the same import committed; what a failed one left is not seen."""
+    entries = _read_batches(spark, f"{folder}/playlist_songs", schemas.PLAYLIST_SONGS)
+    headers = _read_batches(spark, f"{folder}/playlists", schemas.PLAYLISTS)
+    committed = headers.select(F.col("id").alias("playlist_id"), "batch")
+    return entries.join(committed, ["playlist_id", "batch"], "left_semi").select(*schemas.PLAYLIST_SONGS.names)
 
 
 def publish(df: DataFrame, folder: str, version: str) -> str:
@@ -92,3 +116,16 @@ def read_daily_picks(spark: SparkSession, path: str, pick_date: str) -> DataFram
 def stale(picks: DataFrame) -> bool:
     """True when a day has no picks yet and they are to be generated."""
     return picks.isEmpty()
+
+
+def picks_of_day(spark: SparkSession, path: str, pick_date: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The day's stored picks, made and stored first where there are none."""
+    try:
+        found = read_daily_picks(spark, path, pick_date)
+        if not stale(found):
+            return found
+    except AnalysisException as error:  # the first day of all
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    write_daily_picks(make(), pick_date, path)
+    return read_daily_picks(spark, path, pick_date)
