@@ -27,6 +27,19 @@ _ORDINALS_PER_PIECE = 4096
 IN_ORDER = ["ts", "id"]
 
 
+def from_logs(logs: DataFrame) -> DataFrame:
+    """Rows of the documented log table (``session_id``, ``timestamp``) under the names used here.
+
+    That table does not say who listened: without a ``listener`` the session stands for one.
+    """
+    columns = logs.columns
+    if "timestamp" in columns and "ts" not in columns:
+        logs = logs.withColumnRenamed("timestamp", "ts")
+    if "session_id" in columns and "listener" not in columns:
+        logs = logs.withColumn("listener", F.col("session_id"))
+    return logs
+
+
 def label(event_type: Column, pct: Column) -> Column:
     """1 = played past 80 %, 0 = skipped before 20 %, null = says nothing."""
     skipped = event_type == "skip"
@@ -90,21 +103,33 @@ def sessionize(events: DataFrame, gap_seconds: float, piece_seconds: float = PIE
 
 
 def session_summary(events: DataFrame, features: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Dominant genre (ties by name), average energy and bounds of each session."""
+    """Dominant genre (ties by name), average energy and bounds of each session.
+
+    All events count and set the bounds; genre and energy come from the songs that have
+    features, and are null where none has.
+    """
     by_genre = (
-        events.join(features.select("song_id", "genre", "energy"), "song_id")
+        events.join(features.select("song_id", "genre", "energy"), "song_id", "left")
         .groupBy(*keys, "genre").agg(
-            F.count(F.lit(1)).alias("_n"), F.sum("energy").alias("_energy"),
+            F.count(F.lit(1)).alias("_n"), F.count("energy").alias("_known"), F.sum("energy").alias("_energy"),
             F.min("ts").alias("_start"), F.max("ts").alias("_end"),
         )
     )
     return by_genre.groupBy(*keys).agg(
-        F.min(F.struct(-F.col("_n"), F.col("genre"))).getField("genre").alias("dominant_genre"),
-        (F.sum("_energy") / F.sum("_n")).alias("avg_energy"),
-        F.sum("_n").alias("events"), F.min("_start").alias("started_at"), F.max("_end").alias("ended_at"),
+        _dominant().alias("dominant_genre"), _average().alias("avg_energy"), F.sum("_n").alias("events"), F.min("_start").alias("started_at"), F.max("_end").alias("ended_at"),
     )
 
 
+def _dominant() -> Column:
+    """The genre with most events, ties by name; null is no genre."""
+    known = F.when(F.col("genre").isNotNull(), F.struct(-F.col("_n"), F.col("genre")))
+    return F.min(known).getField("genre")
+
+
+def _average() -> Column:
+    return F.sum("_energy") / F.nullif(F.sum("_known"), F.lit(0))
+
+
 def skip_runs(
     events: DataFrame, skips: int = SHIFT_SKIPS, seconds: float = SHIFT_SECONDS,
     piece_seconds: float = PIECE_SECONDS, key: str = "listener",
@@ -208,8 +233,10 @@ def mood_targets(
 ) -> DataFrame:
     """Energy and genre of the last songs each listener did not skip before a shift.
 
-    Songs heard to the end are counted along each listener's events; a shift then
-    needs the ``last`` counts up to its own, an equality join of that many rows.
+    Events that are not skips are counted along each listener's events; a shift then
+    needs the ``last`` counts up to its own, an equality join of that many rows. Songs
+    without features are among the ``last`` and in ``songs``, but say nothing of energy and
+    genre; these are null where no song has any.
     """
     heard = (F.col("event_type") != "skip").cast("int")
     counted = running_total(
@@ -223,12 +250,11 @@ def mood_targets(
         .select("listener", F.col("id").alias("shift_id"), F.explode(wanted).alias("_count"))
     )
     by_genre = (
-        asked.join(songs, ["listener", "_count"]).join(features.select("song_id", "genre", "energy"), "song_id")
+        asked.join(songs, ["listener", "_count"])
+        .join(features.select("song_id", "genre", "energy"), "song_id", "left")
         .groupBy("listener", "shift_id", "genre")
-        .agg(F.count(F.lit(1)).alias("_n"), F.sum("energy").alias("_energy"))
+        .agg(F.count(F.lit(1)).alias("_n"), F.count("energy").alias("_known"), F.sum("energy").alias("_energy"))
     )
     return by_genre.groupBy("listener", "shift_id").agg(
-        (F.sum("_energy") / F.sum("_n")).alias("target_energy"),
-        F.min(F.struct(-F.col("_n"), F.col("genre"))).getField("genre").alias("target_genre"),
-        F.sum("_n").alias("songs"),
+        _average().alias("target_energy"), _dominant().alias("target_genre"), F.sum("_n").alias("songs"),
     )

@@ -20,7 +20,6 @@ LEAST_PREFERENCE = 0.4
 DAILY_SONGS = 8
 WEEK_DAYS = 7
 CLUSTERS = 5
-PER_CLUSTER = 5
 WEEKEND_SONGS = 25
 DISCOVERY_SHARE = 0.1
 RECENT_TILES = 4
@@ -141,9 +140,10 @@ def weekend_playlist(
 ) -> DataFrame:
     """Each listener's weekend playlist: ``listener, position, song_id, kind``.
 
-    Songs of the last week are clustered; from every cluster five of the
-    listener's own are drawn without replacement, weighted by preference. One in
-    ten places goes to songs nobody has played, nearest to the listener's average.
+    Songs of the last week are clustered; the listener's own are drawn without
+    replacement, weighted by preference, one of each cluster in turn: five of each, and
+    more of some where others have fewer. One in ten places goes to songs nobody has
+    played, nearest to the listener's average.
     """
     discoveries = math.ceil(DISCOVERY_SHARE * songs)
     recent = events.filter(
@@ -159,7 +159,7 @@ def weekend_playlist(
         recent.join(clusters, "song_id").join(preferences, ["listener", "song_id"], "left")
         .withColumn("_draw", F.round(-F.log(uniform(seed, F.col("listener"), F.col("song_id"))) / weight, 9))
     )
-    best = top_rows(drawn, ["listener", "cluster"], ["_draw", "song_id"], PER_CLUSTER, "_turn")
+    best = top_rows(drawn, ["listener", "cluster"], ["_draw", "song_id"], songs - discoveries, "_turn")
     kept = top_rows(best, ["listener"], ["_turn", "_draw", "song_id"], songs - discoveries, "position").select(
         "listener", "position", "song_id", F.lit("sampled").alias("kind")
     )

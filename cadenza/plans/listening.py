@@ -50,9 +50,10 @@ def sessions(spark, folder):
 
 @query("""
     with counted as (
-        select listener, session_no, genre, count(*) n, sum(energy) e, min(ts) s, max(ts) t
-        from session_events b join features f on f.song_id = b.song_id group by listener, session_no, genre)
-    select listener, session_no, min({'n': -n, 'g': genre}).g dominant_genre, round(sum(e) / sum(n), 6) avg_energy,
+        select listener, session_no, genre, count(*) n, count(energy) k, sum(energy) e, min(ts) s, max(ts) t
+        from session_events b left join features f on f.song_id = b.song_id group by listener, session_no, genre)
+    select listener, session_no, (min({'n': -n, 'g': genre}) filter (where genre is not null)).g dominant_genre,
+           round(sum(e) / nullif(sum(k), 0), 6) avg_energy,
            cast(sum(n) as bigint) events, epoch_us(min(s)) started_us, epoch_us(max(t)) ended_us
     from counted group by listener, session_no""")
 def session_summary(spark, folder):

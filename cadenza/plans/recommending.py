@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 from cadenza.operators import behavior, picks, ranking, similarity
 from cadenza.plans.registry import query
 from cadenza.plans.standins import AS_OF, view
+from cadenza.session import durable, shared_folder
+from cadenza.sources import tables
 
 NOW = datetime.fromisoformat(AS_OF)
 _PAIR = ["query_id", "song_id", "similarity", "rank"]
@@ -170,7 +173,7 @@ def acceptance_rate(spark, folder):
     return rates.select(F.col("week").cast("string").alias("week"), "recommended", "accepted", F.round("rate", 6).alias("rate"))
 
 
-@query(f"""
+_DAILY = f"""
     with bounds as (select min(energy) low, max(energy) high from features),
     fit as (select song_id, round(1 - abs((energy - low) / (high - low) - 0.5), 6) fit from features, bounds),
     heard as (select listener, song_id, max(ts) last from behavior where ts < timestamp '{AS_OF}' group by all),
@@ -187,13 +190,26 @@ def acceptance_rate(spark, folder):
     select listener, song_id, score, rank from (
         select *, cast(row_number() over (
             partition by listener order by score desc, md5(song_id), song_id) as int) rank from scored)
-    where rank <= 8""")
+    where rank <= 8"""
+
+
+@query(_DAILY)
 def daily_picks(spark, folder):
     preferences = behavior.preference(view(spark, folder, "labelled"))
     found = picks.daily_picks(view(spark, folder, "behavior"), preferences, view(spark, folder, "features"), NOW)
     return found.select("listener", "song_id", "score", "rank")
 
 
+@query(f"select *, '2024-01-31' pick_date from ({_DAILY})")
+def daily_table(spark, folder):
+    """Picks stored by day: another day's, then this day's, made once and read from then on."""
+    path = f"{shared_folder(spark).rstrip('/')}/daily-{uuid.uuid4().hex}"
+    found = durable(daily_picks(spark, folder))
+    tables.write_daily_picks(found.filter("rank = 1"), "2024-01-30", path)
+    tables.picks_of_day(spark, path, "2024-01-31", lambda: found)
+    return tables.picks_of_day(spark, path, "2024-01-31", lambda: found.limit(0))
+
+
 _WEEK = f"""
     recent as (
         select distinct listener, song_id from behavior
@@ -223,7 +239,7 @@ _WEEK = f"""
         select *, row_number() over (partition by listener, cluster order by draw, song_id) turn from drawn),
     sampled as (
         select listener, song_id, row_number() over (partition by listener order by turn, draw, song_id) place
-        from turns where turn <= 5),
+        from turns),
     tastes as (
         select listener, list(x order by i) v from (
             select listener, i, avg(x) x from (

@@ -44,13 +44,13 @@ def stream_ingest(spark, folder):
 
 @query("""
     select listener, count(*) events, round(avg(energy), 6) avg_energy, epoch_us(min(b.ts)) started_us, epoch_us(max(b.ts)) ended_us
-    from session_events b join features f on f.song_id = b.song_id
+    from session_events b left join features f on f.song_id = b.song_id
     group by listener, session_no
     having max(b.ts) + interval 6 hour <= date_trunc('millisecond', (select max(ts) from behavior)) - interval 10 minute""")
 def stream_sessions(spark, folder):
     """Closed sessions only: the watermark is ten minutes behind the last event."""
     energies = view(spark, folder, "features").select("song_id", "energy")
-    closed = streams.sessions(_events(spark, folder).join(energies, "song_id"), "6 hours")
+    closed = streams.sessions(_events(spark, folder).join(energies, "song_id", "left"), "6 hours")
     rows = _run(spark, closed, closed.schema)
     return rows.select(
         "listener", "events", F.round("avg_energy", 6).alias("avg_energy"),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cadenza import schemas
-from cadenza.operators.behavior import SHIFT_SECONDS, SHIFT_SKIPS
+from cadenza.operators.behavior import SHIFT_SECONDS, SHIFT_SKIPS, from_logs
 from cadenza.operators.learner import RATE, update
 
 SYNC_INTERVAL = "30 seconds"  # fixed value: how often clients send their events
@@ -17,11 +17,11 @@ LATENESS = "10 minutes"
 
 
 def read_events(spark: SparkSession, folder: str, schema=schemas.BEHAVIOR_LOGS, **options) -> DataFrame:
-    """Event files as they arrive; ``options`` go to the file source."""
+    """Event files as they arrive, with ``listener`` and ``ts``; ``options`` go to the file source."""
     reader = spark.readStream.schema(schema).format("parquet")
     for name, value in options.items():
         reader = reader.option(name, value)
-    return reader.load(folder)
+    return from_logs(reader.load(folder))
 
 
 def ingest(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
@@ -42,8 +42,8 @@ def start_append(stream: DataFrame, path: str, checkpoint: str, available_now: b
 def sessions(events: DataFrame, gap: str, lateness: str = LATENESS) -> DataFrame:
     """Closed listening sessions split at gaps longer than ``gap``.
 
-    ``events`` carry ``energy``; a session is emitted once the watermark is past
-    its end.
+    ``events`` carry ``energy``, null for songs without features; a session is emitted
+    once the watermark is past its end.
     """
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
     return (

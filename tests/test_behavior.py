@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cadenza import schemas
 from cadenza.functions.vectors import assemble, unit
 from cadenza.operators import behavior, dsp, features, learner
 from cadenza.streaming import behavior as streams
@@ -45,6 +46,40 @@ def test_a_play_breaks_the_run(spark):
     assert behavior.mood_shifts(events(spark, *items)).isEmpty()
 
 
+def test_documented_logs_reach_every_stream(spark, tmp_path):
+    """Files of the log table as documented: session and timestamp, no listener."""
+    logs = [(i, "s", kind, 50.0, who, START + timedelta(seconds=s)) for i, (who, s, kind) in enumerate(
+        [("a", 0, "skip"), ("a", 10, "skip"), ("a", 20, "skip"), ("b", 0, "play"), ("end", 9000, "play")])]
+    spark.createDataFrame(logs, schemas.BEHAVIOR_LOGS).write.parquet(str(tmp_path / "logs"))
+    batch = behavior.from_logs(spark.read.parquet(str(tmp_path / "logs")))
+    assert [(r.listener, r.id) for r in behavior.mood_shifts(batch).collect()] == [("a", 2)]
+    assert behavior.sessionize(batch, 60).count() == 5
+
+    def run(name, make):
+        out = str(tmp_path / name)
+        stream = make(streams.read_events(spark, str(tmp_path / "logs")))
+        streams.start_append(stream, f"{out}/rows", f"{out}/at", available_now=True).awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{out}/rows").collect()
+
+    assert sorted(r.id for r in run("ingest", streams.ingest)) == [0, 1, 2, 3, 4]
+    found = run("sessions", lambda e: streams.sessions(e.withColumn("energy", F.lit(None).cast("double")), "60 seconds"))
+    assert sorted((r.listener, r.events, r.avg_energy) for r in found) == [("a", 3, None), ("b", 1, None)]
+    assert [(r.listener, r.id) for r in run("shifts", streams.mood_shifts)] == [("a", 2)]
+
+
+def test_songs_without_features_count(spark, rows):
+    """They are events of a session and among the last songs, but say nothing of energy and genre."""
+    frame = events(spark, ("l", 0, "play"), ("l", 1, "play"), ("l", 2, "skip"), ("l", 3, "skip"), ("l", 4, "skip"), ("m", 0, "play"))
+    frame = frame.withColumn("song_id", F.when(F.col("id") == 0, "known").otherwise("new"))
+    songs = rows("song_id string, genre string, energy double", ("known", "g", 0.5))
+    one = behavior.session_summary(frame, songs, ("listener",))
+    found = {r.listener: (r.events, r.dominant_genre, r.avg_energy) for r in one.collect()}
+    assert found == {"l": (5, "g", 0.5), "m": (1, None, None)}
+    target = behavior.mood_targets(frame, behavior.mood_shifts(frame), songs, last=2).first()
+    assert (target.target_energy, target.target_genre, target.songs) == (0.5, "g", 2)
+    assert behavior.mood_targets(frame, behavior.mood_shifts(frame), songs, last=1).first().target_energy is None
+
+
 def random_items(n=3000, seed=1, share=0.8):
     rng, second, items = random.Random(seed), {}, []
     for _ in range(n):
