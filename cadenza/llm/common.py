@@ -41,3 +41,11 @@ def lookup(df: DataFrame) -> DataFrame:
 def content(name: str = "text") -> Column:
     """The text of a row; null counts as empty."""
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def free_name(df: DataFrame, wish: str) -> str:
+    """A column name that ``df`` does not have, whatever its columns are called."""
+    taken = {name.lower() for name in df.columns}
+    while wish.lower() in taken:
+        wish += "_"
+    return wish

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cadenza.llm import bpe, iblt, mixing, pq, secrets, simhash, suffixes, token_counts, tool_calls, toxicity
+from cadenza.llm import bpe, iblt, mixing, periodic, pq, secrets, simhash, suffixes, token_counts, tool_calls, toxicity
 from cadenza.llm.common import fresh_folder, table
 
 #: Documents with this score or more count as toxic.
@@ -169,3 +169,19 @@ def op2_iblt(spark: SparkSession, folder: str) -> DataFrame:
 def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Bytes left of every document without strings of 400 bytes that start elsewhere too."""
     return suffixes.remove_repeats(table(spark, folder, "documents"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Repeated word runs of every document; one text in ten is made to loop from some word on."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    digest = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    seed, n = F.floor(digest / 10), periodic.word_count()
+    first = F.when((digest % 10 == 0) & (n > 0), seed % n)
+    out = periodic.repeated_runs(docs, periodic.Rule(24, 3), loop_from=first, loop_width=1 + F.floor((n - first) / (3 + seed % 8)))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", *(r[k].cast("string") for k in ("start", "length", "period"))))
+    return out.select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli",
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"), "n_words",
+    )
