@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cadenza.llm import bpe, iblt, mixing, periodic, pq, secrets, simhash, suffixes, token_counts, tool_calls, toxicity
+from cadenza.llm import bpe, iblt, mixing, periodic, pq, secrets, simhash, suffixes, token_counts, tool_calls, toxicity, whitening, wrappers
 from cadenza.llm.common import fresh_folder, table
 
 #: Documents with this score or more count as toxic.
@@ -185,3 +185,16 @@ def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "").cast("binary"), 256).alias("runs_sha256"),
         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"), "n_words",
     )
+
+
+@query
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Embeddings along their first eight components, whitened."""
+    return whitening.whiten(table(spark, folder, "embeddings"), components=8, scale=1024, offset=100_000)
+
+
+@query
+def op12_wrappers(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page by its host's wrapper."""
+    out = wrappers.extract(table(spark, folder, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
