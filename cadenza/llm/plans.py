@@ -37,7 +37,7 @@ def op9_word_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     path = public_tokenizers.path("word_bpe_49k.json")
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    out = bpe.decode(bpe.encode(docs, path), path)
+    out = bpe.round_trip(docs, path)
     return out.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),

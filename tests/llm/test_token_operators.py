@@ -1,14 +1,20 @@
 """Token counts, BPE, secrets, toxicity and mixing on small fixtures."""
 
+import hashlib
 import random
 import re
+from sys import getsizeof
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
+import tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cadenza.llm import bpe, mixing, secrets, token_counts, toxicity
+from cadenza.llm import bpe, mixing, plans, secrets, token_counts, toxicity
 from cadenza.llm.common import fresh_folder
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -55,10 +61,62 @@ def test_bpe_equals_the_library_on_odd_characters():
     library, model, draw = Tokenizer.from_file(WORDS), bpe.WordBpe(WORDS), random.Random(4)
     pool = [chr(i) for i in [*range(0x250), *range(0x300, 0x400), *range(0x1E00, 0x2100), 0x3000, 0x1F600, 0x212A, 0x130, 0x301, 0xA7CB]]
     pool += ["'s", "'RE", "<|endoftext|>", "<|end"]
-    for _ in range(1500):
-        text = "".join(draw.choice(pool) for _ in range(draw.randint(0, 10)))
+    texts = ["".join(draw.choice(pool) for _ in range(draw.randint(0, 10))) for _ in range(1500)]
+    found = model.encode(pa.array(texts))
+    for text, got, decoded in zip(texts, found.to_pylist(), model.decode(found).to_pylist()):
         ids = library.encode(text, add_special_tokens=False).ids
-        assert model.encode(text) == ids and model.decode(ids) == library.decode(ids, skip_special_tokens=False)
+        assert got == ids and decoded == library.decode(ids, skip_special_tokens=False)
+
+
+def test_bpe_query_columns_equal_the_library(spark):
+    folder = "/root/testdata/sf0.001"
+    library, sha = Tokenizer.from_file(WORDS), lambda text: hashlib.sha256(text.encode()).hexdigest()
+    want = []
+    for row in spark.read.parquet(f"{folder}/documents.parquet").collect():
+        ids = library.encode(row.text or "", add_special_tokens=False).ids
+        want.append((row.doc_id, len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))))
+    assert sorted(map(tuple, plans.QUERIES["op9_word_bpe"](spark, folder).collect())) == sorted(want)
+
+
+def test_round_trip_is_decode_after_encode(rows):
+    docs = docs_of(rows)
+    apart = bpe.decode(bpe.encode(docs, WORDS), WORDS)
+    together = bpe.round_trip(docs.withColumn("both", F.lit(1)), WORDS)
+    columns = ("doc_id", "digest", "score", "source", "ids", "decoded")
+    assert together.columns == ["doc_id", "digest", "score", "source", "both", "ids", "decoded"]
+    assert sorted(map(str, together.select(*columns).collect())) == sorted(map(str, apart.select(*columns).collect()))
+    assert bpe.round_trip(docs.limit(0), WORDS).count() == 0
+
+
+def test_texts_are_cut_into_parts_of_any_size(monkeypatch):
+    model = bpe.WordBpe(WORDS)
+    texts = pa.array(["", "one two", "three " * 40, "", "<|endoftext|> x\x1cy", "four", ""] * 5).slice(1)
+    whole = model.encode(texts)
+    for size in (1, 7, 100, 10_000):
+        monkeypatch.setattr(bpe, "AT_ONCE", size)
+        ids = bpe._in_parts(model.encode, texts, pc.binary_length(texts))
+        assert ids.to_pylist() == whole.to_pylist()
+        rest = ids.slice(2)
+        assert bpe._in_parts(model.decode, rest, pc.list_value_length(rest)).to_pylist() == model.decode(whole).to_pylist()[2:]
+    assert model.decode(pa.array([None, [], [7]], pa.list_(pa.int32()))).to_pylist() == ["", "", model.strings[7].as_py()]
+
+
+def test_memory_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 20_000)
+    model, library, draw = bpe.WordBpe(WORDS), Tokenizer.from_file(WORDS), random.Random(1)
+    texts = [" ".join(f"w{draw.randrange(10 ** 9)}" + "long" * (i % 30) for i in range(50)) for _ in range(40)]
+    assert model.encode(pa.array(texts)).to_pylist() == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    held = [*model.by_word.items(), *model.by_word.older.items()]
+    assert held and max(len(key) for key, _ in held) <= bpe.LONGEST
+    assert sum(getsizeof(key) + getsizeof(value) for key, value in held) <= 20_000
+
+
+def test_new_code_points_load_the_file_once(monkeypatch):
+    model, loads, load = bpe.WordBpe(WORDS), [], Tokenizer.from_file
+    monkeypatch.setattr(tokenizers, "Tokenizer", type("Counting", (), {"from_file": staticmethod(lambda path: loads.append(path) or load(path))}))
+    odd = " ".join(chr(0x0378) + str(i) for i in range(200))  # not assigned in any version so far
+    assert model.encode(pa.array([odd, odd])).to_pylist() == [load(WORDS).encode(odd, add_special_tokens=False).ids] * 2
+    assert len(loads) == 1
 
 
 def test_stale_queue_entries_are_skipped():
