@@ -30,6 +30,7 @@ CONTRAST_BANDS = 6
 CONTRAST_LOWEST = 200.0
 CONTRAST_SHARE = 0.02
 RANGE_DB = 80.0
+QUIET = 1e-10
 SLOWEST_BPM, LIKELY_BPM, FASTEST_BPM = 30.0, 120.0, 320.0
 
 HOPS_PER_STRETCH = 256
@@ -46,7 +47,7 @@ def stretches(pcm: DataFrame, step: int, width: int, lead: int) -> DataFrame:
         sized, ["song_id"], ["chunk_idx"], [span(F.col("chunk_idx"), 4096)], F.col("_n"), "_end"
     ).withColumn("_start", F.col("_end") - F.col("_n"))
     totals = pcm.groupBy("song_id").agg(F.sum(F.size("samples")).cast("long").alias("total"))
-    placed = placed.filter("_n > 0").join(totals, "song_id")
+    placed = placed.filter("_n > 0").join(lookup(totals), "song_id")
 
     first = F.greatest(F.floor((F.col("_start") + lead - width) / F.lit(step)) + 1, F.lit(0))
     last = F.least(
@@ -75,15 +76,22 @@ def stretches(pcm: DataFrame, step: int, width: int, lead: int) -> DataFrame:
 
 
 def frames_of(pcm: DataFrame, frame: int = FRAME, hop: int = HOP) -> DataFrame:
-    """``song_id, frame_idx, samples``: frames centred on every ``hop``-th sample."""
+    """Frames centred on every ``hop``-th sample: ``song_id, frame_idx, samples, before, inside``.
+
+    ``before`` zeros precede the song's own samples in the frame, of which it has ``inside``.
+    """
     long = hop * HOPS_PER_STRETCH
     cut = stretches(pcm, long, long + frame, frame // 2)
     hops = F.sequence(F.lit(0), F.lit(HOPS_PER_STRETCH - 1))
     number = F.col("idx") * HOPS_PER_STRETCH + F.col("_hop")
+    begins = number * hop - frame // 2
+    before = F.greatest(-begins, F.lit(0))
     return (
         cut.withColumn("_hop", F.explode(hops)).filter(number <= F.floor(F.col("total") / F.lit(hop)))
         .select("song_id", number.alias("frame_idx"),
-                F.slice("samples", F.col("_hop") * hop + 1, frame).alias("samples"))
+                F.slice("samples", F.col("_hop") * hop + 1, frame).alias("samples"),
+                before.cast("int").alias("before"),
+                (F.least(F.col("total") - begins, F.lit(frame)) - before).cast("int").alias("inside"))
     )
 
 
@@ -92,14 +100,19 @@ def rms(samples: Column) -> Column:
     return F.sqrt(squares / F.size(samples))
 
 
-def zero_crossing_rate(samples: Column) -> Column:
-    """Share of samples whose sign differs from the one before them."""
-    n = F.size(samples)
+def zero_crossing_rate(samples: Column, before: Column | None = None, inside: Column | None = None) -> Column:
+    """Share of samples whose sign differs from the one before them.
+
+    With ``before`` and ``inside`` only the song's own samples can differ: a song counts as going on with
+    its first and last sample beyond its edges. Samples within ``QUIET`` of zero are not negative.
+    """
+    own = samples if before is None else F.slice(samples, before + 1, inside)
+    n = F.size(own)
     flips = F.zip_with(
-        F.slice(samples, 1, n - 1), F.slice(samples, 2, n - 1),
-        lambda a, b: ((a < 0) != (b < 0)).cast("int"),
+        F.slice(own, 1, n - 1), F.slice(own, 2, n - 1),
+        lambda a, b: ((a < -QUIET) != (b < -QUIET)).cast("int"),
     )
-    return F.when(n > 1, F.aggregate(flips, F.lit(0), lambda s, x: s + x) / n).otherwise(F.lit(0.0))
+    return F.when(n > 1, F.aggregate(flips, F.lit(0), lambda s, x: s + x) / F.size(samples)).otherwise(F.lit(0.0))
 
 
 def power_spectrum(samples: Column, frame: int = FRAME) -> Column:
@@ -192,17 +205,49 @@ def contrast_edges(
     return [(low, max(low, high if i == bands else high - 1)) for i, (low, high) in enumerate(zip(bins, bins[1:]))]
 
 
-def spectral_contrast(power: Column, edges: list[tuple[int, int]], share: float = CONTRAST_SHARE) -> Column:
-    """Per band the distance in dB between its strongest and weakest ``share`` of bins."""
-    bands = []
+def contrast_levels(power: Column, edges: list[tuple[int, int]], share: float = CONTRAST_SHARE) -> Column:
+    """Struct of two arrays: per band the level in dB of its strongest and of its weakest ``share`` of bins."""
+    loud, quiet = [], []
     for low, high in edges:
         width = high - low + 1
         edge = max(1, round(share * width))
         ordered = F.array_sort(F.transform(F.slice(power, low + 1, width), F.sqrt))
-        loud = average(F.slice(ordered, width - edge + 1, edge))
-        quiet = average(F.slice(ordered, 1, edge))
-        bands.append(10 * (F.log10(F.greatest(loud, F.lit(1e-10))) - F.log10(F.greatest(quiet, F.lit(1e-10)))))
-    return F.array(*bands)
+        loud.append(average(F.slice(ordered, width - edge + 1, edge)))
+        quiet.append(average(F.slice(ordered, 1, edge)))
+    return F.struct(decibels(F.array(*loud)).alias("loud"), decibels(F.array(*quiet)).alias("quiet"))
+
+
+def within_range(levels: Column, peak: Column) -> Column:
+    """Levels in dB, none more than ``RANGE_DB`` below the song's ``peak``."""
+    return F.transform(levels, lambda x: F.greatest(x, peak - RANGE_DB))
+
+
+def song_peaks(frames: DataFrame, *columns: str) -> DataFrame:
+    """``frames`` with the largest entry that each array column has in the whole song, as ``<column>_peak``."""
+    peaks = frames.groupBy("song_id").agg(*[F.max(F.array_max(c)).alias(f"{c}_peak") for c in columns])
+    return frames.join(lookup(peaks), "song_id")
+
+
+def spectral_contrast(levels: DataFrame) -> DataFrame:
+    """``levels`` (frames with ``loud`` and ``quiet``) with ``contrast``, their distance per band in dB.
+
+    Either level ends ``RANGE_DB`` below its highest in the song.
+    """
+    return song_peaks(levels, "loud", "quiet").withColumn("contrast", F.zip_with(
+        within_range(F.col("loud"), F.col("loud_peak")), within_range(F.col("quiet"), F.col("quiet_peak")),
+        lambda a, b: a - b,
+    )).drop("loud", "quiet", "loud_peak", "quiet_peak")
+
+
+def mel_bands(power: Column, sr: int = SAMPLE_RATE, frame: int = FRAME, bands: int = MELS) -> Column:
+    """Power spectra as power in mel bands."""
+    return basis_project(power, mel_basis(sr, frame, bands))
+
+
+def cepstrum(frames: DataFrame, bands: int = MELS, outputs: int = MFCCS) -> DataFrame:
+    """``frames`` with ``mfcc``, made of their ``bands``, which are cut to the song's range first."""
+    limited = song_peaks(frames, "bands").withColumn("bands", within_range(F.col("bands"), F.col("bands_peak")))
+    return limited.drop("bands_peak").withColumn("mfcc", basis_project(F.col("bands"), cosine_basis(bands, outputs)))
 
 
 def onset_strength(bands: DataFrame, frames_per_piece: int = 4096) -> DataFrame:
@@ -268,27 +313,19 @@ def tempo(envelope: DataFrame, sr: int = SAMPLE_RATE, hop: int = HOP) -> DataFra
 
 def analyse(pcm: DataFrame, sr: int = SAMPLE_RATE, frame: int = FRAME, hop: int = HOP) -> tuple[DataFrame, DataFrame]:
     """The frame table of decoded songs and their tempo, inputs of ``song_features``."""
-    raw = (
-        frames_of(pcm, frame, hop).withColumn("_power", power_spectrum(F.col("samples"), frame))
-        .withColumn("_mel", basis_project(F.col("_power"), mel_basis(sr, frame)))
-        .withColumn("_pitch", basis_project(F.col("_power"), chroma_basis(sr, frame)))
-    )
-    bands = durable(raw.select(
+    raw = frames_of(pcm, frame, hop).withColumn("_power", power_spectrum(F.col("samples"), frame))
+    raw = raw.withColumn("_mel", mel_bands(F.col("_power"), sr, frame)).withColumn(
+        "_pitch", basis_project(F.col("_power"), chroma_basis(sr, frame)))
+    levels = contrast_levels(F.col("_power"), contrast_edges(sr, frame))
+    bands = durable(raw.withColumn("_levels", levels).select(
         "song_id", "frame_idx",
         rms(F.col("samples")).alias("rms"),
-        zero_crossing_rate(F.col("samples")).alias("zcr"),
+        zero_crossing_rate(F.col("samples"), F.col("before"), F.col("inside")).alias("zcr"),
         decibels(F.col("_mel")).alias("bands"),
         normalise_to_peak(F.col("_pitch")).alias("chroma"),
-        spectral_contrast(F.col("_power"), contrast_edges(sr, frame)).alias("contrast"),
+        "_levels.loud", "_levels.quiet",
     ))
-    peaks = bands.groupBy("song_id").agg(F.max(F.array_max("bands")).alias("_peak"))
-    floor = F.col("_peak") - RANGE_DB
-    limited = bands.join(lookup(peaks), "song_id").withColumn(
-        "bands", F.transform("bands", lambda x: F.greatest(x, floor))
-    ).drop("_peak")
+    limited = durable(cepstrum(spectral_contrast(bands)))
     onsets = durable(onset_strength(limited))
-    frames = limited.join(onsets, ["song_id", "frame_idx"]).select(
-        "song_id", "frame_idx", basis_project(F.col("bands"), cosine_basis(MELS, MFCCS)).alias("mfcc"),
-        "chroma", "contrast", "rms", "zcr", "onset",
-    )
+    frames = limited.drop("bands").join(onsets, ["song_id", "frame_idx"])
     return frames, tempo(onsets, sr, hop)

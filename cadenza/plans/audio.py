@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import scalars as S
 from cadenza.functions.vectors import assemble, average, unit
-from cadenza.operators import dsp, features, indexing
+from cadenza import schemas
+from cadenza.operators import dsp, extraction, features, indexing
 from cadenza.plans.registry import query
 from cadenza.plans.standins import AS_OF, table, view
 
@@ -30,9 +31,7 @@ def _pcm(spark, folder):
     return parts.select("song_id", F.col("chunk_idx").cast("long"), F.lit(22050).alias("sr"), cut.alias("samples"))
 
 
-_FRAMES = """
-    songs as (
-        select cast(vec_id as varchar) song_id, cast(embedding as double[]) v, len(embedding) n from {embeddings}),
+_CUT = """
     padded as (
         select song_id, n, list_concat(list_transform(range(16), lambda i: 0.0::double), v,
                                        list_transform(range(32), lambda i: 0.0::double)) p from songs),
@@ -40,6 +39,10 @@ _FRAMES = """
         select song_id, f frame_idx, p[f * 16 + 1 : f * 16 + 32] x
         from padded cross join (select unnest(range(1000)) f) where f <= n // 16)"""
 
+_FRAMES = f"""
+    songs as (
+        select cast(vec_id as varchar) song_id, cast(embedding as double[]) v, len(embedding) n from {{embeddings}}),{_CUT}"""
+
 
 @query(f"""with {_FRAMES}
     select song_id, frame_idx, round(sqrt(list_inner_product(x, x) / 32), 6) rms from framed""")
@@ -48,15 +51,22 @@ def frame_rms(spark, folder):
     return frames.select("song_id", "frame_idx", F.round(dsp.rms(F.col("samples")), 6).alias("rms"))
 
 
-@query(f"""with {_FRAMES}
-    select song_id, frame_idx, round(list_sum(list_transform(list_zip(x[1:31], x[2:32]),
-               lambda z: cast((z[1] < 0) <> (z[2] < 0) as int))) / 32, 6) zcr from framed""")
+@query("""
+    with songs as (
+        select cast(vec_id as varchar) song_id, cast(embedding as double[]) v, len(embedding) n from {embeddings}),
+    own as (
+        select song_id, f frame_idx, v[greatest(0, f * 16 - 16) + 1 : least(n, f * 16 + 16)] x
+        from songs cross join (select unnest(range(1000)) f) where f <= n // 16)
+    select song_id, frame_idx, round(coalesce(list_sum(list_transform(list_zip(x[1:len(x) - 1], x[2:len(x)]),
+               lambda z: cast((z[1] < 0) <> (z[2] < 0) as int))), 0) / 32, 6) zcr from own""")
 def frame_zero_crossings(spark, folder):
+    """A song goes on with its first and last sample beyond its edges, so no sign changes there."""
     frames = dsp.frames_of(_pcm(spark, folder), FRAME, HOP)
-    return frames.select("song_id", "frame_idx", F.round(dsp.zero_crossing_rate(F.col("samples")), 6).alias("zcr"))
+    rate = dsp.zero_crossing_rate(F.col("samples"), F.col("before"), F.col("inside"))
+    return frames.select("song_id", "frame_idx", F.round(rate, 6).alias("zcr"))
 
 
-_SPECTRUM = f"""{_FRAMES},
+_BINS = """
     samples as (
         select song_id, frame_idx, unnest(x) x, generate_subscripts(x, 1) - 1 t from framed),
     spectrum as (
@@ -65,6 +75,8 @@ _SPECTRUM = f"""{_FRAMES},
                + pow(sum(x * (0.5 - 0.5 * cos(2 * pi() * t / 32)) * sin(2 * pi() * k * t / 32)), 2) power
         from samples cross join (select unnest(range(17)) k) group by song_id, frame_idx, k)"""
 
+_SPECTRUM = f"{_FRAMES},{_BINS}"
+
 
 def _spectrum(spark, folder):
     frames = dsp.frames_of(_pcm(spark, folder), FRAME, HOP)
@@ -107,17 +119,47 @@ _EDGES = [(0, 3), (4, 9), (10, 16)]
         select *, row_number() over (partition by song_id, frame_idx, band order by a) up,
                row_number() over (partition by song_id, frame_idx, band order by a desc) down,
                greatest(1, round_even(0.3 * count(*) over (partition by song_id, frame_idx, band), 0)) edge
-        from banded)
-    select song_id, frame_idx, band, round(10 * (
-               log10(greatest(avg(a) filter (down <= edge), 1e-10))
-               - log10(greatest(avg(a) filter (up <= edge), 1e-10))), 4) contrast
-    from placed group by song_id, frame_idx, band""")
+        from banded),
+    levels as (
+        select song_id, frame_idx, band, 10 * log10(greatest(avg(a) filter (down <= edge), 1e-10)) loud,
+               10 * log10(greatest(avg(a) filter (up <= edge), 1e-10)) quiet
+        from placed group by song_id, frame_idx, band)
+    select song_id, frame_idx, band, round(
+               greatest(loud, max(loud) over (partition by song_id) - 80)
+               - greatest(quiet, max(quiet) over (partition by song_id) - 80), 4) contrast
+    from levels""")
 def frame_contrast(spark, folder):
-    bands = dsp.spectral_contrast(F.col("power"), _EDGES, 0.3)
-    cells = _spectrum(spark, folder).select("song_id", "frame_idx", F.posexplode(bands).alias("band", "contrast"))
+    levels = _spectrum(spark, folder).withColumn("levels", dsp.contrast_levels(F.col("power"), _EDGES, 0.3))
+    contrast = dsp.spectral_contrast(levels.select("song_id", "frame_idx", "levels.loud", "levels.quiet"))
+    cells = contrast.select("song_id", "frame_idx", F.posexplode("contrast").alias("band", "contrast"))
     return cells.withColumn("contrast", F.round("contrast", 4))
 
 
+@query(f"""with {_SPECTRUM},
+    edges as (
+        select i, case when m < 15 then m * 200.0 / 3 else 1000 * exp((m - 15) * ln(6.4) / 27) end hz
+        from (select i, i * top / 9 m from (select unnest(range(10)) i),
+              (select 15 + ln(22050 / 2.0 / 1000) / (ln(6.4) / 27) top))),
+    weights as (
+        select k, l.i band, greatest(0, least((k * 22050 / 32 - l.hz) / (c.hz - l.hz), (r.hz - k * 22050 / 32) / (r.hz - c.hz)))
+               * 2 / (r.hz - l.hz) w
+        from (select unnest(range(17)) k) cross join edges l join edges c on c.i = l.i + 1 join edges r on r.i = l.i + 2),
+    mels as (
+        select song_id, frame_idx, band, 10 * log10(greatest(sum(power * w), 1e-10)) db
+        from spectrum join weights using (k) group by song_id, frame_idx, band),
+    limited as (select song_id, frame_idx, band, greatest(db, max(db) over (partition by song_id) - 80) db from mels)
+    select song_id, frame_idx, cast(c as int) coefficient, round(sum(db * cos(pi() * c * (2 * band + 1) / 16) * sqrt(2.0 / 8))
+               * case when c = 0 then 1 / sqrt(2.0) else 1 end, 4) + 0.0 as level
+    from limited cross join (select unnest(range(5)) c) group by song_id, frame_idx, c""")
+def frame_mfcc(spark, folder):
+    """Spectrum to mel bands to dB to coefficients; eight bands, as frames are short here."""
+    mels = _spectrum(spark, folder).withColumn("mel", dsp.mel_bands(F.col("power"), dsp.SAMPLE_RATE, FRAME, 8))
+    bands = mels.select("song_id", "frame_idx", dsp.decibels(F.col("mel")).alias("bands"))
+    cells = dsp.cepstrum(bands, 8, 5).select(
+        "song_id", "frame_idx", F.posexplode("mfcc").alias("coefficient", "level"))
+    return cells.withColumn("level", F.round("level", 4))
+
+
 @query("""
     with x as (
         select cast(vec_id as varchar) song_id, unnest(cast(embedding as double[])) x,
@@ -381,3 +423,144 @@ def index_status(spark, folder):
 def index_progress(spark, folder):
     progress = indexing.index_progress(indexing.index_status(view(spark, folder, "index_log")))
     return progress.select("total", "completed", F.round("ratio", 6).alias("ratio"), "percent", "is_done")
+
+
+# Recordings: eight embeddings each, at a rate so low that frames of 32 samples hold beats. Of each kind of
+# broken file there are some, some files are silent, some missing, and every file is asked for twice.
+RATE = 85
+
+
+def _recordings(spark, folder):
+    number, chunk = F.floor(F.col("vec_id") / 8), F.col("vec_id") % 8
+    samples = (
+        F.when(number % 7 == 6, F.lit(None))
+        .when(number % 91 == 7, F.array().cast("array<float>"))
+        .when(number % 11 == 2, F.transform("embedding", lambda x: x * 0))
+        .when((number % 7 == 5) & (chunk == 1), F.transform("embedding", lambda x, i: F.when(i == 9, float("nan")).otherwise(x)))
+        .otherwise(F.col("embedding"))
+    )
+    return table(spark, folder, "embeddings").filter((number % 7 != 2) & ~((number % 7 == 1) & (chunk == 2))).select(
+        F.concat(F.lit("/audio/"), number.cast("string"), F.lit(".wav")).alias("file_path"), chunk.alias("chunk_idx"),
+        F.when((number % 7 == 3) & (chunk == 5), 44100).otherwise(RATE).alias("sr"), samples.cast("array<float>").alias("samples"),
+    )
+
+
+def _index_audio(spark, folder):
+    vectors = table(spark, folder, "embeddings").withColumn("number", F.floor(F.col("vec_id") / 8))
+    path = F.concat(F.lit("/audio/"), F.col("number").cast("string"), F.lit(".wav")).alias("file_path")
+    files = vectors.filter("vec_id % 8 = 0").select("number", path)
+    known = files.filter("number % 5 = 0").select(F.concat(F.lit("s"), F.col("number").cast("string")).alias("id"), "file_path", "number")
+    songs = known.select([
+        F.col(f.name) if f.name in ("id", "file_path") else F.lit("kept" if f.name == "title" else None).cast(f.dataType).alias(f.name)
+        for f in schemas.SONGS])
+    indexed = known.filter("number % 10 = 0").select([
+        F.col("id").alias("song_id") if f.name == "song_id" else F.lit(NOW).alias(f.name) if f.name == "extracted_at"
+        else (F.array(F.lit(0.5)) if f.dataType == schemas.VECTOR else F.lit(0.5)).alias(f.name)
+        for f in schemas.SONG_FEATURES])
+    requested = vectors.filter("vec_id % 8 in (0, 3)").select(F.col("vec_id").alias("seq"), path)
+    listing = files.filter("number % 9 <> 4").select("file_path")
+    return extraction.index_audio(
+        requested, listing, songs, indexed, _recordings(spark, folder), NOW, sr=RATE, frame=FRAME, hop=HOP)
+
+
+_FILES = """
+    files as (
+        select vec_id // 8 f, count(*) chunks, concat('/audio/', cast(vec_id // 8 as varchar), '.wav') file_path,
+               flatten(list(cast(embedding as double[]) order by vec_id)) v
+        from {embeddings} group by vec_id // 8),
+    checked as (
+        select *, case when f % 5 = 0 then concat('s', cast(f as varchar)) else sha256(file_path) end song_id,
+               f % 9 <> 4 present, f % 10 = 0 was_indexed,
+               case when f % 7 = 2 then 'No audio could be read' when f % 7 = 1 and chunks > 3 then 'Chunks are missing'
+                    when f % 7 = 6 then 'Chunks cannot be decoded' when f % 7 = 3 and chunks > 5 then 'Sample rate is not 85'
+                    when f % 7 = 5 and chunks > 1 and f % 11 <> 2 then 'Samples are not finite numbers'
+                    when f % 91 = 7 then 'No audio' end reason
+        from files)"""
+
+
+@query(f"""with {_FILES},
+    requested as (select vec_id seq, vec_id // 8 f, vec_id % 8 > 0 again from {{embeddings}} where vec_id % 8 in (0, 3))
+    select seq, file_path, case when present then song_id end song_id,
+           case when not present then 'error' when was_indexed then 'already indexed' when reason is not null then 'error'
+                when again then 'already indexed' else 'extracted' end status,
+           present and not was_indexed and reason is null and not again features_extracted,
+           case when not present then 'File not found' when not was_indexed then reason end error
+    from requested join checked using (f)""")
+def index_audio(spark, folder):
+    """From recordings to outcomes: broken, missing, silent, repeated and indexed files."""
+    return _index_audio(spark, folder).outcomes.drop("message")
+
+
+@query(f"""with {_FILES},
+    songs as (
+        select song_id, len(v) n, case when f % 11 = 2 then list_transform(v, lambda x: 0.0::double) else v end v
+        from checked where present and not was_indexed and reason is null),{_CUT},{_BINS},
+    scalars as (
+        select s.song_id, frame_idx, sqrt(list_inner_product(x, x) / 32) rms,
+               v[greatest(0, frame_idx * 16 - 16) + 1 : least(n, frame_idx * 16 + 16)] own
+        from framed join songs s using (song_id)),
+    mel_weights as (
+        select k, b, greatest(0, least((hz - b * w) / w, ((b + 2) * w - hz) / w)) / w weight
+        from (select k, b, k * 85 / 32.0 hz, 42.5 / 129 w from (select unnest(range(17)) k), (select unnest(range(128)) b))),
+    mels as (
+        select song_id, frame_idx, b, 10 * log10(greatest(sum(power * weight), 1e-10)) db
+        from spectrum join mel_weights using (k) group by song_id, frame_idx, b),
+    bands as (select song_id, frame_idx, b, greatest(db, max(db) over (partition by song_id) - 80) db from mels),
+    chroma_weights as (
+        select k, c, exp(-0.5 * pow(2 * (m - 12 * floor(m / 12) - 6), 2)) w
+        from (select k, c, 12 * log2(k * 85 / 32.0 / 440) + 9 - c + 6 m
+              from (select unnest(range(1, 17)) k), (select unnest(range(12)) c))),
+    chromas as (
+        select song_id, frame_idx, c, sum(power * w) v from spectrum join chroma_weights using (k) group by song_id, frame_idx, c),
+    levels as (
+        select song_id, frame_idx, 0 band, 10 * log10(greatest(sqrt(max(power)), 1e-10)) loud,
+               10 * log10(greatest(sqrt(min(power)), 1e-10)) quiet from spectrum where k < 16 group by song_id, frame_idx
+        union all
+        select song_id, frame_idx, band, 10 * log10(greatest(sqrt(power), 1e-10)), 10 * log10(greatest(sqrt(power), 1e-10))
+        from spectrum cross join (select unnest(range(1, 7)) band) where k = 16),
+    onsets as (
+        select song_id, frame_idx, coalesce(avg(greatest(db - before, 0)), 0) onset
+        from (select *, lag(db) over (partition by song_id, b order by frame_idx) before from bands) group by song_id, frame_idx),
+    lags as (
+        select a.song_id, lag, sum(a.onset * b.onset) score from onsets a cross join (select unnest(range(1, 11)) lag)
+        join onsets b on b.song_id = a.song_id and b.frame_idx = a.frame_idx + lag group by a.song_id, lag),
+    beats as (
+        select song_id, max({{'w': w, 'l': -lag}}) best
+        from (select *, round(score * exp(-0.5 * pow(log2(60.0 * 85 / 16 / lag / 120), 2)), 9) w from lags) group by song_id),
+    tempos as (select song_id, case when best.w > 0 then 60.0 * 85 / 16 / -best.l else 0 end tempo from beats),
+    cells as (
+        select song_id, frame_idx, c place, sum(db * cos(pi() * c * (2 * b + 1) / 256) * sqrt(2.0 / 128))
+               * case when c = 0 then 1 / sqrt(2.0) else 1 end x
+        from bands cross join (select unnest(range(20)) c) group by song_id, frame_idx, c
+        union all
+        select song_id, frame_idx, 20 + c, case when max(v) over w > 0 then v / max(v) over w else v end
+        from chromas window w as (partition by song_id, frame_idx)
+        union all
+        select song_id, frame_idx, 32 + band, greatest(loud, max(loud) over w - 80) - greatest(quiet, max(quiet) over w - 80)
+        from levels window w as (partition by song_id)
+        union all
+        select song_id, frame_idx, 39, rms from scalars
+        union all
+        select song_id, frame_idx, 40, coalesce(list_sum(list_transform(list_zip(own[1:len(own) - 1], own[2:len(own)]),
+               lambda z: cast((z[1] < 0) <> (z[2] < 0) as int))), 0) / 32 from scalars),
+    pooled as (select song_id, place, avg(x) mean, stddev_pop(x) std from cells group by song_id, place),
+    rows as (
+        select song_id, max(mean) filter (place = 39) energy, max(mean) filter (place = 40) zcr,
+               avg(mean) filter (place between 20 and 31) brightness from pooled group by song_id),
+    vectors as (
+        select song_id, case when place < 20 then place when place < 32 then place + 20 else place + 32 end place, mean x
+        from pooled where place < 39
+        union all
+        select song_id, case when place < 20 then place + 20 when place < 32 then place + 32 else place + 39 end, std
+        from pooled where place < 39
+        union all select song_id, 78, coalesce(tempo, 0) / 200 from rows left join tempos using (song_id)
+        union all select song_id, 79, energy * 10 from rows
+        union all select song_id, 80, zcr * 10 from rows
+        union all select song_id, 81, brightness * energy * 10 from rows)
+    select song_id, cast(place as int) place, round(x / sqrt(sum(x * x) over (partition by song_id)), 5) + 0.0 as "value" from vectors""")
+def index_audio_vectors(spark, folder):
+    """Feature vectors that the job saves for recordings it had not indexed before, entry by entry."""
+    run = _index_audio(spark, folder)
+    saved = run.features.join(run.outcomes.filter("features_extracted").select("song_id"), "song_id", "left_semi")
+    cells = saved.select("song_id", F.posexplode("full_vector").alias("place", "value"))
+    return cells.withColumn("value", F.round("value", 5))

@@ -7,13 +7,16 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from cadenza.operators import learner
+from cadenza.operators import indexing, learner
 from cadenza.plans.registry import query
+from cadenza.plans.audio import NOW
 from cadenza.plans.standins import VIEWS, table, view
 from cadenza.session import shared_folder
 from cadenza.streaming import behavior as streams
+from cadenza.streaming.indexing import REQUESTS, JobStore, start_indexing
 
 
 def _folder(spark):
@@ -89,3 +92,70 @@ def stream_learning(spark, folder):
     streams.start_learning(rows, f"{out}/weights", f"{out}/checkpoint", width, available_now=True).awaitTermination()
     weights = spark.read.parquet(f"{out}/weights/batch-0")
     return weights.select("position", F.round("weight", 6).alias("weight"))
+
+
+def _index_job(spark, folder, on_progress=lambda start, log: None):
+    """A job of three batches of requests; the second fails when it is run first, and is started again."""
+    out = _folder(spark)
+    store, requests = JobStore(spark, f"{out}/job"), view(spark, folder, "index_requests")
+    listing, songs, features, analysed = (view(spark, folder, n) for n in ("listing", "songs_existing", "indexed", "analysed"))
+    features = features.withColumns({c: F.col(c).cast("double") for c in ("tempo", "energy")})
+    broken = [False]
+
+    def index(requested, listing, songs, features, as_of):
+        if broken[0]:
+            raise OSError("the recordings cannot be reached")
+        return indexing.index_files(requested, listing, songs, features, analysed, as_of)
+
+    for start, part in enumerate((0, 1, 1, 2)):
+        broken[0] = start == 1
+        if start != 2:  # the restart finds the batch that failed
+            requests.filter(F.col("seq") % 3 == part).write.mode("append").parquet(f"{out}/requests")
+        stream = spark.readStream.schema(REQUESTS).parquet(f"{out}/requests")
+        job = start_indexing(stream, listing, songs, features, store, f"{out}/checkpoint", index, lambda: NOW, available_now=True)
+        try:
+            job.awaitTermination()
+        except StreamingQueryException:
+            if not broken[0]:
+                raise
+        on_progress(start, store.log())
+    return store
+
+
+@query("""
+    with parts as (select seq % 3 part, count(*) files, max(file_path) last_file from index_requests group by seq % 3),
+    steps as (
+        select start, sum(files) filter (part <= begun) total, coalesce(sum(files) filter (part < ended), 0) completed,
+               max(last_file) filter (part = begun and begun >= ended) current_file
+        from parts cross join (values (0, 0, 1), (1, 1, 1), (2, 1, 2), (3, 2, 3)) s(start, begun, ended) group by start)
+    select start, cast(total as int) total, cast(completed as int) completed, current_file,
+           cast((total - completed) * 2 as int) eta_seconds, case when completed < total then 'running' else 'idle' end status,
+           round(completed / total, 6) ratio, completed = total is_done
+    from steps""")
+def index_job_progress(spark, folder):
+    """Status and progress read from the job's own log after each of its starts, one of which fails."""
+    reports = []
+
+    def report(start, log):
+        progress = indexing.index_progress(indexing.index_status(log)).select(
+            F.lit(start).alias("start"), "total", "completed", "current_file", "eta_seconds", "status",
+            F.round("ratio", 6).alias("ratio"), "is_done")
+        reports.append((progress.collect()[0], progress.schema))  # one row
+
+    _index_job(spark, folder, report)
+    return spark.createDataFrame([row for row, _ in reports], reports[0][1])
+
+
+@query("""
+    with requested as (
+        select *, row_number() over (partition by file_path order by seq % 3, seq) turn from index_requests)
+    select seq, r.file_path, case when l.file_path is null then 'error' when i.song_id is not null then 'already indexed'
+                     when a.file_path is null or a.error is not null then 'error'
+                     when turn > 1 then 'already indexed' else 'extracted' end status,
+           case when l.file_path is null then 'File not found' when i.song_id is null then a.error end error
+    from requested r left join listing l on l.file_path = r.file_path
+    left join songs_existing s on s.file_path = r.file_path left join indexed i on i.song_id = s.id
+    left join analysed a on a.file_path = r.file_path""")
+def index_job_outcomes(spark, folder):
+    """One outcome per request over all batches; a later batch finds what an earlier one has indexed."""
+    return _index_job(spark, folder).log().select("seq", "file_path", "status", "error")
