@@ -6,8 +6,10 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
+from cadenza.operators.picks import random_queue
 from cadenza.operators.pieces import lookup, number_rows, score_order, score_pieces, top_rows
 from cadenza.operators.similarity import nearest
+from cadenza.session import durable
 
 # Fixed values of the ranking rules.
 OTHER_GENRE_SHARE = 0.2
@@ -73,6 +75,47 @@ def context_queue(
     return final_rank(candidates, weights, n, on=("listener", "song_id"))
 
 
+def answered_queue(
+    requests: DataFrame, features: DataFrame, weights: DataFrame, songs: DataFrame, n: int = QUEUE_SONGS,
+    share: float = OTHER_GENRE_SHARE, seed: str = "queue", spare: int = 5, **options,
+) -> DataFrame:
+    """A queue of up to ``n`` songs for every request, whatever is known: ``request_id, rank, song_id, score, source``.
+
+    ``requests`` are those of ``context_queue`` with ``dominant_genre`` (that of the session; null: the wanted
+    one). First come songs of the wanted genre; songs of other genres near the current one have the ``share``
+    of places that the dominant genre must leave, or all of them where the wanted genre has none. Requests
+    that are still short (a song without features, an unknown genre) are filled up from the library
+    ``songs`` (``id``) in an order of their own: ``spare`` times ``n`` songs are looked at. No song comes twice,
+    and the current one not at all. A queue stays short only where the library has no other songs to give.
+    """
+    wanted = context_queue(requests, features, weights, n, **options).select("request_id", "song_id", "score")
+    pool = nearest(
+        requests.select(F.col("current_song_id").alias("query_id")).distinct().join(
+            features.select(F.col("song_id").alias("query_id"), F.col("full_vector").alias("vector")), "query_id"),
+        features.select("song_id", F.col("full_vector").alias("vector")), 2 * n, **options,
+    ).withColumnRenamed("query_id", "current_song_id").drop("rank")
+    genres = features.select("song_id", "genre")
+    beside = requests.join(lookup(pool), "current_song_id").join(genres, "song_id").filter(
+        ~F.col("genre").eqNullSafe(F.col("genre_context")))
+    beside = final_rank(beside.select("request_id", "listener", "song_id", "similarity"), weights, n, on=("listener", "song_id"))
+    answered = durable(wanted.select("request_id").distinct().withColumn("_answered", F.lit(True)))
+    beside = beside.join(lookup(answered), "request_id", "left").filter(
+        F.col("_answered").isNull() | (F.col("rank") <= math.ceil(share * n)))
+    found = durable(
+        wanted.withColumn("source", F.lit("context"))
+        .unionByName(beside.select("request_id", "song_id", "score", F.lit("beside").alias("source"))))
+    drawn = random_queue(requests, songs, seed, spare * n).join(found.select("request_id", "song_id"), ["request_id", "song_id"], "left_anti")
+    # Recommended songs score between -2 and 2, so drawn ones come after them, in the order they were drawn.
+    drawn = drawn.select("request_id", "song_id", (-10.0 - F.col("position")).alias("score"), F.lit("random").alias("source"))
+    asked = requests.select(
+        "request_id", F.col("current_song_id").alias("_current"), F.coalesce("dominant_genre", "genre_context").alias("dominant_genre"))
+    scored = (
+        found.unionByName(drawn).join(lookup(asked), "request_id").join(genres, "song_id", "left")
+        .filter(~F.col("song_id").eqNullSafe(F.col("_current")))
+    )
+    return diversify(scored, n, share).select("request_id", "rank", "song_id", "score", "source")
+
+
 def rerank_for_mood(queue: DataFrame, targets: DataFrame, energies: DataFrame) -> DataFrame:
     """Reorder queues (``listener, song_id, score``) after a mood shift.
 
@@ -85,7 +128,7 @@ def rerank_for_mood(queue: DataFrame, targets: DataFrame, energies: DataFrame) -
     distance = F.abs(F.col("energy") - F.col("target_energy"))
     shrunk = F.col("score") * (1 - F.coalesce(distance, F.lit(0.0)))
     adjusted = (
-        queue.join(energies.select("song_id", "energy"), "song_id", "left").join(wanted, "listener", "left")
+        queue.join(energies.select("song_id", "energy"), "song_id", "left").join(lookup(wanted), "listener", "left")
         .withColumn("adjusted", F.round(F.round(shrunk, 12), 6))
         .drop("energy", "target_energy")
     )

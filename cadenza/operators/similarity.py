@@ -2,11 +2,16 @@
 
 Equal vectors are searched once, so a library where a third of all songs are
 copies costs no more than one without them. Songs are grouped into cells around
-pivot vectors, and each cell into blocks of bounded size. A query first looks at
-a part of its own cell, which gives a similarity it can reach; by the triangle
-inequality on angles it then needs only the cells that could hold something as
-good. Each (query chunk, block) pair is one bounded matrix product that returns
-at most n rows per query, and the best of those is the exact answer.
+pivot vectors. A query first looks at a part of its own cell, which gives a
+similarity it can reach; by the triangle inequality on angles it then needs only
+the cells that could hold something as good.
+
+Cells are dealt into walks of bounded size. A task walks a chunk of queries over
+one walk, block by block in the order of the songs' angles to the pivot, and
+carries the best n of every query along: a block is multiplied only with the
+queries whose n-th best it could still better, and one that could better none is
+passed over. So a query costs n candidate rows per walk, however many blocks it
+has, and a task holds its queries and one block.
 
 Similarities are rounded before they are ranked, so ties (broken by song id) do
 not depend on the order of additions.
@@ -14,8 +19,10 @@ not depend on the order of additions.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from cadenza.functions.vectors import unit, vector_key
@@ -25,25 +32,28 @@ from cadenza.session import durable
 NEIGHBOURS = 15  # fixed value: K of the neighbour search
 SIMILAR = 10  # fixed value: songs returned by default
 
-BLOCK_ROWS = 16384
+BLOCK_ROWS = 8192  # songs multiplied at once
+WALK_ROWS = 1 << 20  # songs of one walk
+CHUNK_ROWS = 1 << 15  # queries of one walk; they and their best songs stay in memory
 SONGS_PER_CELL = 65536
 MAX_PIVOTS = 4096  # pivots travel with the tasks: at most 4096 vectors
 SAMPLE_ROWS = 1000  # the largest per-group limit that is still applied before a shuffle
 BROADCAST_ROWS = 100_000
 _SLACK = 1e-7  # angle added to every bound, far above float error
 
-_HITS = "query_key string, scope string, base_key string, first_id string, similarity double"
+_HITS = "query_key string, scope string, base_key string, place bigint, similarity double"
 
 
 def nearest(
     queries: DataFrame, base: DataFrame, n: int, *, scoped: bool = False, digits: int = 6,
-    block_rows: int = BLOCK_ROWS, pivots: int | None = None,
+    block_rows: int = BLOCK_ROWS, walk_rows: int = WALK_ROWS, chunk_rows: int = CHUNK_ROWS, pivots: int | None = None,
 ) -> DataFrame:
     """The ``n`` most similar base songs of every query, itself left out.
 
     ``queries``: ``query_id, vector``; ``base``: ``song_id, vector``; ids are text.
     With ``scoped`` both also have ``scope``, and a query meets only songs of its
-    scope. Returns ``query_id, song_id, similarity, rank``.
+    scope. Returns ``query_id, song_id, similarity, rank``. There is one pivot per
+    ``SONGS_PER_CELL`` different vectors, one at least, unless ``pivots`` says how many.
     """
     scope = F.col("scope") if scoped else F.lit("")
     asked = queries.select("query_id", scope.alias("scope"), unit(F.col("vector")).alias("vector"))
@@ -59,30 +69,31 @@ def nearest(
         F.first("vector").alias("vector"), F.min("song_id").alias("first_id")
     )
     unique_queries = asked.groupBy("scope", "query_key").agg(F.first("vector").alias("vector"))
+    # Places follow the first ids, so that a task can break ties without comparing text.
+    placed = durable(unique_base.orderBy("first_id").drop("first_id").withColumn("place", F.monotonically_increasing_id()))
 
-    hits = _search(unique_queries, unique_base, n + 1, digits, block_rows, pivots, scoped)
+    hits = _search(unique_queries, placed, n + 1, digits, (block_rows, walk_rows, chunk_rows), pivots, scoped)
     return _expand(hits, copies, asked, n)
 
 
-def _search(queries, base, n, digits, block_rows, pivots, scoped):
-    if pivots is None:
-        pivots = min(MAX_PIVOTS, max(1, base.count() // SONGS_PER_CELL))
-    if pivots <= 1:
-        cells = base.withColumn("cell", F.lit(0))
-        asked = queries.withColumn("cell", F.lit(0))
-        return _best(_products(asked, cells, n, digits, block_rows, scoped), n)
+def _search(queries, base, n, digits, sizes, pivots, scoped):
+    songs = base.count()
+    if not songs:
+        return base.sparkSession.createDataFrame([], _HITS)
+    centres = _pick_pivots(base, pivots or min(MAX_PIVOTS, 1 + songs // SONGS_PER_CELL))
+    base, queries = _place(base, centres), _place(queries, centres)
+    if len(centres) == 1:  # the only cell is every query's own
+        return _best(_walked(queries, base, n, digits, sizes, centres, scoped), n)
 
-    centres = _pick_pivots(base, pivots)
-    base = durable(_place(base, centres))
-    queries = durable(_place(queries, centres))
+    base, queries = durable(base), durable(queries)
     radii = np.zeros(len(centres))
     for row in base.groupBy("cell").agg(F.max("angle").alias("r")).collect():  # one row per pivot
         radii[row.cell] = row.r
 
-    reach = _reached(queries, base, n, digits, block_rows, scoped)
+    reach = _reached(queries, base, n, digits, sizes, centres, scoped)
     asked = durable(_needed_cells(queries.join(reach, ["scope", "query_key"], "left"), centres, radii, digits))
     asked = asked.withColumn("cell", F.explode("cells")).drop("cells")
-    return _best(_products(asked, base, n, digits, block_rows, scoped), n)
+    return _best(_walked(asked, base, n, digits, sizes, centres, scoped), n)
 
 
 def _pick_pivots(base, pivots):
@@ -106,13 +117,13 @@ def _place(df, centres):
     return df.mapInPandas(assign, f"{fields}, cell int, angle double")
 
 
-def _reached(queries, base, n, digits, block_rows, scoped):
+def _reached(queries, base, n, digits, sizes, centres, scoped):
     """What each query reaches in a part of its own cell: a bound, not an answer."""
     sample = base.withColumn("_order", F.xxhash64("base_key"))
     sample = top_rows(sample, ["scope", "cell"], ["_order", "base_key"], SAMPLE_ROWS, "_place")
     hits = top_rows(
-        _products(queries, sample.drop("_order", "_place"), n, digits, block_rows, scoped),
-        ["scope", "query_key"], [F.desc("similarity"), "first_id"], n,
+        _walked(queries, sample.drop("_order", "_place"), n, digits, sizes, centres, scoped),
+        ["scope", "query_key"], [F.desc("similarity"), "place"], n,
     )
     # Only a full list of n bounds the n-th best from below.
     return (
@@ -140,80 +151,121 @@ def _needed_cells(queries, centres, radii, digits):
     )
 
 
-def _products(asked, base, n, digits, block_rows, scoped):
-    """Bounded matrix products of query chunks and base blocks within each cell."""
-    by = ["scope", "cell"]
-
-    base, asked = _with_sizes(asked, base, by, block_rows, scoped)
-    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+class _Best:
+    """The n best songs so far of each query of a chunk: rounded similarity, then place."""
+
+    def __init__(self, vectors: np.ndarray, angles: np.ndarray, n: int, scale: int):
+        self.vectors, self.angles, self.n, self.scale = vectors, angles, n, scale
+        self.rounded = np.full((len(vectors), n), -(1 << 62))
+        self.places = np.full((len(vectors), n), 1 << 62)
+        self.keys = np.full((len(vectors), n), None, object)
+
+    def hopeful(self, low: float, high: float) -> np.ndarray:
+        """Queries that a song between these angles to the pivot could still give a better, or equal, n-th best."""
+        away = np.maximum(0.0, np.maximum(low - self.angles, self.angles - high) - _SLACK)
+        return np.flatnonzero(np.rint(np.cos(away) * self.scale) >= self.rounded[:, -1])
+
+    def take(self, block: np.ndarray, places: np.ndarray, keys: np.ndarray, asked: np.ndarray) -> None:
+        order = np.argsort(places, kind="stable")
+        block, places, keys = block[order], places[order], keys[order]
+        keep, earlier = min(self.n, len(block)), np.arange(len(block) - 1, -1, -1)
+        for start in range(0, len(asked), 256):
+            rows = asked[start:start + 256]
+            # One whole number per pair: rounded similarity first, then the earlier place.
+            rounded = np.rint(self.vectors[rows] @ block.T * self.scale).astype(np.int64)
+            pairs = rounded * len(block) + earlier
+            top = np.argpartition(-pairs, keep - 1, axis=1)[:, :keep]
+            all_rounded = np.hstack([self.rounded[rows], np.take_along_axis(rounded, top, 1)])
+            all_places = np.hstack([self.places[rows], places[top]])
+            best = np.lexsort((all_places, -all_rounded), axis=1)[:, :self.n]
+            self.rounded[rows] = np.take_along_axis(all_rounded, best, 1)
+            self.places[rows] = np.take_along_axis(all_places, best, 1)
+            self.keys[rows] = np.take_along_axis(np.hstack([self.keys[rows], keys[top]]), best, 1)
+
+
+def _walked(asked, base, n, digits, sizes, centres, scoped):
+    """At most ``n`` hits per query and walk: chunks of queries over walks of songs, within each cell."""
+    block_rows, walk_rows, chunk_rows = sizes
+    by, scale = ["scope", "cell"], 10 ** digits
+    base, asked = _with_sizes(asked, base, by, walk_rows, chunk_rows, scoped)
+    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+    none = lambda kind: F.lit(None).cast(kind)
     left = (
-        asked.select(*by, "query_key", "vector", "blocks", "chunks")
-        .withColumn("chunk", F.pmod(F.xxhash64("query_key"), F.col("chunks")))
-        .withColumn("block", every("blocks")).drop("blocks", "chunks")
+        asked.withColumn("chunk", F.pmod(F.xxhash64("query_key"), F.col("chunks"))).withColumn("walk", every("walks"))
+        .select(*by, "walk", "chunk", F.lit(0).alias("side"), none("double").alias("angle"),
+                F.col("query_key").alias("key"), none("bigint").alias("place"), "vector")
     )
     right = (
-        base.select(*by, "base_key", "first_id", "vector", "blocks", "chunks")
-        .withColumn("block", F.pmod(F.xxhash64("base_key"), F.col("blocks")))
-        .withColumn("chunk", every("chunks")).drop("blocks", "chunks")
+        base.withColumn("walk", F.pmod(F.xxhash64("base_key"), F.col("walks"))).withColumn("chunk", every("chunks"))
+        .select(*by, "walk", "chunk", F.lit(1).alias("side"), "angle", F.col("base_key").alias("key"), "place", "vector")
     )
-    scale = 10 ** digits
-
-    def multiply(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(lpdf) and len(rpdf):
-            rpdf = rpdf.sort_values("first_id", ignore_index=True)
-            members = np.stack(rpdf.vector.to_numpy())
-            vectors = np.stack(lpdf.vector.to_numpy())
-            keep = min(n, len(rpdf))
-            # One whole number per pair: rounded similarity first, then the smaller id.
-            earlier = np.arange(len(rpdf) - 1, -1, -1)
-            for start in range(0, len(lpdf), 256):
-                rounded = np.rint(vectors[start:start + 256] @ members.T * scale).astype(np.int64)
-                places = rounded * len(rpdf) + earlier
-                best = np.argpartition(-places, keep - 1, axis=1)[:, :keep]
-                row = np.repeat(np.arange(start, start + len(rounded)), keep)
-                found = best.ravel()
-                out.append(pd.DataFrame({
-                    "query_key": lpdf.query_key.to_numpy()[row],
-                    "scope": lpdf.scope.to_numpy()[row],
-                    "base_key": rpdf.base_key.to_numpy()[found],
-                    "first_id": rpdf.first_id.to_numpy()[found],
-                    "similarity": rounded[row - start, found] / scale,
-                }))
-        names = ["query_key", "scope", "base_key", "first_id", "similarity"]
-        return pd.concat(out) if out else pd.DataFrame({name: [] for name in names})
-
-    group = [*by, "block", "chunk"]
-    return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(multiply, _HITS)
-
-
-def _with_sizes(asked, base, by, block_rows, scoped):
-    """Add to both sides how many blocks and chunks their cell is cut into."""
-
-    def parts(df, name):
-        return df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).alias(name))
+    group = [*by, "walk", "chunk"]
+
+    def walk(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, vectors, best = [], [], None
+        scope, cell = key[0].as_py(), key[1].as_py()
+        for batch in batches:
+            side = batch.column("side").to_numpy()
+            if (np.diff(side) < 0).any() or best is not None and not side.all():
+                raise RuntimeError("songs came before the queries that look for them")
+            width = len(centres[cell])
+            found = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            first = int(np.searchsorted(side, 1))
+            if first:
+                queries.append(batch.column("key").slice(0, first).to_numpy(zero_copy_only=False))
+                vectors.append(found[:first])
+            if first == len(side) or not vectors:
+                continue
+            if best is None:
+                mine = np.concatenate(vectors)
+                best = _Best(mine, np.arccos(np.clip(mine @ centres[cell], -1.0, 1.0)), n, scale)
+            angles, places = batch.column("angle").fill_null(0.0).to_numpy(), batch.column("place").fill_null(0).to_numpy()
+            keys = batch.column("key").to_numpy(zero_copy_only=False)
+            for start in range(first, len(side), block_rows):
+                block = slice(start, start + block_rows)
+                asked = best.hopeful(angles[block].min(), angles[block].max())
+                if len(asked):
+                    best.take(found[block], places[block], keys[block], asked)
+        if best is not None:
+            row, column = np.nonzero(best.keys != None)  # noqa: E711  (entry by entry)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate(queries)[row], pa.string()), pa.array([scope] * len(row), pa.string()),
+                pa.array(best.keys[row, column], pa.string()), pa.array(best.places[row, column]),
+                pa.array(best.rounded[row, column] / scale),
+            ], ["query_key", "scope", "base_key", "place", "similarity"])
+
+    # Grouping finds the rows dealt and sorted already: queries first, then songs by their angle.
+    rows = left.unionByName(right).repartition(*group).sortWithinPartitions(*group, "side", "angle")
+    return rows.groupBy(*group).applyInArrow(walk, _HITS)
+
+
+def _with_sizes(asked, base, by, walk_rows, chunk_rows, scoped):
+    """Add to both sides how many walks and chunks their cell is dealt into."""
+
+    def parts(df, name, rows):
+        return df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows)).alias(name))
 
     if not scoped:
         # At most one row per pivot.
-        blocks = {r.cell: r.blocks for r in parts(base, "blocks").collect()}
-        chunks = {r.cell: r.chunks for r in parts(asked, "chunks").collect()}
-        cells = [(cell, blocks[cell], chunks[cell]) for cell in blocks if cell in chunks]
+        walks = {r.cell: r.walks for r in parts(base, "walks", walk_rows).collect()}
+        chunks = {r.cell: r.chunks for r in parts(asked, "chunks", chunk_rows).collect()}
+        cells = [(cell, walks[cell], chunks[cell]) for cell in walks if cell in chunks]
         if len(cells) == 1:
-            cell, block, chunk = cells[0]
-            here = lambda df: df.filter(F.col("cell") == cell).withColumns(
-                {"blocks": F.lit(block).cast("long"), "chunks": F.lit(chunk).cast("long")}
+            cell, walk, chunk = cells[0]
+            here = lambda df: df.filter(F.col("cell") == cell).withColumns(
+                {"walks": F.lit(walk).cast("long"), "chunks": F.lit(chunk).cast("long")}
             )
             return here(base), here(asked)
-        sizes = F.broadcast(base.sparkSession.createDataFrame(cells, "cell int, blocks bigint, chunks bigint"))
+        sizes = F.broadcast(base.sparkSession.createDataFrame(cells, "cell int, walks bigint, chunks bigint"))
         return base.join(sizes, "cell"), asked.join(sizes, "cell")
-    sizes = durable(parts(base, "blocks").join(parts(asked, "chunks"), by))
+    sizes = durable(parts(base, "walks", walk_rows).join(parts(asked, "chunks", chunk_rows), by))
     if sizes.count() <= BROADCAST_ROWS:
         sizes = F.broadcast(sizes)
     return base.join(sizes, by), asked.join(sizes, by)
 
 
 def _best(hits, n):
-    return top_rows(hits, ["scope", "query_key"], [F.desc("similarity"), "first_id"], n).drop("rank")
+    return top_rows(hits, ["scope", "query_key"], [F.desc("similarity"), "place"], n).drop("rank")
 
 
 def _expand(hits, copies, asked, n):
@@ -264,3 +316,59 @@ def refresh_similar(stored: DataFrame, old: DataFrame, new: DataFrame, n: int =
         ["query_id"], [F.desc("similarity"), "song_id"], n,
     )
     return merged.unionByName(nearest(as_query(new), as_base(old.unionByName(new)), n, **options))
+
+
+# Lists that follow a library whose songs change and go: every change is a new version of a list.
+
+LISTS = "query_id string, version bigint, song_id string, similarity double, rank int"
+
+
+def current_lists(history: DataFrame) -> DataFrame:
+    """``query_id, song_id, similarity, rank`` of the last version of every list; a tombstone (no song) ends a list."""
+    last = history.groupBy("query_id").agg(F.max("version").alias("version"))
+    return history.join(lookup(last), ["query_id", "version"]).filter(F.col("song_id").isNotNull()).drop("version")
+
+
+def changed_lists(
+    history: DataFrame, before: DataFrame, after: DataFrame, version: int, n: int = SIMILAR, **options
+) -> DataFrame:
+    """Rows of ``LISTS`` to append to ``history`` when the library goes from ``before`` to ``after``.
+
+    Both are ``song_id, full_vector``; ``history`` holds lists of ``n`` for ``before``. Songs that were
+    removed get a tombstone. Songs that are new or have another vector are searched for, and so are lists
+    that lose a song, as nobody knows what came after its end. All other lists are only compared
+    with the songs that came in; those that stay as they are get no new version.
+    """
+    then = before.select("song_id", vector_key(F.col("full_vector")).alias("_then"))
+    now = after.select("song_id", vector_key(F.col("full_vector")).alias("_now"))
+    states = durable(then.join(now, "song_id", "full").select(
+        "song_id",
+        (F.col("_now").isNotNull() & ~F.col("_then").eqNullSafe(F.col("_now"))).alias("came"),
+        (F.col("_then").isNotNull() & ~F.col("_then").eqNullSafe(F.col("_now"))).alias("went"),
+        F.col("_now").isNull().alias("removed"),
+    ))
+    came, went = states.filter("came").select("song_id"), states.filter("went").select("song_id")
+    lists = durable(current_lists(history))
+    short = lists.join(lookup(went), "song_id", "left_semi").select("query_id").distinct()
+    searched = durable(came.unionByName(short.withColumnRenamed("query_id", "song_id")).distinct()
+                       .join(after.select("song_id"), "song_id", "left_semi"))
+    as_query = lambda df: df.select(F.col("song_id").alias("query_id"), F.col("full_vector").alias("vector"))
+    as_base = lambda df: df.select("song_id", F.col("full_vector").alias("vector"))
+
+    whole = nearest(as_query(after.join(lookup(searched), "song_id", "left_semi")), as_base(after), n, **options)
+    rest = after.join(lookup(searched), "song_id", "left_anti")
+    arrived = nearest(as_query(rest), as_base(after.join(lookup(came), "song_id", "left_semi")), n, **options)
+    # A list of the rest lost nothing, so its first n after the new songs have been put in are right.
+    better = arrived.select("query_id").distinct()
+    merged = top_rows(
+        lists.join(lookup(better), "query_id", "left_semi").select("query_id", "song_id", "similarity", F.lit(False).alias("_new"))
+        .unionByName(arrived.select("query_id", "song_id", "similarity", F.lit(True).alias("_new"))),
+        ["query_id"], [F.desc("similarity"), "song_id"], n,
+    )
+    touched = merged.filter("_new").select("query_id").distinct()
+    merged = merged.join(lookup(touched), "query_id", "left_semi").drop("_new")
+    gone = states.filter("removed").select(
+        F.col("song_id").alias("query_id"), F.lit(None).cast("string").alias("song_id"),
+        F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("int").alias("rank"))
+    rows = whole.unionByName(merged).unionByName(gone)
+    return rows.select("query_id", F.lit(version).cast("bigint").alias("version"), "song_id", "similarity", F.col("rank").cast("int").alias("rank"))

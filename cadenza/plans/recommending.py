@@ -7,7 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from cadenza.operators import behavior, picks, ranking, similarity
+from cadenza.operators import approximate, behavior, picks, ranking, similarity
 from cadenza.plans.registry import query
 from cadenza.plans.standins import AS_OF, view
 from cadenza.session import durable, shared_folder
@@ -24,9 +24,9 @@ def similar_songs(spark, folder):
 
 @query("select query_id, song_id, similarity, rank from similar_40 where rank <= 10")
 def similar_songs_pruned(spark, folder):
-    """The same with pivots and small blocks, as a large library would be searched."""
+    """The same with pivots, small walks and blocks, as a large library would be searched."""
     features = view(spark, folder, "features")
-    return similarity.similar_songs(features, pivots=12, block_rows=64).select(*_PAIR)
+    return similarity.similar_songs(features, pivots=12, block_rows=16, walk_rows=64, chunk_rows=64).select(*_PAIR)
 
 
 @query("""
@@ -46,6 +46,55 @@ def similar_refreshed(spark, folder):
     return similarity.refresh_similar(stored, old, new).select(*_PAIR)
 
 
+_AFTER = """
+    after as (
+        select song_id, case when cast(song_id as bigint) % 3 = 0 then list_transform(u, lambda x: -x) else u end u
+        from unit_features where cast(song_id as bigint) % 10 <> 7)"""
+
+
+@query(f"""
+    with {_AFTER}
+    select query_id, song_id, similarity, rank from (
+        select *, cast(row_number() over (partition by query_id order by similarity desc, song_id) as int) rank
+        from (select a.song_id query_id, b.song_id, round(list_inner_product(a.u, b.u), 6) + 0.0 similarity
+              from after a join after b on a.song_id <> b.song_id)) where rank <= 10""")
+def similar_after_changes(spark, folder):
+    """Lists kept by versions: a third of the songs were indexed again, some went, some are new."""
+    number, songs = F.col("song_id").cast("bigint"), view(spark, folder, "features").select("song_id", "full_vector")
+    before = songs.filter(number % 11 != 5)
+    turned = F.when(number % 3 == 0, F.transform("full_vector", lambda x: -x)).otherwise(F.col("full_vector"))
+    after = songs.filter(number % 10 != 7).withColumn("full_vector", turned)
+    history = similarity.similar_songs(before).select(
+        "query_id", F.lit(1).cast("bigint").alias("version"), "song_id", "similarity", F.col("rank").cast("int").alias("rank"))
+    history = durable(history)
+    changes = similarity.changed_lists(history, before, after, 2)
+    return similarity.current_lists(history.unionByName(changes)).select(*_PAIR)
+
+
+@query("""
+    with planes as (
+        select tab, bit, list((i * i * 2654435761 % 4294967296) / 4294967296 - 0.5 order by d) w
+        from (select tab, bit, d, (tab * 10 + bit) * 64 + d + 1 i
+              from (select unnest(range(14)) tab), (select unnest(range(10)) bit), (select unnest(range(64)) d))
+        group by tab, bit),
+    homes as (
+        select song_id, tab, sum(case when list_inner_product(u, w) >= 0 then 1 << bit else 0 end)::bigint bucket
+        from unit_features cross join planes group by song_id, tab),
+    pairs as (
+        select distinct q.song_id query_id, s.song_id from homes q join homes s on q.tab = s.tab and q.song_id <> s.song_id
+        where bit_count(xor(q.bucket, s.bucket)) <= 2)
+    select query_id, song_id, similarity, rank from (
+        select p.*, similarity, cast(row_number() over (partition by query_id order by similarity desc, song_id) as int) rank
+        from pairs p join cosines c using (query_id, song_id)) where rank <= 10""")
+def similar_approximate(spark, folder):
+    """Ten similar songs of every song from the buckets of a stored index."""
+    features, path = view(spark, folder, "features"), f"{shared_folder(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    planes = approximate.Planes(tables=14, bits=10)
+    approximate.build_index(features, planes).write(path)
+    queries = features.select(F.col("song_id").alias("query_id"), F.col("full_vector").alias("vector"))
+    return approximate.similar_approximate(queries, approximate.Index.read(spark, path, planes)).select(*_PAIR)
+
+
 @query("""
     select request_id, song_id, similarity, score, rank from (
         select *, cast(row_number() over (partition by request_id order by score desc, song_id) as int) rank from (
@@ -123,6 +172,77 @@ def context_queues(spark, folder):
     return found.select("request_id", "song_id", "similarity", "score", "rank")
 
 
+_ASKED = """
+    asked as (
+        select listener request_id, listener, b.song_id current_song_id,
+               case when cast(listener as bigint) % 7 = 0 then null when cast(listener as bigint) % 7 = 1 then 'nobody plays it'
+                    else coalesce(f.genre, 'g1') end genre_context,
+               case when cast(listener as bigint) % 5 < 2 then concat('g', cast(cast(listener as bigint) % 10 as string)) end dominant_genre
+        from (select *, row_number() over (partition by listener order by ts desc, id desc) back from behavior) b
+        left join features f on f.song_id = b.song_id where back = 1)"""
+
+
+def _asked(spark, folder):
+    """The last song of every listener, with features or not; some genres are not known, some not given."""
+    last = view(spark, folder, "behavior").groupBy("listener").agg(
+        F.max(F.struct("ts", "id", "song_id")).getField("song_id").alias("current_song_id"))
+    genres = view(spark, folder, "features").select(F.col("song_id").alias("current_song_id"), "genre")
+    number = F.col("listener").cast("bigint")
+    return last.join(genres, "current_song_id", "left").select(
+        F.col("listener").alias("request_id"), "listener", "current_song_id",
+        F.when(number % 7 == 0, F.lit(None)).when(number % 7 == 1, "nobody plays it")
+        .otherwise(F.coalesce("genre", F.lit("g1"))).alias("genre_context"),
+        F.when(number % 5 < 2, F.concat(F.lit("g"), (number % 10).cast("string"))).alias("dominant_genre"))
+
+
+@query(f"""
+    with {_ASKED},
+    pool as (
+        select request_id, listener, c.song_id, c.similarity,
+               row_number() over (partition by request_id order by c.similarity desc, c.song_id) place
+        from asked r join cosines c on c.query_id = r.current_song_id and c.genre = r.genre_context),
+    near as (
+        select request_id, listener, s.song_id, s.similarity
+        from asked r join similar_40 s on s.query_id = r.current_song_id join features f on f.song_id = s.song_id
+        where f.genre is distinct from r.genre_context),
+    scored as (
+        select request_id, source, p.song_id, round(similarity * (1 + coalesce(preference, 0)), 6) + 0.0 score
+        from (select request_id, listener, song_id, similarity, 'context' source from pool where place <= 40
+              union all select request_id, listener, song_id, similarity, 'beside' from near) p
+        left join listener_preference w on w.listener = p.listener and w.song_id = p.song_id),
+    ranked as (
+        select *, row_number() over (partition by request_id, source order by score desc, song_id) place,
+               count(*) filter (source = 'context') over (partition by request_id) in_context from scored),
+    found as (
+        select request_id, song_id, score, source from ranked
+        where place <= case when source = 'beside' and in_context > 0 then 4 else 20 end),
+    ring as (
+        select song_id, row_number() over (order by u, song_id) - 1 place, count(*) over () n
+        from (select id song_id, (('0x' || substr(md5('queue|' || id), 1, 8))::bigint + 0.5::double) / 4294967296.0 u from songs_in)),
+    drawn as (
+        select request_id, song_id, -10.0::double - k.k score, 'random' source
+        from (select *, (('0x' || substr(md5('queue|' || request_id), 1, 8))::bigint + 0.5::double) / 4294967296.0 u from asked) a
+        cross join (select unnest(range(100)) k) k join ring r on r.place = (cast(floor(a.u * r.n) as bigint) + k.k) % r.n),
+    everything as (
+        select e.request_id, e.song_id, e.score, e.source, coalesce(f.genre = coalesce(dominant_genre, genre_context), false) dominant
+        from (select * from found union all
+              select * from drawn d where not exists (
+                  select 1 from found x where x.request_id = d.request_id and x.song_id = d.song_id)) e
+        join asked a on a.request_id = e.request_id left join features f on f.song_id = e.song_id
+        where e.song_id <> a.current_song_id),
+    kept as (
+        select *, row_number() over (partition by request_id, dominant order by score desc, song_id) place from everything)
+    select request_id, song_id, score, source, rank from (
+        select *, cast(row_number() over (partition by request_id order by score desc, song_id) as int) rank
+        from kept where place <= case when dominant then 16 else 20 end)
+    where rank <= 20""")
+def answered_queues(spark, folder):
+    """Twenty songs for every listener: the wanted genre, a fifth beside the session's, and chance for the rest."""
+    weights = behavior.preference(view(spark, folder, "labelled")).withColumnRenamed("preference", "weight")
+    return ranking.answered_queue(
+        _asked(spark, folder), view(spark, folder, "features"), weights, view(spark, folder, "songs_in"))
+
+
 @query("""
     with latest as (
         select listener, target_energy from (

@@ -46,17 +46,20 @@ def stream_ingest(spark, folder):
 
 
 @query("""
-    select listener, count(*) events, round(avg(energy), 6) avg_energy, epoch_us(min(b.ts)) started_us, epoch_us(max(b.ts)) ended_us
-    from session_events b left join features f on f.song_id = b.song_id
-    group by listener, session_no
-    having max(b.ts) + interval 6 hour <= date_trunc('millisecond', (select max(ts) from behavior)) - interval 10 minute""")
+    with counted as (
+        select listener, session_no, genre, count(*) n, count(energy) k, sum(energy) e, min(ts) s, max(ts) t
+        from session_events b left join features f on f.song_id = b.song_id group by listener, session_no, genre)
+    select listener, (min({'n': -n, 'g': genre}) filter (where genre is not null)).g dominant_genre,
+           cast(sum(n) as bigint) events, round(sum(e) / nullif(sum(k), 0), 6) avg_energy, epoch_us(min(s)) started_us, epoch_us(max(t)) ended_us
+    from counted group by listener, session_no
+    having max(t) + interval 6 hour <= date_trunc('millisecond', (select max(ts) from behavior)) - interval 10 minute""")
 def stream_sessions(spark, folder):
     """Closed sessions only: the watermark is ten minutes behind the last event."""
-    energies = view(spark, folder, "features").select("song_id", "energy")
+    energies = view(spark, folder, "features").select("song_id", "genre", "energy")
     closed = streams.sessions(_events(spark, folder).join(energies, "song_id", "left"), "6 hours")
     rows = _run(spark, closed, closed.schema)
     return rows.select(
-        "listener", "events", F.round("avg_energy", 6).alias("avg_energy"),
+        "listener", "dominant_genre", "events", F.round("avg_energy", 6).alias("avg_energy"),
         F.unix_micros("started_at").alias("started_us"), F.unix_micros("ended_at").alias("ended_us"),
     )
 

@@ -42,13 +42,15 @@ def start_append(stream: DataFrame, path: str, checkpoint: str, available_now: b
 def sessions(events: DataFrame, gap: str, lateness: str = LATENESS) -> DataFrame:
     """Closed listening sessions split at gaps longer than ``gap``.
 
-    ``events`` carry ``energy``, null for songs without features; a session is emitted
-    once the watermark is past its end.
+    ``events`` carry ``genre`` and ``energy``, null for songs without features; a session is
+    emitted once the watermark is past its end. Its state is a count per genre besides sums and
+    bounds, and merges with that of another session when an event falls between the two.
     """
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
     return (
         timed.groupBy("listener", F.session_window("ts", gap).alias("_session"))
-        .agg(F.count(F.lit(1)).alias("events"), F.avg("energy").alias("avg_energy"),
+        .agg(F.mode("genre", deterministic=True).alias("dominant_genre"),
+             F.count(F.lit(1)).alias("events"), F.avg("energy").alias("avg_energy"),
              F.min("ts").alias("started_at"), F.max("ts").alias("ended_at"))
         .drop("_session")
     )

@@ -62,8 +62,9 @@ def test_documented_logs_reach_every_stream(spark, tmp_path):
         return spark.read.schema(stream.schema).parquet(f"{out}/rows").collect()
 
     assert sorted(r.id for r in run("ingest", streams.ingest)) == [0, 1, 2, 3, 4]
-    found = run("sessions", lambda e: streams.sessions(e.withColumn("energy", F.lit(None).cast("double")), "60 seconds"))
-    assert sorted((r.listener, r.events, r.avg_energy) for r in found) == [("a", 3, None), ("b", 1, None)]
+    genre = F.when(F.col("id") == 0, "z").when(F.col("id") == 1, "y")  # a tie, and two events without
+    found = run("sessions", lambda e: streams.sessions(e.withColumns({"energy": F.lit(None).cast("double"), "genre": genre}), "60 seconds"))
+    assert sorted((r.listener, r.dominant_genre or "", r.events, r.avg_energy) for r in found) == [("a", "y", 3, None), ("b", "", 1, None)]
     assert [(r.listener, r.id) for r in run("shifts", streams.mood_shifts)] == [("a", 2)]
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.operators import picks, ranking, similarity
+from cadenza.operators import approximate, picks, ranking, similarity
 from cadenza.operators.pieces import top_rows
 
 NOW = datetime(2024, 1, 31, 8)
@@ -40,13 +40,16 @@ def features(spark, vectors, scope=lambda i: "g"):
     return spark.createDataFrame(data, "song_id string, genre string, full_vector array<double>").repartition(5)
 
 
-@pytest.mark.parametrize("options", [{}, {"block_rows": 16}, {"pivots": 7, "block_rows": 16}, {"pivots": 40, "block_rows": 1000}])
+SMALL = {"block_rows": 8, "walk_rows": 40, "chunk_rows": 30}
+
+
+@pytest.mark.parametrize("options", [{}, SMALL, SMALL | {"pivots": 7}, {"pivots": 40, "block_rows": 1000}])
 def test_similar_is_exact(spark, library, tuples, options):
     found = similarity.similar_songs(features(spark, library), 6, **options)
     assert tuples(found, "query_id", "song_id", "similarity", "rank") == brute(library, 6)
 
 
-@pytest.mark.parametrize("options", [{}, {"pivots": 5, "block_rows": 16}])
+@pytest.mark.parametrize("options", [{}, SMALL | {"pivots": 5}])
 def test_similar_in_genre_is_exact(spark, library, tuples, options):
     scopes = {i: "hot" if i.startswith("copy") or int(i[-1:].replace("e", "0")) % 2 else "rare"
               for i in library if i != "opposite"}
@@ -55,6 +58,33 @@ def test_similar_in_genre_is_exact(spark, library, tuples, options):
     assert tuples(found, "query_id", "song_id", "similarity", "rank") == brute(vectors, 4, scopes)
 
 
+def test_a_query_costs_n_rows_per_walk_however_many_blocks(spark, library, monkeypatch):
+    counted, best = [], similarity._best
+    monkeypatch.setattr(similarity, "_best", lambda hits, n: counted.append((hits.count(), n)) or best(hits, n))
+    different = len({tuple(v) for v in library.values()})
+    for walk_rows, walks in ((1 << 20, 1), (40, -(-different // 40))):
+        similarity.similar_songs(features(spark, library), 6, block_rows=4, walk_rows=walk_rows, chunk_rows=50)
+        found, n = counted.pop()
+        assert n == 7 and found <= n * different * walks
+    assert different * n <= found < different * different / 4
+
+
+def test_blocks_that_cannot_better_a_query_are_passed_over():
+    rng = np.random.default_rng(2)
+    pivot = np.eye(16)[0]
+    near = pivot + rng.normal(size=(40, 16)) * 0.02
+    near /= np.linalg.norm(near, axis=1, keepdims=True)
+    angles = np.arccos(np.clip(near @ pivot, -1, 1))
+    best = similarity._Best(near[:10], angles[:10], 3, 10 ** 6)
+    assert len(best.hopeful(2.0, 3.0)) == 10  # nothing seen yet
+    best.take(near, np.arange(40), np.array([f"k{i}" for i in range(40)], object), np.arange(10))
+    assert [k for k in best.keys[:, 0]] == [f"k{i}" for i in range(10)]
+    assert not len(best.hopeful(2.0, 3.0)) and len(best.hopeful(0.0, 0.1)) == 10
+    kept = best.places.copy()
+    best.take(near, np.arange(40, 80), np.array([f"later{i}" for i in range(40)], object), np.arange(10))
+    assert best.rounded[0, 0] == best.rounded[0, 1] and best.places[0].tolist() == [kept[0, 0], 40 + kept[0, 0], kept[0, 1]]
+
+
 def test_pivots_spare_work(spark, library):
     """With clustered songs a query needs few of the cells."""
     vectors = features(spark, library).select(F.col("song_id").alias("base_key"), F.lit("").alias("scope"),
@@ -76,6 +106,75 @@ def test_new_songs_refresh_the_lists(spark, library, tuples):
     assert tuples(found, "query_id", "song_id", "similarity", "rank") == brute(library, 5)
 
 
+def test_lists_follow_changes_by_versions(spark, library, tuples):
+    """Songs that go, come and change; a second change on top of the first; lists nobody touched keep their version."""
+    lists = lambda df, v: df.select("query_id", F.lit(v).cast("bigint").alias("version"), "song_id", "similarity", F.col("rank").cast("int").alias("rank"))
+    states = [{i: v for i, v in library.items() if not i.endswith("3")}]
+    rng = np.random.default_rng(9)
+    states.append({i: v for i, v in states[0].items() if i not in ("s001", "copy007", "zero1")} | {
+        "s002": rng.normal(size=8), "new1": library["s004"] + 1e-3, "copy999": library["copy000"]})
+    states.append({i: v for i, v in states[1].items() if i != "new1"} | {"s001": rng.normal(size=8)})
+    tables = [features(spark, state) for state in states]
+    history = lists(similarity.similar_songs(tables[0], 5), 0).persist()
+    for version in (1, 2):
+        changes = similarity.changed_lists(history, tables[version - 1], tables[version], version, 5).persist()
+        gone = sorted(set(states[version - 1]) - set(states[version]))
+        assert tuples(changes.filter("song_id is null"), "query_id") == [(i,) for i in gone]
+        old = {r[0]: r[1] for r in similarity.current_lists(history).groupBy("query_id").agg(F.array_sort(F.collect_list("song_id"))).collect()}
+        new = {r[0]: r[1] for r in changes.filter("song_id is not null").groupBy("query_id").agg(F.array_sort(F.collect_list("song_id"))).collect()}
+        untouched = [q for q in new if q in old and old[q] == new[q] and states[version - 1][q] is states[version][q]
+                     and not set(old[q]) & set(gone)]
+        assert not [q for q in untouched if not {i for i in old[q] if states[version - 1][i] is not states[version][i]}]
+        history = history.unionByName(changes).persist()
+        assert tuples(similarity.current_lists(history), "query_id", "song_id", "similarity", "rank") == brute(states[version], 5)
+    assert len(new) < len(states[2]) / 2  # the second change touched few
+
+
+def test_planes_follow_the_rule_and_buckets_their_sides(spark, rows):
+    planes = approximate.Planes(3, 4)
+    i = np.arange(1, 3 * 4 * 5 + 1)
+    assert np.allclose(planes.weights(5).ravel(), [int(x) * int(x) * 2654435761 % 2 ** 32 / 2 ** 32 - 0.5 for x in i])
+    vectors = np.random.default_rng(1).normal(size=(20, 5))
+    df = rows("id int, v array<double>", *[(k, v.tolist()) for k, v in enumerate(vectors)], (20, None), (21, []))
+    out = {r.id: r.b for r in df.select("id", planes.buckets(F.col("v")).alias("b")).collect()}
+    sides = (vectors @ planes.weights(5).T >= 0).reshape(20, 3, 4)
+    assert [out[k] for k in range(20)] == [[sum(1 << b for b in range(4) if s[t, b]) for t in range(3)] for s in sides]
+    assert out[20] is None and out[21] is None
+    probes = rows("b int", (5,)).select(planes.probes(F.col("b"), 2)).first()[0]
+    assert sorted(probes) == sorted(x for x in range(16) if bin(x ^ 5).count("1") <= 2)
+
+
+def test_index_finds_copies_and_everything_when_all_buckets_are_probed(spark, library, tuples, tmp_path):
+    songs, planes = features(spark, library), approximate.Planes(2, 3)
+    approximate.build_index(songs, planes).write(str(tmp_path / "index"))
+    index = approximate.Index.read(spark, str(tmp_path / "index"), planes)
+    assert index.vectors.count() == len({tuple(v / (np.linalg.norm(v) or 1)) for v in library.values()})
+    assert index.entries.count() == 2 * index.vectors.count() and index.copies.count() == len(library)
+    queries = songs.select(F.col("song_id").alias("query_id"), F.col("full_vector").alias("vector"))
+    found = approximate.similar_approximate(queries, index, 6, radius=3)
+    assert tuples(found, "query_id", "song_id", "similarity", "rank") == brute(library, 6)
+    few = approximate.similar_approximate(queries.filter("query_id like 's00%'"), index, 6, radius=0)
+    assert 0 < few.count() <= 60
+
+
+def test_recall_on_the_largest_table(spark):
+    rows_ = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").collect()
+    x = np.array([r.embedding for r in rows_], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cosines = x @ x.T
+    np.fill_diagonal(cosines, -2)
+    near = np.argsort(-cosines, axis=1)[:, :10]
+    songs = spark.createDataFrame([(str(r.vec_id), [float(v) for v in r.embedding]) for r in rows_], "song_id string, full_vector array<double>")
+    index = approximate.build_index(songs, approximate.Planes(14, 10))
+    queries = songs.filter("cast(song_id as bigint) % 5 = 0").select(F.col("song_id").alias("query_id"), F.col("full_vector").alias("vector"))
+    got = {}
+    for r in approximate.similar_approximate(queries, index, 10).collect():
+        got.setdefault(r.query_id, set()).add(r.song_id)
+    hits = [len(got[str(rows_[q].vec_id)] & {str(rows_[k].vec_id) for k in near[q]}) for q in range(0, len(rows_), 5)]
+    print("recall at 10:", sum(hits) / (10 * len(hits)))
+    assert sum(hits) / (10 * len(hits)) >= 0.9
+
+
 def test_top_rows_cuts_before_the_shuffle(spark):
     plan = top_rows(spark.range(10).withColumn("k", F.col("id") % 2), ["k"], ["id"], 3)._jdf.queryExecution().toString()
     assert plan.count("WindowGroupLimit") >= 2
@@ -112,6 +211,36 @@ def test_context_queue_skips_the_current_song(spark, rows, library):
     assert found.count() == 10
 
 
+def test_every_request_is_answered(spark, rows, library):
+    """Unknown song, unknown genre, no genre: a full queue each, without the current song and without repeats."""
+    scopes = {i: "hot" if i.startswith("copy") else "rare" if i.endswith("1") else "g" for i in library}
+    songs = features(spark, library, scopes.get)
+    catalog = rows("id string", *[(i,) for i in [*library, *(f"plain{k}" for k in range(200))]])
+    requests = rows(
+        "request_id string, listener string, current_song_id string, genre_context string, dominant_genre string",
+        ("known", "l", "s002", "g", "g"), ("genre of few", "l", "s001", "rare", None), ("no such genre", "l", "s002", "none", "g"),
+        ("no genre", "l", "s002", None, None), ("no features", "l", "plain7", "g", "g"), ("nothing", None, None, None, None))
+    weights = rows("listener string, song_id string, weight double", ("l", "s008", 1.0))
+    out = {}
+    for r in ranking.answered_queue(requests, songs, weights, catalog, n=10).collect():
+        out.setdefault(r.request_id, []).append(r)
+    current = {r.request_id: r.current_song_id for r in requests.collect()}
+    assert {k: len(v) for k, v in out.items()} == dict.fromkeys(current, 10)
+    for name, queue in out.items():
+        queue.sort(key=lambda r: r.rank)
+        ids = [r.song_id for r in queue]
+        assert len(set(ids)) == 10 and current[name] not in ids and [r.rank for r in queue] == list(range(1, 11))
+        dominant = {"known": "g", "genre of few": "rare", "no such genre": "g", "no features": "g"}.get(name)
+        assert sum(scopes.get(i) == dominant for i in ids) <= 8 or dominant is None
+    assert out["known"][0].song_id == "s008" and sum(r.source == "context" for r in out["known"]) == 8  # its near songs are all of one genre
+    assert {r.source for r in out["no features"]} == {r.source for r in out["nothing"]} == {"random"}
+    assert {r.source for r in out["no genre"]} == {"beside"}
+    again = ranking.answered_queue(requests, songs, weights, catalog, n=10).collect()
+    assert sorted(map(str, again)) == sorted(str(r) for q in out.values() for r in q)
+    short = ranking.answered_queue(requests, songs, weights, catalog.limit(3), n=10)
+    assert 0 < short.filter("request_id = 'nothing'").count() <= 3
+
+
 EVENTS = "id bigint, listener string, song_id string, event_type string, skip_position_pct double, ts timestamp"
 
 
