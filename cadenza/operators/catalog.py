@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cadenza.functions.scalars import (
     UNKNOWN_ALBUM, UNKNOWN_ARTIST, UNKNOWN_TITLE, ascii_fold, ascii_lower, base_name,
     contains_pattern, now, parse_time, stable_id,
 )
+from cadenza.operators.graph import connected
 from cadenza.operators.pieces import lookup
 from cadenza.session import durable
 
+ROUNDS = 4  # of an insert, before conflicts are looked for
+AT_ONCE = 100_000  # rows of one conflict that a task settles
+
 
 def list_device_songs(device: DataFrame, permitted: bool = True) -> DataFrame:
     """Every song the device reports, by title with case ignored; none if refused."""
@@ -96,21 +101,30 @@ def lookup_ids(ids: DataFrame, features: DataFrame) -> DataFrame:
     return ids.join(features, "song_id", "left")
 
 
-def insert_ignore(existing: DataFrame, incoming: DataFrame, order: str) -> DataFrame:
+def insert_ignore(
+    existing: DataFrame, incoming: DataFrame, order: str, rounds: int = ROUNDS, at_once: int = AT_ONCE, report=None
+) -> DataFrame:
     """The rows of ``incoming`` that an insert-or-ignore in ``order`` would add.
 
     A row is ignored when its id or its path is taken by an existing row or by an
     earlier row that was itself added, or when a required field is null. ``order``
-    is unique. Each round adds every row that is first on both keys and drops what
-    it blocks; only rows that lost a key to a row not added stay for another round.
+    is unique. Each of the first ``rounds`` adds every row that is first on both keys
+    and drops what it blocks, which settles nearly all of an ordinary batch. Rows that
+    lost a key to a row not added form chains; what is left of them is put together
+    by conflict (rows that share keys, directly or through others), and each conflict
+    is settled in its order by one task, ``at_once`` rows of a conflict at a time. So the
+    number of rounds does not follow the length of a chain: it is that of finding the
+    conflicts, plus one for every ``at_once`` rows of the largest. ``report`` is called with
+    the name of each step and the rows or links left after it.
     """
+    tell = report or (lambda step, left: None)
     rows = (
         incoming.dropna(subset=["id", "title", "file_path"])
         .join(existing.select("id"), "id", "left_anti")
         .join(existing.select("file_path"), "file_path", "left_anti")
     )
     added = []
-    while True:
+    for _ in range(rounds):
         by_id = rows.groupBy("id").agg(F.min(order).alias("_first_of_id"))
         by_path = rows.groupBy("file_path").agg(F.min(order).alias("_first_of_path"))
         marked = rows.join(lookup(by_id), "id").join(lookup(by_path), "file_path").withColumn(
@@ -119,13 +133,65 @@ def insert_ignore(existing: DataFrame, incoming: DataFrame, order: str) -> DataF
         marked = durable(marked.select(*incoming.columns, "_first"))
         winners = marked.filter("_first").drop("_first")
         added.append(winners)
-        rows = (
-            marked.filter(~F.col("_first")).drop("_first")
-            .join(winners.select("id"), "id", "left_anti")
-            .join(winners.select("file_path"), "file_path", "left_anti")
-        )
+        rows = _unblocked(marked.filter(~F.col("_first")).drop("_first"), winners)
+        if report:
+            tell("round", rows.count())
         if rows.isEmpty():
             return reduce(DataFrame.unionByName, added)
+    return reduce(DataFrame.unionByName, [*added, *_settled(durable(rows.select(*incoming.columns)), order, at_once, tell)])
+
+
+def _unblocked(rows: DataFrame, winners: DataFrame) -> DataFrame:
+    return rows.join(winners.select("id"), "id", "left_anti").join(winners.select("file_path"), "file_path", "left_anti")
+
+
+def _settled(rows: DataFrame, order: str, at_once: int, tell) -> list[DataFrame]:
+    """Rows that their conflicts add, slice by slice of each conflict's order."""
+    # A key's node is a hash: two keys that fall together only make one conflict of two.
+    row_nodes = rows.withColumn("_node", F.xxhash64(F.lit("id"), "id"))
+    found = connected(
+        row_nodes.select(F.col("_node").alias("a"), F.xxhash64(F.lit("path"), "file_path").alias("b")),
+        lambda links: tell("conflicts", links),
+    )
+    placed = row_nodes.join(lookup(found.withColumnRenamed("node", "_node")), "_node").drop("_node")
+    sizes = durable(placed.groupBy("component").agg(F.count(F.lit(1)).alias("_size")))
+    placed = durable(placed.join(lookup(sizes), "component"))
+    large = placed.filter(F.col("_size") > at_once)
+    # Ranges of the order that hold about ``at_once`` rows of all large conflicts hold no more of any.
+    total, cuts = large.count(), []
+    if total:
+        shares = [i * at_once / total for i in range(1, -(-total // at_once))]
+        cuts = sorted(set(large.agg(F.percentile_approx(order, shares, 100 * (len(shares) + 1))).first()[0]))
+        cuts = [*zip([None, *cuts], [*cuts, None])]
+    added = []
+
+    def settle(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        ids, paths, kept = set(), set(), []
+        ordered = group.sort_by(order)
+        for at, (one, path) in enumerate(zip(ordered["id"].to_pylist(), ordered["file_path"].to_pylist())):
+            if one not in ids and path not in paths:
+                ids.add(one)
+                paths.add(path)
+                kept.append(at)
+        return ordered.select([order]).take(kept)
+
+    kind = dict(rows.dtypes)[order]
+
+    def winners(part: DataFrame) -> DataFrame:
+        kept = part.select("component", "id", "file_path", order).groupBy("component").applyInArrow(settle, f"`{order}` {kind}")
+        return durable(part.join(lookup(kept), order, "left_semi").select(*rows.columns))
+
+    for low, high in cuts:
+        part = large
+        if low is not None:
+            part = part.filter(F.col(order) > low)
+        if high is not None:
+            part = part.filter(F.col(order) <= high)
+        added.append(winners(reduce(_unblocked, added, part)))
+        tell("slice", len(cuts) - len(added))
+    added.append(winners(placed.filter(F.col("_size") <= at_once)))
+    tell("rest", 0)
+    return added
 
 
 def duplicate_keys(df: DataFrame, table: str, key: list[str], rule: str) -> DataFrame:

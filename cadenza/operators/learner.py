@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cadenza.functions.scalars import day_part
 from cadenza.functions.vectors import dot
+from cadenza.operators.pieces import lookup
 from cadenza.session import durable
 
 RATE = 0.5
@@ -81,3 +82,45 @@ def fit_logistic(rows: DataFrame):
 
     prepared = rows.select("label", array_to_vector("x").alias("features"))
     return LogisticRegression(regParam=0.01).fit(prepared)
+
+
+# One model per listener: keyed rows, updated by one grouped gradient.
+
+MODELS = "listener string, version bigint, weights array<double>"
+
+
+def listener_rows(labelled: DataFrame, features: DataFrame) -> DataFrame:
+    """``listener, label, x`` of labelled events that carry ``session_energy``."""
+    x = inputs(F.col("full_vector"), F.col("ts"), F.col("session_energy"))
+    return labelled.join(features.select("song_id", "full_vector"), "song_id").select(
+        "listener", F.col("label").cast("double").alias("label"), x.alias("x")
+    )
+
+
+def current_models(models: DataFrame) -> DataFrame:
+    """``listener, weights`` of the last version of every listener in ``models`` (rows of ``MODELS``)."""
+    return models.groupBy("listener").agg(F.max_by("weights", "version").alias("weights"))
+
+
+def step_listeners(rows: DataFrame, models: DataFrame, version: int, rate: float = RATE) -> DataFrame:
+    """Rows of ``MODELS``: the models of all listeners in ``rows`` (``listener, label, x``) after one step.
+
+    ``models`` are their models so far, zero where there is none. The gradient is a mean per listener
+    and position: every task sends one partial sum for each, so a listener with a third of all rows
+    is no different from others. Listeners without rows keep their version.
+    """
+    known = current_models(models).withColumnRenamed("weights", "_weights")
+    given = rows.join(lookup(known), "listener", "left")
+    zeros = F.transform("x", lambda x: F.lit(0.0))
+    weights = F.coalesce("_weights", zeros)
+    missed = given.withColumn("_miss", F.col("label") - 1 / (1 + F.exp(-dot(F.col("x"), weights))))
+    steps = (
+        missed.select("listener", "_miss", F.posexplode("x").alias("position", "_x"))
+        .groupBy("listener", "position").agg(F.avg(F.col("_miss") * F.col("_x")).alias("gradient"))
+    )
+    lists = steps.groupBy("listener").agg(F.array_sort(F.collect_list(F.struct("position", "gradient"))).alias("_steps"))
+    moved = lists.join(known, "listener", "left").withColumn("_from", F.coalesce("_weights", F.transform("_steps", lambda s: F.lit(0.0))))
+    return moved.select(
+        "listener", F.lit(version).cast("bigint").alias("version"),
+        F.zip_with("_from", "_steps", lambda w, s: w + rate * s["gradient"]).alias("weights"),
+    )

@@ -162,3 +162,36 @@ def index_job_progress(spark, folder):
 def index_job_outcomes(spark, folder):
     """One outcome per request over all batches; a later batch finds what an earlier one has indexed."""
     return _index_job(spark, folder).log().select("seq", "file_path", "status", "error")
+
+
+@query("""
+    with training as (
+        select l.listener, l.id % 2 part, label, list_concat(cast(full_vector as double[]), [
+                   cast(hour(ts) < 12 as int)::double, cast(hour(ts) between 12 and 16 as int)::double,
+                   cast(hour(ts) >= 17 as int)::double, energy, 1.0::double]) x
+        from labelled l join features f on f.song_id = l.song_id),
+    cells as (select listener, part, label, unnest(x) x, generate_subscripts(x, 1) - 1 place from training),
+    one as (select listener, place, 0.5 * avg((label - 0.5) * x) w from cells where part = 0 group by listener, place),
+    models as (select listener, list(w order by place) w from one group by listener),
+    missed as (
+        select t.listener, t.x, label - 1 / (1 + exp(-coalesce(list_inner_product(t.x, m.w), 0))) miss
+        from training t left join models m using (listener) where part = 1),
+    second as (select listener, miss, unnest(x) x, generate_subscripts(x, 1) - 1 place from missed),
+    two as (select listener, place, 0.5 * avg(miss * x) w from second group by listener, place)
+    select listener, cast(place as int) "position", round(coalesce(a.w, 0) + coalesce(b.w, 0), 6) + 0.0 weight
+    from one a full join two b using (listener, place)""")
+def stream_learning_each(spark, folder):
+    """One model per listener after two micro-batches: the even and the odd events."""
+    from cadenza.operators.behavior import label_events
+
+    features, out = view(spark, folder, "features"), _folder(spark)
+    events = view(spark, folder, "behavior")
+    for part in (0, 1):
+        events.filter(F.col("id") % 2 == part).write.mode("append").parquet(f"{out}/events")
+        stream = spark.readStream.schema(events.schema).parquet(f"{out}/events")
+        labelled = label_events(stream).join(features.select("song_id", F.col("energy").alias("session_energy")), "song_id")
+        streams.start_learning_each(
+            learner.listener_rows(labelled, features), f"{out}/models", f"{out}/checkpoint", available_now=True).awaitTermination()
+    models = learner.current_models(streams.read_models(spark, f"{out}/models"))
+    cells = models.select("listener", F.posexplode("weights").alias("position", "weight"))
+    return cells.withColumn("weight", F.round("weight", 6))

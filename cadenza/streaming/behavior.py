@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cadenza import schemas
 from cadenza.operators.behavior import SHIFT_SECONDS, SHIFT_SKIPS, from_logs
-from cadenza.operators.learner import RATE, update
+from cadenza.operators.learner import MODELS, RATE, step_listeners, update
 
 SYNC_INTERVAL = "30 seconds"  # fixed value: how often clients send their events
 LATENESS = "10 minutes"
@@ -131,3 +132,28 @@ def read_weights(spark: SparkSession, path: str, width: int, version: int) -> li
         for row in spark.read.schema(schemas.PREFERENCE_WEIGHTS).parquet(f"{path}/batch-{version}").collect():
             weights[row.position] = row.weight
     return weights
+
+
+def start_learning_each(rows: DataFrame, path: str, checkpoint: str, rate: float = RATE, available_now: bool = False, **trigger):
+    """Update one preference model per listener, once per micro-batch of ``listener, label, x``.
+
+    A batch appends the models it has changed under its own number and starts from those of the batches
+    before, so one that is run again after a failure replaces its own result and comes out the same.
+    """
+
+    def learn(batch: DataFrame, batch_id: int) -> None:
+        before = read_models(batch.sparkSession, path).filter(F.col("version") < batch_id)
+        step_listeners(batch, before, batch_id, rate).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    trigger = trigger or ({"availableNow": True} if available_now else {"processingTime": SYNC_INTERVAL})
+    return rows.writeStream.foreachBatch(learn).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def read_models(spark: SparkSession, path: str) -> DataFrame:
+    """All versions of all models; none before the first batch."""
+    try:
+        return spark.read.schema(f"{MODELS}, batch bigint").parquet(path).drop("batch")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], MODELS)

@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from cadenza import schemas
@@ -68,6 +69,47 @@ def test_documented_logs_reach_every_stream(spark, tmp_path):
     assert [(r.listener, r.id) for r in run("shifts", streams.mood_shifts)] == [("a", 2)]
 
 
+def test_models_of_listeners_survive_a_restart(spark, tmp_path, monkeypatch):
+    """Three batches, the second failing first: the same models as without a failure, and as numpy has them."""
+    rng = np.random.default_rng(4)
+    given = [[(f"l{k % 3}" if b < 2 else "late", float(k % 2), rng.normal(size=3).tolist()) for k in range(30)] for b in range(3)]
+    kind = "listener string, label double, x array<double>"
+    fail, step = [], streams.step_listeners
+
+    def failing(rows, models, version, rate):
+        if fail:
+            raise OSError("lost")
+        return step(rows, models, version, rate)
+
+    monkeypatch.setattr(streams, "step_listeners", failing)
+
+    def run(folder, broken):
+        for number, rows in enumerate(given):
+            spark.createDataFrame(rows, kind).write.mode("append").parquet(f"{folder}/rows")
+            for attempt in range(2 if number == broken else 1):
+                fail[:] = [1] if number == broken and attempt == 0 else []
+                job = streams.start_learning_each(
+                    spark.readStream.schema(kind).parquet(f"{folder}/rows"), f"{folder}/models", f"{folder}/at", available_now=True)
+                if fail:
+                    with pytest.raises(StreamingQueryException):
+                        job.awaitTermination()
+                else:
+                    job.awaitTermination()
+        models = streams.read_models(spark, f"{folder}/models")
+        return {r.listener: r.weights for r in learner.current_models(models).collect()}, models.count()
+
+    broken, whole = run(str(tmp_path / "a"), 1), run(str(tmp_path / "b"), None)
+    assert broken[1] == whole[1] == 3 + 3 + 1 and set(broken[0]) == set(whole[0])
+    assert all(np.allclose(broken[0][k], whole[0][k], rtol=0, atol=1e-14) for k in whole[0])  # up to the order of additions
+    want = {}
+    for rows in given:
+        for who in {r[0] for r in rows}:
+            x, y = (np.array([r[i] for r in rows if r[0] == who]) for i in (2, 1))
+            w = want.get(who, np.zeros(3))
+            want[who] = w + learner.RATE * ((y - 1 / (1 + np.exp(-x @ w)))[:, None] * x).mean(axis=0)
+    assert set(broken[0]) == set(want) and all(np.allclose(broken[0][k], want[k]) for k in want)
+
+
 def test_songs_without_features_count(spark, rows):
     """They are events of a session and among the last songs, but say nothing of energy and genre."""
     frame = events(spark, ("l", 0, "play"), ("l", 1, "play"), ("l", 2, "skip"), ("l", 3, "skip"), ("l", 4, "skip"), ("m", 0, "play"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cadenza import schemas
 from cadenza.functions import scalars as S
-from cadenza.operators import catalog, indexing, picks, playlists, queues
+from cadenza.operators import catalog, graph, indexing, picks, playlists, queues
 from cadenza.operators.pieces import number_rows, running_total, span, with_halo
 from cadenza.sources import m3u, tables
 
@@ -95,6 +95,46 @@ def test_insert_ignore_is_the_sequential_insert(rows, tuples):
     assert tuples(found.select("id", "title", "file_path", "n")) == greedy(existing, incoming)
 
 
+@pytest.mark.parametrize("rounds, at_once", [(0, 1000), (1, 7), (2, 25)])
+def test_conflicts_are_settled_in_order(rows, tuples, rounds, at_once):
+    """However few rounds go before, and however small the slices of a conflict are."""
+    rng = random.Random(rounds)
+    incoming = [(f"i{rng.randrange(60)}", "t", f"/p{rng.randrange(60)}", i) for i in range(150)]
+    incoming += [(f"c{i // 2}", "t", f"/c{(i + 1) // 2}", 1000 + (i * 7919) % 60) for i in range(60)]
+    steps = []
+    found = catalog.insert_ignore(rows(SONG), rows(SONG, *incoming), "n", rounds, at_once, lambda *step: steps.append(step))
+    assert tuples(found) == greedy([], incoming)
+    assert [s for s, _ in steps].count("round") == rounds and steps[-1] == ("rest", 0)
+
+
+def test_a_long_chain_needs_few_rounds(spark, rows, tuples):
+    """Ten thousand rows of which each blocks the next: taken one by one they would need 5,000 rounds."""
+    n, steps = 10_000, []
+    chain = spark.range(n).select(
+        F.concat(F.lit("id"), F.floor(F.col("id") / 2).cast("string")).alias("id"), F.lit("t").alias("title"),
+        F.concat(F.lit("/p"), F.floor((F.col("id") + 1) / 2).cast("string")).alias("file_path"), F.col("id").cast("int").alias("n"))
+    found = catalog.insert_ignore(rows(SONG), chain, "n", report=lambda *step: steps.append(step))
+    assert [r.n for r in found.orderBy("n").collect()] == list(range(0, n, 2))
+    assert len(steps) < 30, steps
+
+
+def test_components_of_random_links(rows):
+    rng = random.Random(8)
+    links = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(1000 + i, 1001 + i) for i in range(100)] + [(5, 5)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    found = dict(map(tuple, graph.connected(rows("a long, b long", *links)).collect()))
+    assert found == {x: root(x) for a, b in links if a != b for x in (a, b)}
+
+
 def test_feature_upsert_keeps_the_first_time(rows, tuples):
     stored = rows("song_id string, tempo double, energy double, extracted_at timestamp", ("a", 1.0, 1.0, datetime(2023, 1, 1)))
     saved = rows("song_id string, tempo double, v int", ("a", 2.0, 1), ("a", 3.0, 2), ("b", 4.0, 1))
