@@ -30,9 +30,9 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from cadenza.llm.common import content
 
 #: Bytes that a Python worker keeps of words and their ids. Words of more than ``LONGEST`` characters are never kept.
-REMEMBERED, LONGEST = 48 << 20, 48
+REMEMBERED, LONGEST = 32 << 20, 48
 #: Bytes of text, and ids, that are worked on at once.
-AT_ONCE = 12 << 20
+AT_ONCE = 6 << 20
 
 
 def byte_letters() -> list[str]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from cadenza.session import shared_folder
 
@@ -49,3 +49,20 @@ def free_name(df: DataFrame, wish: str) -> str:
     while wish.lower() in taken:
         wish += "_"
     return wish
+
+
+def numbered(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written once, with ``row``: 0, 1, 2, ... without gaps in the order of its partitions.
+
+    The numbers are the same in every later read. Rows are counted inside their partition; only one
+    total per partition is ordered.
+    """
+    placed = stored(df.withColumn("_at", F.monotonically_increasing_id()), purpose)
+    part = F.shiftright("_at", 33)
+    totals = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    return (
+        placed.withColumn("_part", part).join(starts, "_part")
+        .withColumn("row", F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_at", "_start")
+    )

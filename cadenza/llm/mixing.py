@@ -7,69 +7,66 @@ source documents follow each other in hash order, pass after pass, and the words
 middle decide whether the pass still takes it. The cumulative demand of the source, inverted, gives
 the moment at which a copy is due, and copies are range-sorted by it.
 
+Sources, their sizes and targets are tables, so there may be any number of them; targets are found in
+rounds, each one aggregate over the sources that are not full yet.
+
 Null and empty texts, and texts of white space, have size 0 and are taken 0 times. A null source is a source
-of its own and comes last. Repeated rows are separate documents; an empty table gives no rows. Sources
-without a schedule are not mixed. ``plan`` reads key, text and source only, so other names cannot clash.
+of its own and comes last. Repeated rows are separate documents; an empty table gives no rows. Documents
+that share a key are ordered by size. Sources without a schedule are not mixed: their
+target is 0. ``plan`` reads key, text and source only, so other names cannot clash.
 """
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
-import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cadenza.llm.common import content, lookup, stored
-from cadenza.operators.pieces import hash_span, running_total
+from cadenza.llm.common import content, numbered, stored
+from cadenza.operators.pieces import running_total
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Schedules are settings of a run; more sources than this are refused rather than gathered.
-MOST_SOURCES = 200_000
+SCHEDULE = "source string, times array<double>, weights array<double>"
 
 
-class Schedule(NamedTuple):
-    """Weights of one source at points of training time, 0 first and 1 last."""
+def turns(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), source: str = "source") -> DataFrame:
+    """``SCHEDULE`` of all sources of ``docs`` in code-point order, null last, weighing ``weights`` in turn.
 
-    source: str | None
-    times: tuple[float, ...]
-    weights: tuple[float, ...]
+    Each begins at one and a half times its weight and ends at half of it or the other way round,
+    so that the weight is the integral and the mix moves from some sources to others.
+    """
+    names = docs.select(F.col(source).alias("source")).distinct().orderBy(F.col("source").asc_nulls_last())
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("row") % len(weights) + 1).cast("int"))
+    high = F.when(F.col("row") % 2 == 0, 1.5).otherwise(0.5)
+    return numbered(names, "sources").select(
+        "source", F.array(F.lit(0.0), F.lit(1.0)).alias("times"), F.array(high * weight, (2 - high) * weight).alias("weights"))
 
-    def integral(self) -> float:
-        t, w = np.array(self.times), np.array(self.weights)
-        return float(((t[1:] - t[:-1]) * (w[1:] + w[:-1]) / 2).sum())
 
+def integral(times: Column, weights: Column) -> Column:
+    """Area below a schedule."""
+    steps = F.sequence(F.lit(1), F.size(times) - 1)
+    area = lambda i: (F.get(times, i) - F.get(times, i - 1)) * (F.get(weights, i) + F.get(weights, i - 1)) / 2
+    return F.when(F.size(times) > 1, F.aggregate(F.transform(steps, area), F.lit(0.0), lambda a, x: a + x)).otherwise(0.0)
 
-def turns(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), source: str = "source") -> list[Schedule]:
-    """Schedules for all sources of ``docs`` in code-point order, null last, weighing ``weights`` in turn.
 
-    Each begins at one and a half times its weight and ends at half of it or the other way round,
-    so that the weight is the integral and the mix moves from some sources to others.
+def targets(sources: DataFrame, total: float, repeats: float) -> DataFrame:
+    """``sources`` (with ``source_size`` and ``weight``; null: no schedule) with ``target``, the words each is to give.
+
+    Shares go by weight and stop at ``repeats`` times the source's own size. A round raises the level
+    (words per unit of weight) to what the sources that are not full yet must give; it ends when no
+    further one is full at the new level. Levels only rise, so a source once full stays so.
     """
-    names = [r[0] for r in docs.select(source).distinct().limit(MOST_SOURCES + 1).collect()]
-    if len(names) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    names.sort(key=lambda n: (n is None, (n or "").encode("utf-8", "surrogatepass")))
-    found = []
-    for i, name in enumerate(names):
-        weight, high = weights[i % len(weights)], 1.5 if i % 2 == 0 else 0.5
-        found.append(Schedule(name, (0.0, 1.0), (high * weight, (2 - high) * weight)))
-    return found
-
-
-def targets(sizes: dict, schedules: list[Schedule], total: float, repeats: float) -> dict:
-    """Words each source is to give: shares by weight, stopped at ``repeats`` times its own size."""
-    weight = {s.source: s.integral() for s in schedules}
-    wanted = total * sum(sizes.get(name, 0) for name in weight)
-    found, open_ = {}, dict(weight)
-    while open_:
-        left, over = wanted - sum(found.values()), sum(open_.values())
-        full = [n for n, w in open_.items() if w * (left / over if over else 0.0) >= repeats * sizes.get(n, 0)]
-        if not full:
-            return found | {n: w * (left / over if over else 0.0) for n, w in open_.items()}
-        for name in full:
-            found[name] = float(repeats * sizes.get(name, 0))
-            del open_[name]
-    return found
+    most = F.col("source_size") * repeats
+    mixed = sources.filter("weight > 0")
+    wanted = total * (mixed.agg(F.sum("source_size")).first()[0] or 0)
+    level, full = 0.0, -1
+    while True:
+        at = F.col("weight") * level >= most if full >= 0 else F.lit(False)
+        found = mixed.agg(
+            F.count_if(at), F.coalesce(F.sum(F.when(at, most)), F.lit(0.0)), F.sum(F.when(~at, F.col("weight")))).first()
+        if found[0] == full or not found[2]:
+            break
+        full, level = found[0], max(level, (wanted - found[1]) / found[2])
+    given = F.when(F.col("weight") > 0, F.least(F.col("weight") * level, most)).otherwise(0.0)
+    return sources.withColumn("target", given)
 
 
 def inverse_demand(schedule_times: Column, schedule_weights: Column, share: Column) -> Column:
@@ -98,30 +95,28 @@ def inverse_demand(schedule_times: Column, schedule_weights: Column, share: Colu
 
 
 def plan(
-    docs: DataFrame, schedules: list[Schedule], total: float = 1.5, repeats: int = 2,
+    docs: DataFrame, schedules: DataFrame, total: float = 1.5, repeats: int = 2,
     key: str = "doc_id", text: str = "text", source: str = "source",
 ) -> DataFrame:
     """One row a document: key, source, size, source_size, target, copies, taken, and the positions of its copies.
 
-    ``positions`` holds the training time of each copy, ascending.
+    ``schedules`` are rows of ``SCHEDULE``. ``positions`` holds the training time of each copy, ascending.
     """
-    spark = docs.sparkSession
     sized = stored(docs.select(
         F.col(key).alias("key"), F.col(source).alias("source"),
-        F.regexp_count(content(text), F.lit(WORD)).cast("long").alias("size"),
+        F.regexp_count(content(text), F.lit(WORD)).cast("long").alias("size"), F.monotonically_increasing_id().alias("at"),
     ), "sizes")
-    sizes = {r[0]: r[1] for r in sized.groupBy("source").agg(F.sum("size")).limit(MOST_SOURCES + 1).collect()}
-    wanted = targets(sizes, schedules, total, repeats)
-    settings = spark.createDataFrame(
-        [(s.source, int(sizes.get(s.source, 0)), float(wanted[s.source]), list(s.times), list(s.weights)) for s in schedules],
-        "of string, source_size long, target double, times array<double>, weights array<double>",
-    )
-    order = [F.md5(F.col("key").cast("string").cast("binary")), F.col("key")]
+    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    known = schedules.select(F.col("source").alias("of"), "times", "weights", integral(F.col("times"), F.col("weights")).alias("weight"))
+    sources = stored(sizes.join(known, F.col("source").eqNullSafe(F.col("of")), "left").drop("of"), "sources")
+    settings = stored(targets(sources, total, repeats).withColumnRenamed("source", "of"), "targets")
+    digest = F.md5(F.col("key").cast("string").cast("binary"))
+    same = F.struct(digest.alias("digest"), "key", "size")
+    # Rows that agree in all of that are alike, so any order among them gives the same rows; one key is cut too.
     upto = running_total(
-        sized.withColumn("source", F.coalesce("source", F.lit("\x00null"))), ["source"], order,
-        [hash_span(F.col("key").cast("string").cast("binary"), 3)], F.col("size"), "upto",
-    ).withColumn("source", F.nullif("source", F.lit("\x00null")))
-    joined = upto.join(lookup(settings), F.col("source").eqNullSafe(F.col("of")))
+        sized, ["source"], [same, F.col("at")],
+        [F.substring(digest, 1, 3), same, F.shiftright("at", 16)], F.col("size"), "upto")
+    joined = upto.join(settings, F.col("source").eqNullSafe(F.col("of")))
     # Pass k begins at k times the source's size; a copy is taken if its middle comes before the target.
     passes = F.sequence(F.lit(0), F.lit(repeats - 1))
     middle = lambda k: k * F.col("source_size") + F.col("upto") - F.col("size") / 2

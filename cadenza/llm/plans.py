@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cadenza.llm import bpe, iblt, mixing, periodic, pq, secrets, simhash, suffixes, token_counts, tool_calls, toxicity, whitening, wrappers
-from cadenza.llm.common import fresh_folder, table
+from cadenza.llm.common import fresh_folder, stored, table
 
 #: Documents with this score or more count as toxic.
 TOXIC_FROM = 0.7
@@ -88,9 +88,11 @@ def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op5_curriculum(spark: SparkSession, folder: str) -> DataFrame:
-    """All documents mixed to 150 % of their words, sources weighing 5, 2, 1 in turn."""
+    """All documents mixed to 150 % of their words, sources weighing 5, 2, 1 in turn, in the order they are first due."""
     docs = table(spark, folder, "documents").select("doc_id", "text", "source")
-    return mixing.plan(docs, mixing.turns(docs)).select("doc_id", "size", "source_size", "target", "taken")
+    planned = stored(mixing.plan(docs, mixing.turns(docs)).withColumn("first_position", F.get("positions", 0)), "planned")
+    return mixing.in_training_order(planned, "first_position").select(
+        "doc_id", "size", "source_size", "target", "taken", "positions")
 
 
 @query

@@ -317,8 +317,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
     return sample["_text"].tolist(), sample["_label"].to_numpy()
 
 
-def score(docs: DataFrame, network: Network, text: str = "text") -> DataFrame:
-    """``docs`` with ``score``, 0 to 1, of each whole text."""
+def score(docs: DataFrame, network: Network, text: str = "text", into: str = "score") -> DataFrame:
+    """``docs`` with ``score`` (or the column named by ``into``), 0 to 1, of each whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(network)
 
     @F.arrow_udf("double")
@@ -334,4 +334,4 @@ def score(docs: DataFrame, network: Network, text: str = "text") -> DataFrame:
             found.append(scores(shared.value, part))
             yield pa.array(np.concatenate(found), pa.float64())
 
-    return docs.withColumn("score", run(content(text)))
+    return docs.withColumn(into, run(content(text)))

@@ -21,9 +21,9 @@ from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import Matrices
 from pyspark.mllib.linalg.distributed import BlockMatrix, IndexedRowMatrix
 from pyspark.mllib.util import MLUtils
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from cadenza.llm.common import stored
+from cadenza.llm.common import numbered, stored
 
 #: Rows and columns of a block; row blocks that one task of the scatter product multiplies.
 BLOCK_ROWS, BLOCK_COLUMNS, BLOCKS_A_TASK = 1024, 1024, 16
@@ -47,22 +47,6 @@ def on_grid(vector: str, scale: int, offset: int) -> Column:
     return F.transform(vector, place)
 
 
-def numbered(df: DataFrame, purpose: str) -> DataFrame:
-    """``df`` written once, with ``row``: 0, 1, 2, ... without gaps, the same in every later read.
-
-    Rows are counted inside their partition; only one total per partition is ordered.
-    """
-    placed = stored(df.withColumn("_at", F.monotonically_increasing_id()), purpose)
-    part = F.shiftright("_at", 33)
-    totals = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    return (
-        placed.withColumn("_part", part).join(starts, "_part")
-        .withColumn("row", F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_at", "_start")
-    )
-
-
 def row_matrix(rows: DataFrame, row: Column, entries: Column, n: int, width: int) -> IndexedRowMatrix:
     vectors = rows.select(row.alias("row"), array_to_vector(entries).alias("entries"))
     return IndexedRowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "entries"), n, width)

@@ -203,11 +203,73 @@ def test_gradients_match_differences():
         assert abs((sums[0] - sums[1]) / 2e-4 - found[name][at]) < 1e-4
 
 
-def test_targets_stop_at_twice_the_size():
-    schedules = [mixing.Schedule(n, (0.0, 1.0), (w, w)) for n, w in (("a", 5.0), ("b", 2.0), ("c", 1.0))]
-    sizes = {"a": 10, "b": 100, "c": 100}
-    assert mixing.targets(sizes, schedules, 1.5, 2) == pytest.approx({"a": 20.0, "b": 295 * 2 / 3, "c": 295 / 3})
-    assert sum(mixing.targets({"a": 10, "b": 1, "c": 1}, schedules, 1.5, 2).values()) == pytest.approx(18.0)
+def plain_targets(sizes, weights, total=1.5, repeats=2):
+    """Targets found by closing one full source after the other."""
+    wanted, found, left = total * sum(sizes.values()), {}, dict(weights)
+    while left:
+        level = (wanted - sum(found.values())) / sum(left.values())
+        name = min(left, key=lambda n: repeats * sizes[n] / left[n])
+        if left[name] * level < repeats * sizes[name]:
+            return found | {n: w * level for n, w in left.items()}
+        found[name] = float(repeats * sizes[name])
+        del left[name]
+    return found
+
+
+@pytest.mark.parametrize("case", range(6))
+def test_targets_equal_brute_force(rows, case):
+    draw = random.Random(case)
+    sizes = {f"s{i}": draw.choice([0, 1, 10, 1000, draw.randint(0, 50_000)]) for i in range(draw.randint(1, 40))}
+    weights = {name: draw.choice([5.0, 2.0, 1.0, 0.01]) for name in sizes}
+    sources = rows("of string, source_size long, weight double", *[(n, sizes[n], weights[n]) for n in sizes])
+    found = {r["of"]: r["target"] for r in mixing.targets(sources, 1.5, 2).collect()}
+    assert found == pytest.approx(plain_targets(sizes, weights), abs=1e-6)
+
+
+def test_many_sources_are_all_mixed(spark):
+    n = 200_001
+    docs = spark.range(n).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("w "), F.repeat(F.lit("w "), (F.col("id") % 5).cast("int"))).alias("text"),
+        F.when(F.col("id") != 7, F.concat(F.lit("s"), F.col("id").cast("string"))).alias("source"))
+    planned = mixing.plan(docs, mixing.turns(docs))
+    words = sum(1 + i % 5 for i in range(n))
+    total, least, rows_ = planned.agg(F.sum("target"), F.min("source_size"), F.count("*")).first()
+    assert rows_ == n and least == 1 and total == pytest.approx(1.5 * words)
+
+
+def test_one_key_and_odd_sources(rows):
+    made = [(None, "w " * (i % 3 + 1), "\x00null" if i % 2 else None) for i in range(600)]
+    docs = rows("doc_id long, text string, source string, size string, at string, key int", *[(*m, "x", "y", 1) for m in made])
+    found, again = (sorted(map(str, mixing.plan(docs, mixing.turns(docs)).collect())) for _ in range(2))
+    assert found == again and len(found) == 600
+    by_source = {}
+    for r in mixing.plan(docs, mixing.turns(docs)).collect():
+        by_source.setdefault(r["source"], []).append(r)
+    sizes = {k: sum(r["size"] for r in v) for k, v in by_source.items()}
+    assert sizes == {None: 600, "\x00null": 600}
+    for k, v in by_source.items():
+        assert v[0]["source_size"] == sizes[k] and abs(sum(r["taken"] for r in v) - v[0]["target"]) <= 3
+
+
+def test_curriculum_query_is_in_training_order(spark):
+    folder = "/root/testdata/sf0.001"
+    out = plans.QUERIES["op5_curriculum"](spark, folder).collect()
+    first = [r.positions[0] if r.positions else -1.0 for r in out]
+    assert first == sorted(first) and max(first) > 0.9
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    sizes, weights = {}, {}
+    for r in docs.values():
+        sizes[r.source] = sizes.get(r.source, 0) + len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+    for i, name in enumerate(sorted(sizes, key=lambda n: (n is None, (n or "").encode()))):
+        weights[name] = (5.0, 2.0, 1.0)[i % 3]
+    want, taken = plain_targets(sizes, weights), dict.fromkeys(sizes, 0)
+    for r in out:
+        source = docs[r.doc_id].source
+        assert r.source_size == sizes[source] and r.target == pytest.approx(want[source])
+        assert r.taken == len(r.positions) * r["size"] <= 2 * r["size"]
+        taken[source] += r.taken
+    largest = max(r["size"] for r in out)
+    assert all(abs(taken[s] - want[s]) <= largest for s in sizes)
 
 
 def test_mix_comes_near_its_targets(spark, rows):
