@@ -12,7 +12,7 @@ from cadenza.operators import catalog, picks, playlists, queues
 from cadenza.plans.registry import query
 from cadenza.plans.standins import AS_OF, table, view
 from cadenza.sources.m3u import decode_text, parse_m3u
-from cadenza.session import shared_folder
+from cadenza.session import durable, shared_folder
 from cadenza.sources import tables
 from cadenza.sources.tables import features_from_text, features_to_text
 
@@ -267,6 +267,24 @@ def playlist_headers(spark, folder):
     return rows.select("id", "name", "type", F.unix_micros("created_at").alias("created_us"), "metadata")
 
 
+@query("""
+    with songs as (select id, title, cast(id as bigint) % 3 part from songs_in where file_path is not null)
+    select 'during' seen, id, title from songs
+    union all
+    select 'after', id, case when part = 1 then upper(title) else title end from songs where part <> 1 or cast(id as bigint) % 2 = 0""")
+def batches_committed(spark, folder):
+    """Songs in three batches, one of them written again, as a reader sees them before and after the pointer moves."""
+    path = f"{shared_folder(spark).rstrip('/')}/songs-{uuid.uuid4().hex}"
+    songs = catalog.insert_rows(catalog.drop_pathless(view(spark, folder, "songs_in")), NOW)
+    part, seen = F.col("id").cast("bigint") % 3, []
+    for number in range(3):
+        tables.append_songs(songs.filter(part == number), path, f"part {number}")
+    again = songs.filter((part == 1) & (F.col("id").cast("bigint") % 2 == 0)).withColumn("title", F.upper("title"))
+    tables.append_songs(again, path, "part 1", lambda: seen.append(durable(tables.read_songs(spark, path))))
+    rows = lambda df, when: df.select(F.lit(when).alias("seen"), "id", "title")
+    return rows(seen[0], "during").unionByName(rows(tables.read_songs(spark, path), "after"))
+
+
 @query("""
     select playlist_id, cast(l_partkey as string) song_id, cast(line_no as int) "position"
     from m3u_entries where playlist_id not like '%3'""")

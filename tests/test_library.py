@@ -218,6 +218,22 @@ def test_table_writers(spark, rows, tmp_path, tuples):
     assert tables.read_songs(spark, path).count() == 2
     assert [f.name for f in tables.read_songs(spark, path).schema] == schemas.SONGS.names
 
+    seen = []
+    other = song.withColumn("title", F.lit("new"))
+
+    def lost():
+        seen.append(sorted(r.title for r in tables.read_songs(spark, path).collect()))
+        raise OSError("lost")
+
+    with pytest.raises(OSError):  # written, but no pointer to it
+        tables.append_songs(other, path, "01", lost)
+    before = tables.read_songs(spark, path)
+    tables.append_songs(other, path, "01")
+    assert seen == [["t", "t"]] and sorted(r.title for r in before.collect()) == ["t", "t"]
+    assert sorted(r.title for r in tables.read_songs(spark, path).collect()) == ["new", "t"]
+    assert sorted(r.batch for r in tables.superseded(spark, path).collect()) == ["01", "first"]
+    assert tables.read_batches(spark, str(tmp_path / "none"), schemas.SONGS).isEmpty()
+
     picked = rows("listener string, rank int, song_id string, score double", ("l", 1, "s", 0.5))
     daily = str(tmp_path / "daily")
     for day in ("2024-01-01", "2024-01-02", "2024-01-02"):
