@@ -14,7 +14,7 @@ from cadenza.operators import indexing, learner
 from cadenza.plans.registry import query
 from cadenza.plans.audio import NOW
 from cadenza.plans.standins import VIEWS, table, view
-from cadenza.session import shared_folder
+from cadenza.session import durable, shared_folder
 from cadenza.streaming import behavior as streams
 from cadenza.streaming.indexing import REQUESTS, JobStore, start_indexing
 
@@ -73,6 +73,33 @@ def stream_mood_shifts(spark, folder):
     return rows.select("listener", "id", F.unix_micros("ts").alias("us"))
 
 
+@query("""
+    with latest as (
+        select listener, target_energy from (
+            select t.listener, target_energy, row_number() over (partition by t.listener order by s.ts desc, s.id desc) back
+            from targets t join shifts s on s.id = t.shift_id
+            where s.ts <= date_trunc('millisecond', (select max(ts) from behavior)) - interval 10 minute) where back = 1),
+    queue as (select listener, song_id, round(preference, 6) score from listener_preference),
+    adjusted as (
+        select q.listener, q.song_id, q.score,
+               round(round(q.score * (1 - coalesce(abs(f.energy - t.target_energy), 0)), 12), 6) adjusted
+        from queue q left join features f on f.song_id = q.song_id left join latest t on t.listener = q.listener)
+    select listener, song_id, score, adjusted,
+           row_number() over (partition by listener order by adjusted desc, md5(song_id), song_id) - 1 as "position"
+    from adjusted""")
+def stream_reranked(spark, folder):
+    """Queues that the stream of events has rewritten at every shift, as they stand at its end."""
+    from cadenza.operators.behavior import preference
+
+    out, features = _folder(spark), view(spark, folder, "features")
+    queues = durable(preference(view(spark, folder, "labelled")).select("listener", "song_id", F.round("preference", 6).alias("score")))
+    events = _events(spark, folder).join(features.select("song_id", "energy"), "song_id", "left")
+    reactions = streams.mood_reactions(events, seconds=86400)
+    streams.start_reranking(reactions, queues, features, f"{out}/queues", f"{out}/checkpoint", available_now=True).awaitTermination()
+    found = streams.current_queues(queues, features, f"{out}/queues")
+    return found.select("listener", "song_id", "score", "adjusted", "position")
+
+
 @query("""
     with training as (
         select label, list_concat(cast(full_vector as double[]), [

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cadenza import schemas
-from cadenza.operators.behavior import SHIFT_SECONDS, SHIFT_SKIPS, from_logs
+from cadenza.operators.behavior import SHIFT_SECONDS, SHIFT_SKIPS, TARGET_SONGS, from_logs
 from cadenza.operators.learner import MODELS, RATE, step_listeners, update
+from cadenza.operators.pieces import lookup
+from cadenza.operators.ranking import rerank_for_mood
 
 SYNC_INTERVAL = "30 seconds"  # fixed value: how often clients send their events
 LATENESS = "10 minutes"
@@ -65,46 +68,121 @@ def mood_shifts(
     State per listener: the events younger than the watermark, still to be put in
     order, and the times of the open run of skips. A shift uses up its run.
     """
+    return mood_reactions(events.withColumn("energy", F.lit(None).cast("double")), skips, seconds, 0, lateness).select("listener", "id", "ts")
+
+
+def mood_reactions(
+    events: DataFrame, skips: int = SHIFT_SKIPS, seconds: float = SHIFT_SECONDS, last: int = TARGET_SONGS, lateness: str = LATENESS
+) -> DataFrame:
+    """Mood shifts with what to do about them: ``listener, id, ts, target_energy, songs``.
+
+    ``events`` carry ``energy``, null for songs without features. The target is the mean energy of the
+    ``last`` songs that were not skipped before the shift, of which there are ``songs``; null if none of
+    them has features. Besides what ``mood_shifts`` keeps, the state holds the energies of these songs.
+    Whatever its size, a listener's part of a batch is handled as arrays.
+    """
     timed = (
         events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
-        .select("listener", "id", "ts", (F.col("event_type") == "skip").alias("is_skip"))
+        .select("listener", "id", "ts", (F.col("event_type") == "skip").alias("is_skip"), F.col("energy").cast("double").alias("energy"))
     )
-    reach = int(seconds * 1_000_000)
+    reach, kinds = int(seconds * 1_000_000), (np.int64, np.int64, np.bool_, np.float64, np.int64, np.float64)
 
     def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting, run = [], []
-        if state.exists:
-            waiting_times, waiting_ids, waiting_skips, run = (list(part) for part in state.get)
-            waiting = list(zip(waiting_times, waiting_ids, waiting_skips))
+        held = state.get if state.exists else [b""] * len(kinds)
+        *waiting, run, ring = (np.frombuffer(part, kind) for part, kind in zip(held, kinds))
+        parts = [waiting]
         for pdf in batches:
             micros = pdf.ts.astype("datetime64[us]").astype("int64")
-            waiting.extend(zip(micros.tolist(), pdf.id.tolist(), pdf.is_skip.tolist()))
-        mark = state.getCurrentWatermarkMs() * 1000
-        waiting.sort()
-        shifts = []
-        ready = sum(1 for time, _, _ in waiting if time <= mark)
-        for time, event, is_skip in waiting[:ready]:
-            run = (run + [time])[-skips:] if is_skip else []
-            if len(run) == skips and run[-1] - run[0] <= reach:
-                shifts.append((key[0], event, pd.Timestamp(time, unit="us")))
-                run = []
-        waiting = waiting[ready:]
-        if waiting:
-            state.setTimeoutTimestamp(max(waiting[0][0] // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        if waiting or run:
-            state.update(([w[0] for w in waiting], [w[1] for w in waiting], [w[2] for w in waiting], run))
+            parts.append([micros.to_numpy(), pdf.id.to_numpy(np.int64), pdf.is_skip.to_numpy(bool), pdf.energy.to_numpy(float)])
+        times, ids, skipped, energies = (np.concatenate(column) for column in zip(*parts))
+        order = np.lexsort((ids, times))
+        times, ids, skipped, energies = times[order], ids[order], skipped[order], energies[order]
+        ready = int(np.searchsorted(times, state.getCurrentWatermarkMs() * 1000, "right"))
+        found, run = run_ends(np.concatenate([run, times[:ready]]), np.concatenate([np.ones(len(run), bool), skipped[:ready]]), skips, reach, len(run))
+        heard = np.flatnonzero(~skipped[:ready])
+        known = np.concatenate([ring, energies[heard]])
+        ring = known[max(0, len(known) - last):]
+        rows = []
+        for at in found.tolist():  # one step for each shift
+            upto = len(known) - len(heard) + int(np.searchsorted(heard, at))
+            songs = known[max(0, upto - last):upto]
+            there = songs[~np.isnan(songs)]
+            rows.append((key[0], ids[at], pd.Timestamp(times[at], unit="us"), there.mean() if len(there) else None, len(songs)))
+        left = [column[ready:] for column in (times, ids, skipped, energies)]
+        if len(left[0]):
+            state.setTimeoutTimestamp(max(int(left[0][0]) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        if len(left[0]) or len(run) or len(ring):
+            state.update(tuple(np.ascontiguousarray(part, kind).tobytes() for part, kind in zip([*left, run, ring], kinds)))
         elif state.exists:
             state.remove()
-        if shifts:
-            yield pd.DataFrame(shifts, columns=["listener", "id", "ts"])
+        if rows:
+            yield pd.DataFrame(rows, columns=["listener", "id", "ts", "target_energy", "songs"])
 
     return timed.groupBy("listener").applyInPandasWithState(
-        follow, "listener string, id bigint, ts timestamp",
-        "times array<bigint>, ids array<bigint>, skips array<boolean>, run array<bigint>",
+        follow, "listener string, id bigint, ts timestamp, target_energy double, songs bigint",
+        "times binary, ids binary, skips binary, energies binary, run binary, ring binary",
         "append", GroupStateTimeout.EventTimeTimeout,
     )
 
 
+def run_ends(times: np.ndarray, skipped: np.ndarray, skips: int, reach: int, before: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Places at which ``skips`` skips in a row took at most ``reach``, each using up its skips, and the open run's times.
+
+    The first ``before`` events are those of a run that was open already; places are counted from behind them.
+    """
+    at = np.arange(len(times))
+    length = at - np.maximum.accumulate(np.where(skipped, -1, at)) if len(at) else at
+    length[:] = np.where(skipped, length, 0)
+    full = np.flatnonzero(length >= skips)
+    hits = full[times[full] - times[full - skips + 1] <= reach]
+    # Neighbouring hits are one stretch, in which every ``skips``-th counts; stretches follow each other.
+    cuts = np.flatnonzero(np.diff(hits) != 1) + 1
+    found, free = [np.empty(0, np.int64)], 0
+    for first, last in zip(hits[np.r_[0, cuts]].tolist() if len(hits) else [], hits[np.r_[cuts, len(hits)] - 1].tolist() if len(hits) else []):
+        taken = np.arange(max(first, free), last + 1, skips)
+        if len(taken):
+            found.append(taken)
+            free = int(taken[-1]) + skips
+    ends = np.concatenate(found)
+    open_ = min(int(length[-1]) if len(at) else 0, len(at) - 1 - int(ends[-1]) if len(ends) else len(at), skips - 1)
+    return ends - before, times[len(times) - open_:]
+
+
+def start_reranking(reactions: DataFrame, queues: DataFrame, energies: DataFrame, path: str, checkpoint: str, available_now: bool = False):
+    """Rewrite the queue of every listener whose mood shifts, once per micro-batch.
+
+    ``queues`` are ``listener, song_id, score``. A batch writes whole queues of the listeners it concerns,
+    by their last target, under its own number; run again, it replaces them.
+    """
+
+    def react(batch: DataFrame, batch_id: int) -> None:
+        targets = batch.groupBy("listener").agg(F.max_by("target_energy", F.struct("ts", "id")).alias("target_energy"))
+        mine = queues.join(lookup(targets.select("listener")), "listener", "left_semi")
+        rerank_for_mood(mine, targets, energies).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    trigger = {"availableNow": True} if available_now else {"processingTime": SYNC_INTERVAL}
+    return reactions.writeStream.foreachBatch(react).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def current_queues(queues: DataFrame, energies: DataFrame, path: str) -> DataFrame:
+    """Queues as they stand: by the last batch that rewrote them, else in their own order."""
+    nobody = queues.select("listener", F.lit(None).cast("double").alias("target_energy")).limit(0)
+    plain = rerank_for_mood(queues, nobody, energies)
+    try:
+        written = queues.sparkSession.read.schema(f"{_ddl(plain)}, batch bigint").parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return plain
+    last = written.groupBy("listener").agg(F.max("batch").alias("batch"))
+    newest = written.join(lookup(last), ["listener", "batch"], "left_semi").select(*plain.columns)
+    return plain.join(lookup(last), "listener", "left_anti").select(*plain.columns).unionByName(newest)
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
 def start_learning(rows: DataFrame, path: str, checkpoint: str, width: int, rate: float = RATE, available_now: bool = False):
     """Update the preference model once per micro-batch of training rows.
 

@@ -110,6 +110,63 @@ def test_models_of_listeners_survive_a_restart(spark, tmp_path, monkeypatch):
     assert set(broken[0]) == set(want) and all(np.allclose(broken[0][k], want[k]) for k in want)
 
 
+def sequential(times, skipped, skips, reach):
+    """The rule, event by event."""
+    run, found = [], []
+    for i, (t, s) in enumerate(zip(times, skipped)):
+        run = (run + [t])[-skips:] if s else []
+        if len(run) == skips and run[-1] - run[0] <= reach:
+            found.append(i)
+            run = []
+    return found, run
+
+
+@pytest.mark.parametrize("skips", [1, 2, 3, 5])
+def test_runs_of_a_batch_follow_on_from_the_state(skips):
+    rng = np.random.default_rng(skips)
+    for _ in range(300):
+        n = int(rng.integers(0, 60))
+        times, skipped = np.cumsum(rng.integers(0, 30, n)), rng.random(n) < rng.choice([0.3, 0.8, 1.0])
+        want, left = sequential(times.tolist(), skipped.tolist(), skips, 60)
+        cuts = sorted(rng.integers(0, n + 1, 3).tolist())
+        found, run = [], np.empty(0, np.int64)
+        for a, b in zip([0, *cuts], [*cuts, n]):  # as the batches of a stream bring them
+            ends, run = streams.run_ends(
+                np.concatenate([run, times[a:b]]), np.concatenate([np.ones(len(run), bool), skipped[a:b]]), skips, 60, len(run))
+            found += (ends + a).tolist()
+        assert found == want and run.tolist() == left[-(skips - 1):] if skips > 1 else found == want
+
+
+def test_stream_with_a_hundred_thousand_waiting_events(spark, rows, tmp_path):
+    """One listener's events all wait for the watermark, then give their shifts and targets; two batches, out of order."""
+    n = 100_000
+    rng = np.random.default_rng(1)
+    kinds = np.where(rng.random(n) < 0.7, "skip", "play")
+    seconds = np.cumsum(rng.integers(1, 40, n))
+    energy = np.where(rng.random(n) < 0.9, rng.random(n).round(6), np.nan)
+    want, _ = sequential(seconds.tolist(), (kinds == "skip").tolist(), 3, 60)
+    import pandas as pd
+
+    table = pd.DataFrame({"listener": "l", "id": np.arange(n), "event_type": kinds, "ts": pd.to_datetime(seconds, unit="s"), "energy": energy})
+    end = pd.DataFrame({"listener": "end", "id": [n], "event_type": ["play"], "ts": pd.to_datetime([int(seconds[-1]) + 10_000_000], unit="s"), "energy": [0.0]})
+    kind = "listener string, id long, event_type string, ts timestamp, energy double"
+    order = rng.permutation(n)
+    for part in (table.iloc[order[: n // 2]], table.iloc[order[n // 2:]], end):
+        given = spark.createDataFrame(part, kind).withColumn("energy", F.nanvl("energy", F.lit(None).cast("double")))
+        given.write.mode("append").parquet(str(tmp_path / "events"))
+        stream = spark.readStream.schema(kind).parquet(str(tmp_path / "events"))
+        # Late by more than all of them span: the first two batches only wait.
+        found = streams.mood_reactions(stream, lateness="60 days")
+        streams.start_append(found, str(tmp_path / "out"), str(tmp_path / "at"), available_now=True).awaitTermination()
+    out = sorted(spark.read.schema(found.schema).parquet(str(tmp_path / "out")).collect(), key=lambda r: r.id)
+    assert [r.id for r in out] == want
+    heard = [i for i in range(n) if kinds[i] == "play"]
+    for r in out[:: len(out) // 50]:
+        songs = [i for i in heard if i < r.id][-10:]
+        there = [energy[i] for i in songs if not np.isnan(energy[i])]
+        assert r.songs == len(songs) and (r.target_energy == pytest.approx(np.mean(there)) if there else r.target_energy is None)
+
+
 def test_songs_without_features_count(spark, rows):
     """They are events of a session and among the last songs, but say nothing of energy and genre."""
     frame = events(spark, ("l", 0, "play"), ("l", 1, "play"), ("l", 2, "skip"), ("l", 3, "skip"), ("l", 4, "skip"), ("m", 0, "play"))
