@@ -5,13 +5,16 @@ gram of ``GRAM`` bytes within those bytes is its anchor, so equal strings have e
 and a bucket (all suffixes of one anchor gram) is the only place where a suffix can find its like. Anchors
 that occur once end there. Occurrences whose whole context is equal repeat in full and are settled by
 digests; only different contexts of one anchor bring their bytes to a task, which sorts a bounded chunk of
-buckets. There, suffixes are ordered by bucket and short prefix, and long ties by ranks that were computed
-beforehand for the positions of a difference cover, so that ranks are kept for a fraction of the positions.
-Buckets with too many different contexts for a task are resolved by a distributed count instead.
+buckets: the suffixes of each bucket in the order of their bytes. For that, the positions of a difference
+cover are ranked first, by doubling the length they are ranked by until it is ``LENGTH``; ranks are kept for
+them alone. Suffixes are then sorted by their first ``COVER`` bytes. Two that agree there have a distance
+below ``COVER`` at which both meet the cover, and the ranks there decide. Strings repeat if neighbours in that
+order agree in ``LENGTH`` bytes, which is read from the bytes. Buckets of more than ``MOST_CONTEXTS`` different
+contexts, too many for a task, are resolved by a distributed count of 64-bit hashes instead.
 
 Null and empty texts have no bytes; texts shorter than ``LENGTH`` have no string of that length and stay
 whole. Rows with equal texts repeat each other. An empty table gives no rows. Only key and text are read.
-Equality of strings is that of 64-bit hashes within a bucket of equal 64-bit anchors.
+Anchors, contexts and the counted buckets are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -28,11 +31,11 @@ from cadenza.llm.common import content, lookup, stored
 
 LENGTH, GRAM = 400, 160
 #: Bytes of a text that are scanned at once, and bytes of contexts that a task sorts at once.
-SEGMENT, CHUNK = 1 << 20, 2 << 20
+SEGMENT, CHUNK = 1 << 20, 1 << 20
 #: Different contexts of one anchor that a task may hold.
 MOST_CONTEXTS = 4096
-#: Modulus of the difference cover.
-COVER = 32
+#: Modulus of the difference cover, 8 to 16: it has four residues.
+COVER = 13
 BASE = 0x9E3779B97F4A7C15
 ANCHORS = "d binary, k bigint, c bigint, at int, lo int, hi int"
 
@@ -120,25 +123,84 @@ def scan(texts: DataFrame) -> DataFrame:
     return long.mapInArrow(run, ANCHORS)
 
 
-def suffix_keys(buffer: bytes, k: np.ndarray, off: np.ndarray, length: np.ndarray):
-    """For contexts one after another: context and place (from the anchor) of each suffix, and its sort key.
+def words_of(buffer: bytes) -> np.ndarray:
+    """The eight bytes at each position as one number, so that numbers are ordered as the bytes are; zeros follow the end."""
+    n = len(buffer)
+    data = np.zeros(n + LENGTH + 2 * COVER + 8, np.uint8)
+    data[:n] = np.frombuffer(buffer, np.uint8)
+    words = np.zeros(len(data) - 8, np.uint64)
+    for i in range(8):
+        words = (words << np.uint64(8)) | data[i:i + len(words)]
+    return words
 
-    Suffixes of a bucket are compared on the bytes up to the next cover position, then by the rank of that
-    position among all of the chunk, then on the few bytes that the rank leaves out.
+
+def _dense(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Ranks of pairs of numbers; equal pairs share one."""
+    order = np.lexsort((second, first))
+    new = (np.diff(first[order]) != 0) | (np.diff(second[order]) != 0)
+    ranks = np.empty(len(order), np.int64)
+    ranks[order] = np.append(0, np.cumsum(new))
+    return ranks
+
+
+def cover_ranks(words: np.ndarray, cover: np.ndarray) -> np.ndarray:
+    """Rank of the first ``LENGTH`` bytes or more at each cover position, in the order of positions.
+
+    Positions a multiple of the modulus apart are both in the cover, so ranks by twice the length are
+    those of pairs of ranks, a fixed number of cover positions apart.
     """
-    begin = np.cumsum(length) - length
-    n = length - LENGTH + 1
+    sample = (np.arange(-(-(len(words) - COVER) // COVER))[:, None] * COVER + cover).ravel()
+    ranks, span = _dense(words[np.minimum(sample, len(words) - 1)], words[np.minimum(sample + COVER - 8, len(words) - 1)]), 1
+    while span * COVER < LENGTH:
+        step = span * len(cover)
+        later = np.append(ranks[step:] + 1, np.zeros(min(step, len(ranks)), np.int64))
+        ranks = _dense(ranks, later)
+        span *= 2
+    return ranks
+
+
+def suffix_order(words: np.ndarray, bucket: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes that start ``at``, by bucket and bytes, and which agree with the one before in ``LENGTH`` bytes."""
+    cover = difference_cover(COVER)
+    ranks, slot = cover_ranks(words, cover), np.full(COVER, -1)
+    slot[cover] = np.arange(len(cover))
+    rank_at = lambda p: ranks[p // COVER * len(cover) + slot[p % COVER]]
+    head, tail = words[at], words[at + COVER - 8]
+    order = np.lexsort((tail, head, bucket))
+    new = (np.diff(bucket[order]) != 0) | (np.diff(head[order]) != 0) | (np.diff(tail[order]) != 0)
+    tie = np.empty(len(at), np.int64)
+    tie[order] = np.append(0, np.cumsum(new)) if len(at) else []
+    shared = np.flatnonzero(np.bincount(tie, minlength=1)[tie] > 1) if len(at) else np.empty(0, np.int64)
+    # The place of a suffix among those it is tied with: how many of each residue come before it.
+    place, size = np.zeros(len(at), np.int64), len(ranks) + 2
+    classes = [shared[at[shared] % COVER == r] for r in range(COVER)]
+    meets = [[d for d in range(COVER) if slot[(r + d) % COVER] >= 0] for r in range(COVER)]
+    for r, others in enumerate(classes):
+        if not len(others):
+            continue
+        others = others[np.lexsort((rank_at(at[others] + meets[r][-1]), tie[others]))]
+        ties = tie[others]
+        for q, mine in enumerate(classes):
+            if len(mine):
+                ahead = min(d for d in meets[q] if d in meets[r])
+                keys = ties * size + rank_at(at[others] + ahead)
+                place[mine] += np.searchsorted(keys, tie[mine] * size + rank_at(at[mine] + ahead)) - np.searchsorted(ties, tie[mine])
+    order = np.lexsort((place, tie))
+    same = np.append(False, np.diff(tie[order]) == 0) if len(at) else np.empty(0, bool)
+    left, open_ = np.flatnonzero(same), np.ones(0, bool)
+    for i in [*range(0, LENGTH - 8, 8), LENGTH - 8]:
+        open_ = words[at[order[left]] + i] == words[at[order[left - 1]] + i]
+        same[left[~open_]] = False
+        left = left[open_]
+    return order, same
+
+
+def suffixes_of(k: np.ndarray, off: np.ndarray, length: np.ndarray):
+    """For contexts one after another: context, place (from the anchor) and position of each suffix."""
+    begin, n = np.cumsum(length) - length, length - LENGTH + 1
     owner = np.repeat(np.arange(len(length)), n)
     inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    place = inside - off[owner]
-    at, prefixes = begin[owner] + inside, Prefixes(np.frombuffer(buffer, np.uint8))
-    cover, deep = difference_cover(COVER), LENGTH - COVER + 1
-    ahead = np.array([min((c - r) % COVER for c in cover) for r in range(COVER)])[place % COVER]
-    sample, back = np.unique(at + ahead, return_inverse=True)
-    rank = np.unique(prefixes.hash(sample, deep), return_inverse=True)[1].astype(np.uint64)[back]
-    key = mix(prefixes.hash(at, ahead) + mix(rank))
-    key = mix(key ^ prefixes.hash(at + ahead + deep, COVER - 1 - ahead))
-    return owner, place, mix(key + mix(k.view(np.uint64)[owner] + place.astype(np.uint64)))
+    return owner, inside - off[owner], begin[owner] + inside
 
 
 def _runs(owner: np.ndarray, place: np.ndarray):
@@ -161,11 +223,11 @@ def sort_buckets(contexts: DataFrame) -> DataFrame:
     """Repeats among different contexts of one anchor: (k, c, off, bytes) to (k, c, first, last) from the anchor."""
 
     def resolve(rows: list[dict]) -> pa.RecordBatch:
-        owner, place, key = suffix_keys(*_arrays(rows))
-        order = np.argsort(key, kind="stable")
-        same = np.diff(key[order]) == 0
-        again = np.zeros(len(key), bool)
-        again[order[1:][same]] = again[order[:-1][same]] = True
+        buffer, k, off, length = _arrays(rows)
+        owner, place, at = suffixes_of(k, off, length)
+        order, same = suffix_order(words_of(buffer), k[owner], at)
+        again = np.zeros(len(at), bool)
+        again[order[same]] = again[order[np.append(same[1:], False)]] = True
         owner, first, last = _runs(owner[again], place[again])
         return pa.RecordBatch.from_arrays([
             pa.array([rows[o]["k"] for o in owner], pa.int64()), pa.array([rows[o]["c"] for o in owner], pa.int64()),
@@ -195,7 +257,7 @@ def count_suffixes(contexts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                _, place, key = suffix_keys(*_arrays([row]))
+                _, place, _ = suffixes_of(*_arrays([row])[1:])
                 yield pa.RecordBatch.from_arrays([
                     pa.array([row["k"]] * len(place), pa.int64()), pa.array([row["c"]] * len(place), pa.int64()),
                     pa.array(place.astype(np.int32)), pa.array(_plain_keys(row).view(np.int64))], ["k", "c", "place", "h"])
