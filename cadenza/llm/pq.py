@@ -5,13 +5,13 @@ residuals, a small codebook for each subspace. Every vector is put in the list o
 its residual codes and the exact length of what the codes leave out. A query probes each list whose border, the
 bisector between the list's centre and the query's nearest one, is no farther than ``DEVIATIONS`` standard
 deviations of the component that a step of the link distance has in a random direction. (Probing up to
-the whole distance would lose nothing, but in many dimensions that is most lists.) In a list,
+the whole distance, ``deviations=None``, loses nothing, but in many dimensions that is most lists.) In a list,
 distances come from one table per query and subspace; a candidate is kept if its table distance less what
 its codes leave out is within the link distance, so none is lost there; the cosine of those is then computed
 from the stored vectors in double precision.
 
-Null and zero vectors, those with null or non-finite components, and those of another width than most
-link with nothing and are classes of their own. Equal vectors are searched once and count each other.
+Null and zero vectors and those with null or non-finite components link with nothing and are classes of
+their own. Vectors of different widths never link; each width has an index of its own. Equal vectors are searched once and count each other.
 Repeated ids are separate rows; an empty table gives no rows. Only id and vector are read.
 """
 
@@ -75,12 +75,13 @@ class Index:
             left += ((rest[:, part] - book[codes[:, i]]) ** 2).sum(axis=1)
         return lists, codes, np.sqrt(left)
 
-    def probes(self, x: np.ndarray, lists: np.ndarray, reach: float) -> np.ndarray:
-        """For each vector, which lists are searched for others within ``reach`` of it."""
+    def probes(self, x: np.ndarray, lists: np.ndarray, reach: float, deviations: float | None) -> np.ndarray:
+        """For each vector, which lists are searched for others within ``reach`` of it; none is missing with no ``deviations``."""
         squares = (self.centres ** 2).sum(axis=1) - 2 * x @ self.centres.T
         own = squares[np.arange(len(x)), lists]
         bisector = (squares - own[:, None]) / (2 * self.gaps[lists])
-        return (bisector <= min(1.0, DEVIATIONS / self.width ** 0.5) * reach + SLACK) | (np.arange(len(self.centres)) == lists[:, None])
+        share = 1.0 if deviations is None else min(1.0, deviations / self.width ** 0.5)
+        return (bisector <= share * reach + SLACK) | (np.arange(len(self.centres)) == lists[:, None])
 
     def distances(self, queries: np.ndarray, centre: int, codes: np.ndarray) -> np.ndarray:
         """Asymmetric distances of each query to each coded vector of one list, from tables."""
@@ -125,19 +126,34 @@ def _vectors(rows: DataFrame, key: str, vector: str, kind: str) -> DataFrame:
     return usable_rows.withColumn("raw", packed("vector")).drop("vector")
 
 
-def link(rows: DataFrame, cosine: float = 0.95, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(key, n_links, component_id, kept) of every row: links are pairs with at least this cosine."""
-    spark = rows.sparkSession
+def link(
+    rows: DataFrame, cosine: float = 0.95, key: str = "vec_id", vector: str = "embedding", deviations: float | None = DEVIATIONS
+) -> DataFrame:
+    """(key, n_links, component_id, kept) of every row: links are pairs with at least this cosine.
+
+    ``deviations`` is the breadth of the probes; with None no list that could hold a link is left out.
+    """
     kind = "<f4" if rows.schema[vector].dataType.elementType.typeName() == "float" else "<f8"
     every = stored(_vectors(rows, key, vector, kind), "vectors")
-    classes = every.filter("raw is not null").groupBy("raw").agg(F.min("key").alias("first"), F.count("*").alias("copies"))
-    widest = classes.groupBy(F.octet_length("raw").alias("bytes")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "bytes").first()
-    if widest is None:
-        return every.select(F.col("key").alias(key), F.lit(0).cast("long").alias("n_links"),
-                            F.col("key").alias("component_id"), F.lit(True).alias("kept"))
     classes = stored(
-        classes.filter(F.octet_length("raw") == widest["bytes"]).withColumn("node", F.xxhash64("raw")), "classes"
-    )
+        every.filter("raw is not null").groupBy("raw").agg(F.min("key").alias("first"), F.count("*").alias("copies"))
+        .withColumn("node", F.xxhash64("raw")), "classes")
+    widths = [r[0] for r in classes.select(F.octet_length("raw")).distinct().collect()]
+    result = None
+    for width in sorted(widths):
+        found = _linked(classes.filter(F.octet_length("raw") == width), kind, cosine, deviations)
+        result = found if result is None else result.unionByName(found)
+    if result is None:
+        result = classes.select("raw", F.col("first").alias("head"), F.lit(0).cast("long").alias("linked"))
+    return every.join(result, "raw", "left").select(
+        F.col("key").alias(key), F.coalesce("linked", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("head", "key").alias("component_id"),
+    ).withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
+
+
+def _linked(classes: DataFrame, kind: str, cosine: float, deviations: float | None) -> DataFrame:
+    """(raw, head, linked) of the different vectors of one width: least key of their component, number of links."""
+    spark = classes.sparkSession
     drawn = classes.orderBy(F.xxhash64(F.col("node")), "node").limit(SAMPLE).select("raw").toPandas()["raw"]
     index = spark.sparkContext.broadcast(Index(_unit(drawn, kind)))
     reach = float(np.sqrt(2 - 2 * cosine))
@@ -147,7 +163,7 @@ def link(rows: DataFrame, cosine: float = 0.95, key: str = "vec_id", vector: str
         for pdf in batches:
             x = _unit(pdf["raw"], kind).astype(np.float32)
             lists, codes, left = model.code(x)
-            probed = model.probes(x, lists, reach)
+            probed = model.probes(x, lists, reach, deviations)
             yield pdf.assign(list=lists, codes=[c.tobytes() for c in codes], left=left.astype(np.float64),
                              probes=[np.nonzero(p)[0].astype(np.int32) for p in probed])
 
@@ -198,9 +214,5 @@ def link(rows: DataFrame, cosine: float = 0.95, key: str = "vec_id", vector: str
     placed = coded_rows.select("node", "raw", "first", "copies").join(lookup(places), "node", "left").join(counts, "node", "left")
     placed = placed.withColumn("component", F.coalesce("component", "node"))
     heads = placed.groupBy("component").agg(F.min("first").alias("head"))
-    result = stored(placed.join(lookup(heads), "component").select(
+    return stored(placed.join(lookup(heads), "component").select(
         "raw", "head", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("linked")), "placed")
-    return every.join(result, "raw", "left").select(
-        F.col("key").alias(key), F.coalesce("linked", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("head", "key").alias("component_id"),
-    ).withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))

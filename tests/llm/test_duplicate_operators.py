@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 
 from cadenza.llm import iblt, pq, simhash, suffixes, tool_calls
@@ -106,6 +107,29 @@ def test_embeddings_equal_brute_force(spark, monkeypatch):
     assert pq.link(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_links_of_wide_vectors_and_of_every_width(spark):
+    """Width 64: pairs near the limit on either side; the exact search finds all, the usual one at least 0.95 of them."""
+    draw = np.random.default_rng(6)
+    heads = draw.standard_normal((120, 64))
+    near = heads[draw.integers(0, 120, 1800)]
+    spread = draw.uniform(0.05, 0.45, (1800, 1))
+    vectors = near + spread * draw.standard_normal((1800, 64))
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    close = unit @ unit.T >= 0.95
+    np.fill_diagonal(close, False)
+    others = [[1.0, 2.0, 3.0], [1.0, 2.0, 3.0], [2.0, 4.0, 6.1], [-1.0, 0.0, 0.0], [5.0], [7.0], [-7.0]]
+    table = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(2000 + i, v) for i, v in enumerate(others)]
+    df = spark.createDataFrame(table, "vec_id long, embedding array<double>")
+    found = {r.vec_id: r for r in pq.link(df, deviations=None).collect()}
+    assert [found[i].n_links for i in range(1800)] == close.sum(axis=1).tolist()
+    roots = reach(1800, [(i, j) for i, j in zip(*np.nonzero(close)) if j < i])
+    assert [found[i].component_id for i in range(1800)] == [roots[i] for i in range(1800)]
+    assert [(found[2000 + i].n_links, found[2000 + i].component_id) for i in range(7)] == [
+        (2, 2000), (2, 2000), (2, 2000), (0, 2003), (1, 2004), (1, 2004), (0, 2006)]
+    usual = pq.link(df).filter("vec_id < 1800").agg({"n_links": "sum"}).first()[0]
+    assert 0.95 * close.sum() <= usual <= close.sum() and close.sum() > 5000
+
+
 def plain_repeats(values):
     data = [(v or "").encode() for v in values]
     seen = Counter(b[i:i + 400] for b in data for i in range(len(b) - 399))
@@ -131,8 +155,73 @@ def test_repeats_equal_brute_force_on_both_paths(rows, monkeypatch):
     assert suffixes.remove_repeats(docs_of(rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("length, letters", [(20, 1), (20, 2), (33, 2), (400, 1), (400, 3)])
+def test_buckets_are_in_the_order_of_their_bytes(monkeypatch, length, letters):
+    """The order is that of Python's sorted(), and neighbours are alike where their bytes are."""
+    monkeypatch.setattr(suffixes, "LENGTH", length)
+    draw = random.Random(length + letters)
+    for case in range(12):
+        block = bytes(draw.randrange(letters) for _ in range(draw.randrange(1, 2 * length)))
+        parts = [(block * 3)[draw.randrange(9):][:length + draw.randrange(300)] + bytes(draw.randrange(letters) for _ in range(length)) for _ in range(draw.randrange(1, 7))]
+        size = np.array([len(x) for x in parts])
+        bucket = np.array([draw.randrange(2) for _ in parts])
+        owner, _, at = suffixes.suffixes_of(bucket * 0, size * 0, size)
+        buffer = b"".join(parts)
+        order, same = suffixes.suffix_order(suffixes.words_of(buffer), bucket[owner], at)
+        heads = [(bucket[owner[i]], buffer[at[i]:at[i] + length]) for i in order]
+        assert sorted(order.tolist()) == list(range(len(at))) and heads == sorted(heads)
+        assert same.tolist() == [i > 0 and heads[i] == heads[i - 1] for i in range(len(heads))]
+
+
+def test_cover_ranks_follow_the_bytes(monkeypatch):
+    monkeypatch.setattr(suffixes, "LENGTH", 50)
+    draw = random.Random(3)
+    buffer = bytes(draw.randrange(2) for _ in range(60)) * 4 + b"\x00" * 150 + bytes(draw.randrange(3) for _ in range(200))
+    words, cover = suffixes.words_of(buffer), suffixes.difference_cover(suffixes.COVER)
+    ranks = suffixes.cover_ranks(words, cover)
+    places = [i * suffixes.COVER + c for i in range(len(buffer) // suffixes.COVER) for c in cover if i * suffixes.COVER + c < len(buffer)]
+    padded = buffer + b"\x00" * 200
+    heads = [padded[p:p + 52] for p in places]  # four times the modulus: the first length of 50 or more
+    found = ranks[:len(places)]
+    assert [heads[i] for i in np.lexsort((found,))] == sorted(heads)
+    assert len(set(found.tolist())) == len(set(heads))
+
+
+def test_query_equals_brute_force_on_the_whole_table(spark):
+    from cadenza.llm.plans import QUERIES
+
+    docs = sorted(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect())
+    out = sorted(QUERIES["op3_suffix_dedup"](spark, "/root/testdata/sf0.01").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())
+    assert [tuple(r[1:]) for r in out] == plain_repeats([d.text for d in docs])
+
+
+def test_passages_of_400_bytes_and_more_are_caught_at_their_borders(spark):
+    """Passages of over 50 words in documents of their own: those below 400 bytes stay, all others go, and nothing else."""
+    draw = random.Random(12)
+    word = lambda: "".join(draw.choice("abcdefghijklmnop") for _ in range(draw.randrange(3, 11)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    values, want = [], []
+    for case in range(60):
+        n = draw.choice([51, 55, 60, 80, 200, 1500])
+        passage = prose(n)
+        if case % 3 == 0:
+            passage = (passage + prose(100))[:399 + case % 2]
+        for _ in range(draw.choice([2, 2, 3, 9])):
+            before, after = prose(draw.randrange(0, 90)) + f" <{len(values)}", f"{len(values)}> " + prose(draw.randrange(0, 90))
+            values.append(before + passage + after)
+            want.append(passage if len(passage) >= 400 else "")
+        values.append(prose(draw.randrange(0, 300)))
+        want.append("")
+    docs = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "doc_id long, text string")
+    out = sorted(suffixes.remove_repeats(docs).collect())
+    assert [tuple(r[1:]) for r in out] == plain_repeats(values)
+    # The numbers beside a passage can share a digit at either end.
+    assert all(len(w) <= r["n_removed"] <= len(w) + 6 if w else r["n_removed"] == 0 for r, w in zip(out, want))
+
+
 def test_cover_has_every_difference():
-    for v in (7, 32, 64):
+    assert len(suffixes.difference_cover(suffixes.COVER)) == 4
+    for v in (7, 13, 32, 64):
         cover = suffixes.difference_cover(v)
         assert {(a - b) % v for a in cover for b in cover} == set(range(v)) and len(cover) < v
 
@@ -194,7 +283,7 @@ def test_queries_and_pipeline(spark):
     import corpus_pipeline
     from cadenza.llm.plans import QUERIES
 
-    assert sorted(int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES) == list(range(1, 14))
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
