@@ -129,6 +129,6 @@ def plan(
     )
 
 
-def in_training_order(copies: DataFrame, position: str = "position") -> DataFrame:
-    """Rows range-sorted by training time: each output partition is one stretch of training."""
-    return copies.repartitionByRange(F.col(position)).sortWithinPartitions(position)
+def in_training_order(copies: DataFrame, position: str = "position", *ties: str) -> DataFrame:
+    """Rows range-sorted by training time, then ``ties``: each output partition is one stretch of training."""
+    return copies.repartitionByRange(position, *ties).sortWithinPartitions(position, *ties)

@@ -91,7 +91,7 @@ def op5_curriculum(spark: SparkSession, folder: str) -> DataFrame:
     """All documents mixed to 150 % of their words, sources weighing 5, 2, 1 in turn, in the order they are first due."""
     docs = table(spark, folder, "documents").select("doc_id", "text", "source")
     planned = stored(mixing.plan(docs, mixing.turns(docs)).withColumn("first_position", F.get("positions", 0)), "planned")
-    return mixing.in_training_order(planned, "first_position").select(
+    return mixing.in_training_order(planned, "first_position", "doc_id").select(
         "doc_id", "size", "source_size", "target", "taken", "positions")
 
 
