@@ -7,10 +7,15 @@ whatever the size; ``bits`` is a setting of the index that should grow with the
 
 Equal vectors are indexed once, so a bucket never holds copies. The planes follow from a rule, so an index
 can be extended by rows that are hashed later and elsewhere.
+
+A search deals queries into chunks and songs into walks. A task takes a block of a walk at a time, sorts it
+into the buckets of each table, lets every bucket meet the queries of its chunk that probe it, and carries
+the best n of each query along. So neither the probes of a query nor the songs it finds become rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 from typing import NamedTuple
 
@@ -18,11 +23,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cadenza.functions.vectors import dot, unit, vector_key
-from cadenza.operators.pieces import lookup, top_rows
-from cadenza.operators.similarity import SIMILAR
+from cadenza.functions.vectors import unit, vector_key
+from cadenza.operators import similarity
+from cadenza.operators.similarity import SIMILAR, _HITS, _best, _Best, deal, expand, floats, parts
 from cadenza.session import durable
 
+BLOCK_ROWS = 1 << 16  # songs that a task sorts into buckets at once
+
 
 class Planes(NamedTuple):
     tables: int = 14
@@ -86,34 +93,86 @@ def build_index(songs: DataFrame, planes: Planes = Planes()) -> Index:
     return Index(planes, entries.select("tab", "bucket", "base_key"), vectors, keyed.select("base_key", "song_id"))
 
 
-def similar_approximate(queries: DataFrame, index: Index, n: int = SIMILAR, radius: int = 2, digits: int = 6) -> DataFrame:
+def similar_approximate(
+    queries: DataFrame, index: Index, n: int = SIMILAR, radius: int = 2, digits: int = 6, *,
+    block_rows: int = BLOCK_ROWS, walk_rows: int = similarity.WALK_ROWS, chunk_rows: int = similarity.CHUNK_ROWS,
+) -> DataFrame:
     """For every query (``query_id, vector``) up to ``n`` of its nearest songs: ``query_id, song_id, similarity, rank``.
 
     The songs of all probed buckets are compared; a query itself is left out. Similarities are rounded
     before they are ranked, ties go to the smaller song id.
     """
-    planes = index.planes
-    asked = queries.select("query_id", unit(F.col("vector")).alias("vector"))
+    planes, scope = index.planes, F.lit("").alias("scope")
+    asked = queries.select("query_id", scope, unit(F.col("vector")).alias("vector"))
     asked = durable(asked.withColumn("query_key", vector_key(F.col("vector"))))
-    different = asked.groupBy("query_key").agg(F.first("vector").alias("asked"))
-    homes = different.withColumn("_buckets", planes.buckets(F.col("asked"))).select(
-        "query_key", F.posexplode("_buckets").alias("tab", "_home"))
-    probes = homes.select("query_key", "tab", F.explode(planes.probes(F.col("_home"), radius)).alias("bucket"))
-    pairs = probes.join(index.entries, ["tab", "bucket"]).select("query_key", "base_key").distinct()
-    scored = (
-        pairs.join(index.vectors, "base_key").join(lookup(different), "query_key")
-        .select("query_key", "base_key", F.round(dot(F.col("asked"), F.col("vector")), digits).alias("similarity"))
-    )
-    # Of the copies of a vector, and of the vectors, only the best n + 1 can be among a query's n.
-    copies = top_rows(index.copies, ["base_key"], ["song_id"], n + 1, "copy").drop("copy")
-    first = copies.groupBy("base_key").agg(F.min("song_id").alias("first_id"))
-    best = top_rows(scored.join(lookup(first), "base_key"), ["query_key"], [F.desc("similarity"), "first_id"], n + 1, "place")
-    songs = top_rows(
-        best.drop("place", "first_id").join(lookup(copies), "base_key"), ["query_key"], [F.desc("similarity"), "song_id"], n + 1)
-    lists = songs.groupBy("query_key").agg(F.array_sort(F.collect_list(F.struct("rank", "song_id", "similarity"))).alias("found"))
-    others = F.filter("found", lambda hit: hit.song_id != F.col("query_id"))
-    return (
-        asked.select("query_key", "query_id").join(lookup(lists), "query_key")
-        .select("query_id", F.posexplode(F.slice(others, 1, n)).alias("_place", "hit"))
-        .select("query_id", "hit.song_id", "hit.similarity", (F.col("_place") + 1).alias("rank"))
-    )
+    different = asked.groupBy("scope", "query_key").agg(F.first("vector").alias("vector"))
+    numbered = durable(different.withColumn("buckets", planes.buckets(F.col("vector"))).filter("buckets is not null")
+                       .withColumn("number", F.monotonically_increasing_id()))
+
+    buckets = index.entries.groupBy("base_key").agg(F.array_sort(F.collect_list(F.struct("tab", "bucket"))).alias("_entries"))
+    first = index.copies.groupBy("base_key").agg(F.min("song_id").alias("first_id"))
+    # Places follow the first ids, so that a task can break ties without comparing text.
+    placed = durable(
+        index.vectors.join(buckets, "base_key").join(first, "base_key").orderBy("first_id")
+        .select(scope, "base_key", "vector", F.col("_entries.bucket").alias("buckets"), F.monotonically_increasing_id().alias("place")))
+
+    hits = _best(_probed(numbered, placed, planes, n + 1, radius, digits, (block_rows, walk_rows, chunk_rows)), n + 1)
+    return expand(hits, index.copies.withColumn("scope", F.lit("")), asked, placed.select("scope", "base_key", "place"),
+                  numbered.select("scope", "query_key", "number"), n)
+
+
+def _probed(asked, base, planes, n, radius, digits, sizes):
+    """At most ``n`` hits per query and walk."""
+    block_rows, walk_rows, chunk_rows = sizes
+    dealt = [parts(df, ["scope"], name, rows, most).first() for df, name, rows, most in (
+        (asked, "chunks", chunk_rows, similarity.CHUNK_ROWS), (base, "walks", walk_rows, similarity.WALK_ROWS))]
+    if None in dealt:
+        return asked.sparkSession.createDataFrame([], _HITS)
+    chunks, walks = dealt[0].chunks, dealt[1].walks
+    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+    at = lambda number, count: F.pmod(F.xxhash64(number), F.lit(count).cast("long"))
+    group = ["chunk", "walk", "width"]  # vectors of different widths have no cosine
+    columns = ["chunk", "walk", F.size("vector").alias("width"), "side", "id", "vector", "buckets"]
+    left = asked.withColumns({"chunk": at("number", chunks), "walk": every(walks), "side": F.lit(0), "id": F.col("number")})
+    right = base.withColumns({"walk": at("place", walks), "chunk": every(chunks), "side": F.lit(1), "id": F.col("place")})
+
+    def meet(best: _Best, homes: np.ndarray, vectors: np.ndarray, places: np.ndarray, buckets: np.ndarray) -> None:
+        for tab in range(planes.tables):
+            order = np.argsort(buckets[:, tab], kind="stable")
+            edges = np.flatnonzero(np.diff(buckets[order, tab])) + 1
+            for songs in np.split(order, edges):
+                probing = np.flatnonzero(np.bitwise_count(homes[tab] ^ buckets[songs[0], tab]) <= radius)
+                if len(probing):
+                    best.take(vectors[songs], places[songs], None, probing)
+
+    def walk(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, songs, waiting, best, homes = [], [], 0, None, None
+        for batch in batches:
+            side, width = batch.column("side").to_numpy(), key[2].as_py()
+            if (np.diff(side) < 0).any() or best is not None and not side.all():
+                raise RuntimeError("songs came before the queries that look for them")
+            first = int(np.searchsorted(side, 1))
+            rows = [batch.column("id").to_numpy(), floats(batch.column("vector"), width), floats(batch.column("buckets"), planes.tables)]
+            if first:
+                queries.append([x[:first].copy() for x in rows])
+            if first == len(side) or not queries:
+                continue
+            if best is None:
+                numbers, vectors, homes = (np.concatenate(x) for x in zip(*queries))
+                queries, homes = [()], np.ascontiguousarray(homes.T)
+                best = _Best(vectors, np.zeros(len(vectors)), n, 10 ** digits)
+            songs.append([x[first:].copy() for x in rows])
+            waiting += len(side) - first
+            if waiting >= block_rows:
+                places, vectors, buckets = (np.concatenate(x) for x in zip(*songs))
+                meet(best, homes, vectors, places, buckets)
+                songs, waiting = [], 0
+        if songs:
+            places, vectors, buckets = (np.concatenate(x) for x in zip(*songs))
+            meet(best, homes, vectors, places, buckets)
+        if best is not None:
+            yield from best.hits(numbers)
+
+    rows = left.select(*columns).unionByName(right.select(*columns))
+    rows = deal(rows, chunks * walks, group).sortWithinPartitions(*group, "side")
+    return rows.groupBy(*group).applyInArrow(walk, _HITS)
