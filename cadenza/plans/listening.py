@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cadenza.operators import behavior, learner
 from cadenza.plans.registry import query
 from cadenza.plans.standins import view
+from cadenza.session import durable
 
 _GAP = 6 * 3600
 _DAY = 86400
@@ -102,11 +103,13 @@ _TRAINING = """
 
 def _training(spark, folder):
     features = view(spark, folder, "features")
-    events = behavior.sessionize(view(spark, folder, "behavior"), _GAP)
+    events = durable(behavior.sessionize(view(spark, folder, "behavior"), _GAP))
     energy = behavior.session_summary(events, features, ("listener", "session_no")).select(
         "listener", "session_no", F.col("avg_energy").alias("session_energy")
     )
-    labelled = behavior.label_events(events).join(energy, ["listener", "session_no"])
+    # A fit reads its rows more than once: sessions are worked out before, long vectors are not kept.
+    labelled = durable(behavior.label_events(events).join(energy, ["listener", "session_no"])
+                       .select("song_id", "label", "ts", "session_energy"))
     return learner.training_rows(labelled, features)
 
 

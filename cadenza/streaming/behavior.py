@@ -15,6 +15,7 @@ from cadenza.operators.behavior import SHIFT_SECONDS, SHIFT_SKIPS, TARGET_SONGS,
 from cadenza.operators.learner import MODELS, RATE, step_listeners, update
 from cadenza.operators.pieces import lookup
 from cadenza.operators.ranking import rerank_for_mood
+from cadenza.session import durable
 
 SYNC_INTERVAL = "30 seconds"  # fixed value: how often clients send their events
 LATENESS = "10 minutes"
@@ -156,7 +157,8 @@ def start_reranking(reactions: DataFrame, queues: DataFrame, energies: DataFrame
     """
 
     def react(batch: DataFrame, batch_id: int) -> None:
-        targets = batch.groupBy("listener").agg(F.max_by("target_energy", F.struct("ts", "id")).alias("target_energy"))
+        # Every use of a batch would follow all its events again; what is kept of it is a row per listener.
+        targets = durable(batch.groupBy("listener").agg(F.max_by("target_energy", F.struct("ts", "id")).alias("target_energy")))
         mine = queues.join(lookup(targets.select("listener")), "listener", "left_semi")
         rerank_for_mood(mine, targets, energies).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
@@ -176,7 +178,8 @@ def current_queues(queues: DataFrame, energies: DataFrame, path: str) -> DataFra
         return plain
     last = written.groupBy("listener").agg(F.max("batch").alias("batch"))
     newest = written.join(lookup(last), ["listener", "batch"], "left_semi").select(*plain.columns)
-    return plain.join(lookup(last), "listener", "left_anti").select(*plain.columns).unionByName(newest)
+    untouched = queues.join(lookup(last), "listener", "left_anti")
+    return rerank_for_mood(untouched, nobody, energies).select(*plain.columns).unionByName(newest)
 
 
 def _ddl(df: DataFrame) -> str:

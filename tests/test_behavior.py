@@ -355,3 +355,37 @@ def test_mel_triangles_cover_the_range():
 def test_cosine_basis_is_orthonormal():
     rows = dsp.cosine_basis(16, 16)
     assert np.allclose(rows @ rows.T, np.eye(16))
+
+
+def test_a_batch_of_reactions_is_followed_once(spark, rows, tmp_path):
+    """What a batch costs must not be paid for every use of its targets."""
+    seen = spark.sparkContext.accumulator(0)
+    schema = "listener string, id bigint, ts timestamp, target_energy double"
+    reactions = rows(schema, ("a", 1, START, 0.9), ("a", 2, START + timedelta(seconds=5), 0.1), ("b", 3, START, 0.5))
+    reactions.coalesce(1).write.parquet(str(tmp_path / "reactions"))
+
+    def follow(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "reactions")).mapInPandas(follow, schema)
+    queues = rows("listener string, song_id string, score double", ("a", "x", 0.5), ("a", "y", 0.45), ("c", "x", 0.1), ("c", "y", 0.2))
+    energies = rows("song_id string, energy double", ("x", 0.9), ("y", 0.1))
+    out = str(tmp_path / "queues")
+    streams.start_reranking(stream, queues, energies, out, str(tmp_path / "checkpoint"), available_now=True).awaitTermination()
+    assert seen.value == 3
+    found = {(r.listener, r.song_id): (r.adjusted, r.position) for r in streams.current_queues(queues, energies, out).collect()}
+    assert found == {("a", "y"): (0.45, 0), ("a", "x"): (0.1, 1), ("c", "y"): (0.2, 0), ("c", "x"): (0.1, 1)}
+
+
+def test_a_fit_does_not_work_out_its_sessions_again(spark, rows, tmp_path):
+    from cadenza.plans import listening
+
+    rows("event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string", *[
+        (i, START + timedelta(hours=i), 1, "view" if i % 2 else "click", 90.0 if i % 2 else 10.0, '{"k": %d}' % (i % 3)) for i in range(1, 9)
+    ]).write.parquet(str(tmp_path / "events.parquet"))
+    rows("vec_id bigint, embedding array<float>, label int", *[(i, [float(i), 1.0], 0) for i in range(3)]).write.parquet(str(tmp_path / "embeddings.parquet"))
+    training = listening._training(spark, str(tmp_path))
+    assert training.count() == 8 and training.filter("size(x) = 7").count() == 8
+    assert "Window" not in training._jdf.queryExecution().toString()
