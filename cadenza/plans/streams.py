@@ -127,7 +127,9 @@ def stream_learning(spark, folder):
 def _index_job(spark, folder, on_progress=lambda start, log: None):
     """A job of three batches of requests; the second fails when it is run first, and is started again."""
     out = _folder(spark)
-    store, requests = JobStore(spark, f"{out}/job"), view(spark, folder, "index_requests")
+    # Joined and grouped once; every batch of requests is a folder of them.
+    view(spark, folder, "index_requests").withColumn("part", F.col("seq") % 3).write.partitionBy("part").parquet(f"{out}/dealt")
+    store, requests = JobStore(spark, f"{out}/job"), spark.read.schema(f"{REQUESTS}, part bigint").parquet(f"{out}/dealt")
     listing, songs, features, analysed = (view(spark, folder, n) for n in ("listing", "songs_existing", "indexed", "analysed"))
     features = features.withColumns({c: F.col(c).cast("double") for c in ("tempo", "energy")})
     broken = [False]
@@ -140,7 +142,7 @@ def _index_job(spark, folder, on_progress=lambda start, log: None):
     for start, part in enumerate((0, 1, 1, 2)):
         broken[0] = start == 1
         if start != 2:  # the restart finds the batch that failed
-            requests.filter(F.col("seq") % 3 == part).write.mode("append").parquet(f"{out}/requests")
+            requests.filter(F.col("part") == part).drop("part").write.mode("append").parquet(f"{out}/requests")
         stream = spark.readStream.schema(REQUESTS).parquet(f"{out}/requests")
         job = start_indexing(stream, listing, songs, features, store, f"{out}/checkpoint", index, lambda: NOW, available_now=True)
         try:

@@ -67,16 +67,17 @@ def start_indexing(
         return stale.select(*given.columns).unionByName(last)
 
     def step(batch: DataFrame, number: int) -> None:
-        requested = durable(batch.select("seq", "file_path"))
         begun = F.lit(clock()).cast("timestamp")
-        store.write("started", number, requested.select(F.lit(number).cast("bigint").alias("batch"), "seq", "file_path", begun.alias("started_at")))
+        store.write("started", number, batch.select(F.lit(number).cast("bigint").alias("batch"), "seq", "file_path", begun.alias("started_at")))
+        requested = store.read("started", STARTED).filter(F.col("step") == number).select("seq", "file_path")
         run = index(
             requested, listing, newest("songs", songs, "id", number),
             newest("features", features, "song_id", number), clock(),
         )
-        touched = run.outcomes.filter(F.col("song_id").isNotNull()).select("song_id").distinct()
-        store.write("songs", number, run.songs.join(touched.withColumnRenamed("song_id", "id"), "id", "left_semi").select(*_as(songs)))
-        extracted = run.outcomes.filter("features_extracted").select("song_id").distinct()
+        # Outcomes are a row per request; what songs and features need of them is a row per song.
+        touched = durable(run.outcomes.filter(F.col("song_id").isNotNull()).groupBy("song_id").agg(F.max("features_extracted").alias("_extracted")))
+        store.write("songs", number, run.songs.join(touched.select(F.col("song_id").alias("id")), "id", "left_semi").select(*_as(songs)))
+        extracted = touched.filter("_extracted").select("song_id")
         store.write("features", number, run.features.join(extracted, "song_id", "left_semi").select(*_as(features)))
         store.write("finished", number, run.outcomes.select(
             F.lit(number).cast("bigint").alias("batch"), "seq", "status", "error", F.lit(clock()).cast("timestamp").alias("finished_at")))

@@ -165,3 +165,29 @@ def test_a_failed_step_is_run_again_and_replaces_its_log(spark, rows, tmp_path):
         4: (1, "error", "File not found"), 5: (2, "already indexed", None), 6: (2, "extracted", None)}
     assert calls == [(2, 0, 0), (3, 2, 2), (3, 2, 2), (2, 3, 3)]  # the restart sees what the failed step saw
     assert store.read("features", feats.schema).count() == 4 and store.read("songs", songs.schema).filter("genre_tag is null").count() == 0
+
+
+def test_a_step_works_out_its_outcomes_once_a_song_and_once_a_request(spark, rows, tmp_path):
+    """And reads its batch once: songs and features are cut to a row per song of the outcomes."""
+    read, made = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    requests, store = str(tmp_path / "requests"), JobStore(spark, str(tmp_path / "job"))
+    songs, feats = spark.createDataFrame([], schemas.SONGS), rows("song_id string, tempo double, extracted_at timestamp").limit(0)
+    found = "seq bigint, file_path string, song_id string, status string, features_extracted boolean, error string, message string"
+
+    def counted(total):
+        def count(batches):
+            for batch in batches:
+                total.add(len(batch))
+                yield batch
+        return count
+
+    def index(requested, listing, songs, features, as_of):
+        outcomes = requested.select("*", F.lit("id").alias("song_id"), F.lit("extracted").alias("status"), F.lit(True).alias("features_extracted"),
+                                    F.lit(None).cast("string").alias("error"), F.lit(None).cast("string").alias("message"))
+        return indexing.IndexRun(outcomes.mapInPandas(counted(made), found), songs, features)
+
+    rows(REQUESTS, *[(i, "f") for i in range(5)]).coalesce(1).write.parquet(requests)
+    stream = spark.readStream.schema(REQUESTS).parquet(requests).mapInPandas(counted(read), REQUESTS)
+    start_indexing(stream, rows("file_path string", ("f",)), songs, feats, store, str(tmp_path / "checkpoint"), index, lambda: NOW, available_now=True).awaitTermination()
+    assert store.log().filter("status = 'extracted'").count() == 5
+    assert read.value == 5 and made.value == 10
